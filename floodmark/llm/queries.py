@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodmark.llm import chat, decontamination, packing, quality, simhash, token_store
+from floodmark.llm import chat, decontamination, merkle, packing, quality, sharding, simhash, token_store
 from floodmark.llm.common import fresh_path, table
 from floodmark.llm.tokens import public_path
 
@@ -45,6 +45,22 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64("text").alias("text_hash"))
+    placed = sharding.shard_records(docs, "size", ["text_hash"], n_shards=24, law="bytes")
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = merkle.with_next(merkle.fingerprints(docs), ["text", "fingerprint"])
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = docs.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
+    edited = merkle.fingerprints(edited, "edited", "edited_fingerprint")
+    return edited.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", merkle.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), merkle.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-store")
     token_store.write_store(table(spark, sf_dir, "documents"), path, public_path())
@@ -57,6 +73,8 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_decontamination": op4_decontamination,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_sharding": op6_sharding,
+    "op8_merkle_fingerprint": op8_merkle_fingerprint,
     "op10_token_store": op10_token_store,
 }
 OP1_SQL = r"""
