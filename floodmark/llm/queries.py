@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodmark.llm import chat, decontamination, merkle, packing, quality, sharding, simhash, token_store
+from floodmark.llm import chat, decontamination, merkle, packing, quality, sharding, simhash, suffix_tree, token_store
 from floodmark.llm.common import fresh_path, table
 from floodmark.llm.tokens import public_path
 
@@ -51,6 +51,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = suffix_tree.score_documents(table(spark, sf_dir, "documents"), ~held_out(7, 2))
+    return scored.select("doc_id", F.coalesce(held_out(7, 2), F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = merkle.with_next(merkle.fingerprints(docs), ["text", "fingerprint"])
@@ -74,6 +79,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_sharding": op6_sharding,
+    "op7_suffix_tree_score": op7_suffix_tree_score,
     "op8_merkle_fingerprint": op8_merkle_fingerprint,
     "op10_token_store": op10_token_store,
 }
