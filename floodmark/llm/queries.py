@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodmark.llm import chat, decontamination, merkle, packing, quality, sharding, simhash, suffix_tree, token_store
+from floodmark.llm import chat, decontamination, licenses, merkle, packing, quality, sharding, simhash, suffix_tree, token_store
 from floodmark.llm.common import fresh_path, table
 from floodmark.llm.tokens import public_path
 
@@ -66,6 +66,14 @@ def op8_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", merkle.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), merkle.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan(docs, licenses.train(docs))
+    families = F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["family"])))
+    places = F.array_join(F.transform("licences", lambda x: F.concat(x["paragraph"].cast("string"), F.lit(":"), x["family"])), ",")
+    return found.select("doc_id", "n_paragraphs", F.size("licences").cast("long").alias("n_licences"), F.array_join(families, ",").alias("families"), places.alias("places"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-store")
     token_store.write_store(table(spark, sf_dir, "documents"), path, public_path())
@@ -81,6 +89,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_suffix_tree_score": op7_suffix_tree_score,
     "op8_merkle_fingerprint": op8_merkle_fingerprint,
+    "op9_license_scan": op9_license_scan,
     "op10_token_store": op10_token_store,
 }
 OP1_SQL = r"""
