@@ -39,25 +39,40 @@ def _turan() -> list[tuple[int, int, int]]:
 TRIPLES = _turan()
 
 
-def shingle_bits(text: str | None, size: int = 4) -> int:
-    """The fingerprint: a bit is 1 if set in over half the XXH64 (seed 42) of the shingles; no words give zero."""
-    ws = text.encode().lower().split() if text else []
-    if not ws:
-        return 0
+def word_hashes(ws: list[bytes], size: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of `size` words joined by spaces, repeats included; of all words if they are fewer."""
     whole = b" ".join(ws)
     if len(ws) <= size:
-        return xxhash.xxh64_intdigest(whole, 42)
+        return np.array([xxhash.xxh64_intdigest(whole, 42)] if ws else [], dtype="<u8")
     lengths = np.fromiter(map(len, ws), dtype=np.int64, count=len(ws))
     stops = np.cumsum(lengths + 1) - 1
     starts = stops - lengths
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(whole[a:b], 42) for a, b in zip(starts[: 1 - size].tolist(), stops[size - 1 :].tolist())], dtype="<u8")
+    return np.array([digest(whole[a:b], 42) for a, b in zip(starts[: len(ws) - size + 1].tolist(), stops[size - 1 :].tolist())], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are each 1 if set in over half the hashes."""
     counts = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def shingle_bits(text: str | None, size: int = 4) -> int:
+    """The fingerprint of a text's shingles; no words give zero."""
+    return majority(word_hashes(text.encode().lower().split() if text else [], size))
+
+
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of any number of independent hashes made of one (a SplitMix64 step)."""
+    with np.errstate(over="ignore"):
+        x = hashes + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k + 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of each row of docs (doc_id, text)."""
 
@@ -69,27 +84,47 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether pairs share enough positional bytes and then differ in few enough bits."""
-    x = np.bitwise_xor(a, b)
-    shared = np.zeros(x.shape, dtype=np.uint8)
-    for p in range(8):
-        shared += (x & np.uint64(255 << 8 * p)) == 0
-    keep = shared >= LEAST_SHARED
-    keep &= np.bitwise_count(x) <= BITS
-    return keep
+class _Nodes:
+    """Entries of postings: node, the bits that they are posted by and the bits that are verified, one row for each entry."""
+
+    def __init__(self, node: np.ndarray, look: np.ndarray, wide: np.ndarray):
+        self.node, self.look, self.wide = node, look, wide
+
+    def __getitem__(self, at) -> "_Nodes":
+        return _Nodes(self.node[at], self.look[at], self.wide[at])
 
+    def __len__(self) -> int:
+        return len(self.node)
 
-def _stars(fps: np.ndarray, sides: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(member, smallest) pairs of each connected group of a list; with sides, only pairs across two blocks are looked at."""
+    @staticmethod
+    def join(a: "_Nodes", b: "_Nodes") -> "_Nodes":
+        return _Nodes(np.concatenate([a.node, b.node]), np.concatenate([a.look, b.look]), np.concatenate([a.wide, b.wide]))
+
+    def near(self, other: "_Nodes", bits: int, least_shared: int, table: bool = False) -> np.ndarray:
+        """Whether pairs share enough positional bytes and then differ in few enough bits; with `table`, each against each."""
+        pair = (lambda a, b: a[:, None] ^ b[None, :]) if table else np.bitwise_xor
+        x = pair(self.look, other.look)
+        shared = np.zeros(x.shape, dtype=np.uint8)
+        for p in range(8):
+            shared += (x & np.uint64(255 << 8 * p)) == 0
+        keep = shared >= least_shared
+        apart = np.zeros(x.shape, dtype=np.uint16)
+        for k in range(self.wide.shape[1]):
+            apart += np.bitwise_count(pair(self.wide[:, k], other.wide[:, k]))
+        return keep & (apart <= bits)
+
+
+def _stars(entries: _Nodes, sides: np.ndarray | None, bits: int, least_shared: int) -> list[tuple[np.ndarray, int]]:
+    """(other members, smallest node) of each connected group of a list; with sides, only pairs across its two blocks count."""
+    _, at, of = np.unique(entries.node, return_index=True, return_inverse=True)
+    nodes = entries[at]
+    out, todo = [], np.ones(len(nodes), dtype=bool)
+    everyone = np.arange(len(nodes))
     if sides is None or sides.min() == sides.max():
-        left = right = np.unique(fps)
+        across = ((everyone, everyone),)
     else:
-        left, right = (np.unique(fps[sides == s]) for s in (sides.min(), sides.max()))
-    nodes = np.unique(np.concatenate([left, right]))
-    out, todo = [], np.ones(len(nodes), dtype=bool)
-    at_left, at_right = np.searchsorted(nodes, left), np.searchsorted(nodes, right)
-    one = left is right or len(left) == len(right) == len(nodes)
+        left, right = np.unique(of[sides == sides.min()]), np.unique(of[sides == sides.max()])
+        across = ((left, right), (right, left))
     while todo.any():
         first = int(todo.argmax())
         todo[first] = False
@@ -98,70 +133,85 @@ def _stars(fps: np.ndarray, sides: np.ndarray | None) -> list[tuple[np.ndarray,
             reach = np.zeros(len(nodes), dtype=bool)
             for k in range(0, len(front), 256):
                 some = front[k : k + 256]
-                for mine, theirs in ((at_left, at_right),) if one else ((at_left, at_right), (at_right, at_left)):
-                    src, dst = some[np.isin(some, mine)], theirs[todo[theirs]]
+                for mine, theirs in across:
+                    src, dst = some if mine is everyone else some[np.isin(some, mine)], theirs[todo[theirs]]
                     if len(src) and len(dst):
-                        reach[dst] |= _near(nodes[src][:, None], nodes[dst][None, :]).any(axis=0)
+                        reach[dst] |= nodes[src].near(nodes[dst], bits, least_shared, table=True).any(axis=0)
             front = np.flatnonzero(reach & todo)
             todo[front] = False
             group.extend(front.tolist())
         if len(group) > 1:
-            members = nodes[np.array(group)]
+            members = nodes.node[np.array(group)]
             out.append((members[members != members.min()], members.min()))
     return out
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(bits: int, least_shared: int, own: bool, wide: list[str]):
     """Links of each list of postings; rows come sorted by key, and only one list is held over batches."""
-    keys = np.empty(0, dtype=np.int64)
-    fps, sides = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
 
-    def links(keys, fps, sides):
+    def links(keys: np.ndarray, entries: _Nodes, sides: np.ndarray) -> pa.RecordBatch:
         hi, lo = [], []
         edges = np.flatnonzero(np.diff(keys)) + 1
         starts, sizes = np.concatenate([[0], edges]), np.diff(np.concatenate([[0], edges, [len(keys)]]))
-        two = starts[sizes == 2]
-        pair = two[(sides[two] == -1) & _near(fps[two], fps[two + 1])]
-        hi.append(np.maximum(fps[pair], fps[pair + 1]))
-        lo.append(np.minimum(fps[pair], fps[pair + 1]))
+        two = starts[(sizes == 2) & (sides[starts] == -1)]
+        a, b = entries[two], entries[two + 1]
+        pair = a.near(b, bits, least_shared) & (a.node != b.node)
+        hi.append(np.maximum(a.node, b.node)[pair])
+        lo.append(np.minimum(a.node, b.node)[pair])
         other = (sizes > 2) | ((sizes == 2) & (sides[starts] != -1))
         for s, n in zip(starts[other].tolist(), sizes[other].tolist()):
-            for members, least in _stars(fps[s : s + n], None if sides[s] == -1 else sides[s : s + n]):
+            for members, least in _stars(entries[s : s + n], None if sides[s] == -1 else sides[s : s + n], bits, least_shared):
                 hi.append(members)
                 lo.append(np.full(len(members), least))
-        a, b = np.concatenate(hi), np.concatenate(lo)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-    for b in batches:
-        keys = np.concatenate([keys, b.column("key").to_numpy(zero_copy_only=False)])
-        fps = np.concatenate([fps, b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)])
-        sides = np.concatenate([sides, b.column("side").to_numpy(zero_copy_only=False).astype(np.int64)])
-        if len(keys):
-            whole = int(np.searchsorted(keys, keys[-1])) if keys[0] != keys[-1] else 0
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hi)), pa.array(np.concatenate(lo))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = lambda b, c: b.column(c).to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+        keys = sides = entries = None
+        for b in batches:
+            look = longs(b, "look")
+            more = _Nodes(look if own else longs(b, "node"), look.view(np.uint64), look.view(np.uint64)[:, None] if own else np.stack([longs(b, c).view(np.uint64) for c in wide], axis=1))
+            if keys is None:
+                keys, entries, sides = longs(b, "key"), more, longs(b, "side")
+            else:
+                keys, entries, sides = np.concatenate([keys, longs(b, "key")]), _Nodes.join(entries, more), np.concatenate([sides, longs(b, "side")])
+            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
             if whole:
-                yield links(keys[:whole], fps[:whole], sides[:whole])
-                keys, fps, sides = keys[whole:], fps[whole:], sides[whole:]
-    if len(keys):
-        yield links(keys, fps, sides)
-
-
-def near_links(distinct: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
-    """Links (a, b) whose connected components are those of all pairs of `distinct` (fp) at most BITS bits apart."""
-    byte = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)) for p in range(8)]
-    key = [(F.lit(k) * (1 << 24) + byte[t[0]] * (1 << 16) + byte[t[1]] * (1 << 8) + byte[t[2]]).cast("long") for k, t in enumerate(TRIPLES)]
-    postings = distinct.select("fp", F.explode(F.array(*key)).alias("key"))
-    n = n_partitions(distinct.sparkSession)
+                yield links(keys[:whole], entries[:whole], sides[:whole])
+                keys, entries, sides = keys[whole:], entries[whole:], sides[whole:]
+        if keys is not None and len(keys):
+            yield links(keys, entries, sides)
+
+    return run
+
+
+def near_links(nodes: DataFrame, looks: list[str], wide: list[str] | None = None, bits: int = BITS, least_shared: int = LEAST_SHARED, list_rows: int = LIST_ROWS) -> DataFrame:
+    """Links (a, b) with the connected components of the pairs of `nodes` that are at most `bits` bits apart.
+
+    Each column of `looks` holds 64 bits whose positional bytes are indexed. Without `wide`, the one column of `looks` is the
+    node itself, and its bits are those verified; else nodes have a column `node`, and the columns of `wide` are verified.
+    """
+    own = wide is None
+    kept = [] if own else ["node", *wide]
+    keys = []
+    for r, look in enumerate(looks):
+        byte = [F.shiftrightunsigned(look, 8 * p).bitwiseAND(F.lit(255)) for p in range(8)]
+        keys += [F.struct((F.lit((r * len(TRIPLES) + k) << 24).cast("long") + byte[t[0]] * (1 << 16) + byte[t[1]] * (1 << 8) + byte[t[2]]).cast("long").alias("key"), F.col(look).alias("look")) for k, t in enumerate(TRIPLES)]
+    postings = nodes.select(*kept, F.explode(F.array(*keys)).alias("_p")).select(F.col("_p.key").alias("key"), F.col("_p.look").alias("look"), *kept)
+    n = n_partitions(nodes.sparkSession)
     long_lists = staged(postings.groupBy("key").count().where(F.col("count") > list_rows).select("key", F.ceil(F.col("count") / list_rows).cast("int").alias("blocks")), "long-lists")
-    rest, links = postings, []
+    kernel, columns = _lists(bits, least_shared, own, wide or []), ["key", "look", "side", *kept]
+
+    def linked(rows: DataFrame) -> DataFrame:
+        return rows.select(*columns).repartition(n, "key").sortWithinPartitions("key").mapInArrow(kernel, "a long, b long")
+
+    rest, out = postings.withColumn("side", F.lit(-1)), None
     if not long_lists.isEmpty():
-        rest = postings.join(long_lists, "key", "left_anti")
-        mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        rest = rest.join(long_lists, "key", "left_anti")
+        mine = F.pmod(F.xxhash64(F.lit("side"), "look" if own else "node"), F.col("blocks")).cast("int")
         split = postings.join(long_lists, "key").withColumn("side", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        task = F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("key")
-        links.append(split.select(task, "fp", "side").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_lists, "a long, b long"))
-    links.append(rest.select("key", "fp", F.lit(-1).alias("side")).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_lists, "a long, b long"))
-    out = links[0] if len(links) == 1 else links[0].unionByName(links[1])
-    return out.distinct()
+        out = linked(split.withColumn("key", F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other"))))
+    return (linked(rest) if out is None else linked(rest).unionByName(out)).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -193,9 +243,51 @@ def near_duplicates(docs: DataFrame, size: int = 4, list_rows: int = LIST_ROWS)
     """
     fps = staged(fingerprints(docs, size), "fingerprints")
     reps = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    roots = components(near_links(reps.select("fp"), list_rows))
+    roots = components(near_links(reps.select("fp"), ["fp"], list_rows=list_rows))
     placed = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     placed = staged(placed, "placed")
     smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = placed.join(smallest, "root").select("fp", "component_id")
     return fps.join(named, "fp")
+
+
+LOOKS, WIDE = 3, 4
+
+
+def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
+    """row, doc_id, LOOKS fingerprints of the distinct words of over three characters (l0, l1, ...) and 64 WIDE bits of the
+    shingles (w0, w1, ...) of each row of docs (row, doc_id, text). Texts of short words alone are posted by all words."""
+    names = [f"l{k}" for k in range(LOOKS)] + [f"w{k}" for k in range(WIDE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = np.zeros((b.num_rows, len(names)), dtype=np.uint64)
+            for r, text in enumerate(b.column("text").to_pylist()):
+                ws = text.encode().lower().split() if text else []
+                some = {w for w in ws if len(w) > 3} or set(ws)
+                one = np.array([xxhash.xxh64_intdigest(w, 42) for w in some], dtype="<u8")
+                runs = word_hashes(ws, size)
+                rows[r] = [majority(mixed(one, k)) for k in range(LOOKS)] + [majority(mixed(runs, k)) for k in range(WIDE)]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), *[pa.array(rows[:, k].view(np.int64)) for k in range(len(names))]], ["row", "doc_id", *names])
+
+    return docs.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "row long, doc_id long, " + ", ".join(f"{x} long" for x in names))
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, list_rows: int = LIST_ROWS) -> DataFrame:
+    """docs (doc_id, text and others) with one row, that of least doc_id, for each group of near duplicates.
+
+    Shingles of `size` words give 256 bits; rows link if at least `similarity` of those are equal, which pairs whose shingle
+    sets have that Jaccard similarity are with a probability of 0.98 and over. As pairs that like may have few bytes of these
+    bits in common, they meet by the positional bytes of three fingerprints of their distinct words, which differ
+    far less, and are verified on the 256. Null, empty and blank texts are one group; null doc_ids come first; repeated rows
+    are near duplicates. docs must come the same each time it is read, as tables do.
+    """
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    marks = [f"l{k}" for k in range(LOOKS)] + [f"w{k}" for k in range(WIDE)]
+    signed = staged(signatures(rows.select(F.col("_row").alias("row"), "doc_id", "text"), size), "signatures")
+    nodes = signed.groupBy(*marks).agg(F.min(F.struct("doc_id", "row")).alias("least")).withColumn("node", F.xxhash64(*marks))
+    nodes = staged(nodes, "nodes")
+    links = near_links(nodes.drop("least"), marks[:LOOKS], marks[LOOKS:], bits=int((1 - similarity) * 64 * WIDE), least_shared=3, list_rows=list_rows)
+    roots = components(links)
+    grouped = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
+    return rows.join(grouped.select(F.col("least.row").alias("_row")), "_row", "left_semi").select(*docs.columns)
