@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from floodmark.config.loader import Config
 from floodmark.config.models import PARAMS, PROBES, Dataset, Feed, Rule, ready
-from floodmark.config.patterns import CHECKS, Cause, failure_type
+from floodmark.config.patterns import CHECKS, FAILURES, Cause, failure_type
 from floodmark.functions.keys import base_name, canonical, keyed_hash
 from floodmark.functions.times import as_utc, stamp, truncate, utc
 from floodmark.operators import causes, hops, rules, tier1
@@ -271,11 +271,27 @@ class Engine:
             found[r.dataset] = History(at(r.previous_end), at(r.held_start), at(r.first_held_end), at(r.last_held_end), tuple(r.held_by or ()))
         return found
 
-    def jobs(self, feeds: set[str] | None = None) -> tuple[list[Job], list[tuple[Dataset, Event]]]:
+    def jobs(self, feeds: set[str] | None = None, changed: set[str] = frozenset()) -> tuple[list[Job], list[tuple[Dataset, Event]]]:
         """The jobs of a NORMAL run and the spans given up. Windows are fixed before anything is written; a schema is looked at
-        once for each physical table."""
-        tables_seen: set[str] = set()
+        once for each physical table. Feeds that are named run; else those with a slot due in their window or changed files."""
         chosen = {n: d for n, d in self.config.datasets.items() if d.derived is None and (feeds is None or (f := self.config.feed_of(n)) and f.feed in feeds)}
+        out, gaps = self._planned(chosen)
+        if feeds is None:
+            due = changed | {j.feed.feed for j in out if j.feed and self._slots_due(j)}
+            covered = {d.table for n, d in chosen.items() if self.config.feed_of(n)}
+            fresh = {d.table for n, d in chosen.items() if (f := self.config.feed_of(n)) and f.feed in due}
+            # a table-wide dataset goes with the feeds that write its table, or always if none does
+            names = {n for n, d in chosen.items() if (f.feed in due if (f := self.config.feed_of(n)) else d.table in fresh or d.table not in covered)}
+            out, gaps = [j for j in out if j.dataset.dataset in names], [g for g in gaps if g[0].dataset in names]
+            chosen = {n: chosen[n] for n in names}
+        tables_seen: set[str] = set()
+        for j in [j for j in out if j.check_id == "T1_SCHEMA_DRIFT"]:
+            if j.dataset.table in tables_seen:
+                out.remove(j)
+            tables_seen.add(j.dataset.table)
+        return out + self._rules_due(chosen, out), gaps
+
+    def _planned(self, chosen: dict[str, Dataset]) -> tuple[list[Job], list[tuple[Dataset, Event]]]:
         history, out, gaps = self.history(chosen), [], []
         for name, ds in chosen.items():
             feed, s = self.config.feed_of(name), self.config.settings(name)
@@ -289,12 +305,7 @@ class Engine:
             event = next_window(name, self.run_start, start, settle, back, load, self.zone, delay)
             sweep = schedule.full_sweep(event.start, event.end, s["full_sweep_day"], self.zone)
             for check_id in CHECKS[feed.pattern if feed else "TABLE_WIDE"]:
-                if check_id == "T1_SCHEMA_DRIFT":
-                    if ds.table in tables_seen:
-                        continue
-                    tables_seen.add(ds.table)
                 out.append(Job(ds, feed, check_id, event, sweep=sweep))
-        out += self._rules_due(chosen, out)
         return out, gaps
 
     def _rules_due(self, chosen: dict[str, Dataset], planned: list[Job]) -> list[Job]:
@@ -325,10 +336,10 @@ class Engine:
     def _run_row(self, status: str, expected: int, written: int = 0, to_explain: int = 0, explained: int = 0, ended: bool = False) -> None:
         tables.append_values(self.spark, self.database, "dq_run", [{"run_id": self.run_id, "started_at": self.run_start, "ended_at": datetime.now(UTC) if ended else None, "engine_version": VERSION, "status": status, "checks_expected": expected, "checks_written": written, "investigations_expected": to_explain, "investigations_done": explained, "execution_type": self.execution, "run_date": self.run_start.date()}])
 
-    def land(self, feed: Feed) -> Result | None:
-        """Registers a feed's new and changed files; why it couldn't, else None."""
+    def land(self, feed: Feed) -> Result | int:
+        """Registers a feed's new and changed files and says how many, or why it couldn't."""
         if feed.landing is None:
-            return None
+            return 0
         try:
             found = landing.listing(self.spark, feed.landing.roots, feed.landing.file_name_pattern)
         except landing.Unreadable as e:
@@ -337,18 +348,21 @@ class Engine:
             return did_not_run("hdfs_unavailable", str(e))
         now = found.withColumns({"observed_at": stamp(self.run_start), "feed": F.lit(feed.feed), "run_id": F.lit(self.run_id), "run_date": F.lit(self.run_start.date())})
         fresh = tables.new_files(now, views.file_status(self.stored("dq_file").where(F.col("feed") == feed.feed))).persist()
-        fresh.count()  # before its own table is appended to
-        tables.append(self.spark, self.database, "dq_file", fresh)
+        n = fresh.count()  # before its own table is appended to
+        if n:
+            tables.append(self.spark, self.database, "dq_file", fresh)
         fresh.unpersist()
-        return None
+        return n
 
     def run(self, feeds: set[str] | None = None, windows: tuple[datetime, datetime] | None = None) -> str:
         """The run's status. Checks go one after the other; a result is stored as soon as it is there."""
         if any(s != tables.OK for s in tables.status(self.spark, self.database).values()):
             raise RuntimeError("the store isn't installed")
-        jobs, gaps = self.jobs(feeds) if windows is None else (self._historical(feeds, *windows), [])
+        landed = {n: self.land(f) for n, f in self.config.feeds.items() if windows is None and (feeds is None or n in feeds)}
+        problems = {n: x for n, x in landed.items() if isinstance(x, Result)}
+        changed = {n for n, x in landed.items() if isinstance(x, int) and x}
+        jobs, gaps = self.jobs(feeds, changed) if windows is None else (self._historical(feeds, *windows), [])
         self._run_row("STARTED", len(jobs))
-        problems = {f.feed: self.land(f) for f in {j.feed.feed: j.feed for j in jobs if j.feed}.values()} if windows is None else {}
         for ds, gap in gaps:
             job = Job(ds, self.config.feed_of(ds.dataset), GAP, gap)
             tables.append_values(self.spark, self.database, "dq_check_result", [self.row(job, did_not_run("window_gap", "held too long; never checked"), 0)])
@@ -372,6 +386,8 @@ class Engine:
             for r in results:
                 if isinstance(r.evidence, tuple) and isinstance(r.evidence[1], DataFrame):
                     r.evidence[1].unpersist()
+        if self.execution == "NORMAL":
+            self.retry()
         status = "COMPLETED" if written == len(jobs) and explained == to_explain else "PARTIAL"
         self._run_row(status, len(jobs), written, to_explain, explained, ended=True)
         return status
@@ -476,9 +492,26 @@ class Engine:
         since = self.run_start.date() - timedelta(days=self.config.defaults.investigation_retry_days)
         recent = self.stored("dq_check_result").where((F.col("run_date") >= F.lit(since)) & F.expr("execution_type = 'NORMAL' AND severity IS NULL"))
         order = Window.partitionBy("evaluation_id").orderBy(F.desc("evaluated_at"))
-        failed = recent.withColumn("_n", F.row_number().over(order)).where("_n = 1 AND state = 'FAILED'").drop("_n")
+        explained = sorted({c for k in FAILURES.values() for c in k.checks})
+        failed = recent.withColumn("_n", F.row_number().over(order)).where("_n = 1 AND state = 'FAILED'").drop("_n").where(F.col("check_id").isin(explained))
         return failed.join(self.stored("dq_cause_result").select("evaluation_id"), "evaluation_id", "left_anti")
 
+    def retry(self) -> int:
+        """Investigates what earlier runs couldn't: the check is evaluated over its own window again for the evidence."""
+        done = 0
+        for r in self.retries().where(F.col("run_id") != self.run_id).collect():
+            ds = self.config.datasets.get(r.dataset)
+            feed = ds and self.config.feed_of(r.dataset)
+            if feed is None or failure_type(r.check_id, feed.pattern) is None:
+                continue
+            job = Job(ds, feed, r.check_id, Event(r.dataset, as_utc(r.window_start), as_utc(r.window_end)))
+            try:
+                again = next((x for x in self.evaluate(job) if x.state == oc.FAILED and x.groups == dict(r.group_values)), None)
+            except Exception:  # noqa: BLE001  left for the next run
+                continue
+            done += again is not None and self.investigate(job, again)
+        return done
+
 
 class Probe:
     """What the evidence says of one cause and one failure. Each frame is collected once for an evaluation: it has a row for
