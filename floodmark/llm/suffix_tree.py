@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 from floodmark.llm.common import n_partitions, staged
 
 BLOCK_BYTES, HOT_CONTEXT = 16_000_000, 1 << 16
+#: Words that make up at least this share of all tokens travel by their rank; there can't be more than one over it.
+FREQUENT = 2.0**-18
+RARE = np.uint32(1 << 31)
 END, START, BEFORE = 1, 2, 3
 BLOCKS = "block long, doc_ids array<long>, lengths binary, train binary, words binary, stream binary, counts binary"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -129,19 +132,43 @@ def _ask(n: int):
 
 
 def _answer(batches):
-    """Round 1, at a partition: the words' counts over all blocks, back to each block, and the partition's tokens and words."""
+    """Round 1, at a partition: the words' counts over all blocks, back to each block, and the partition's tokens, words and, as
+    they may be frequent, the words met most."""
     for part, rows in _grouped(batches, "part"):
         asked = [unpack(r["data"]) for r in rows]
         words, where = np.unique(np.concatenate([h for h, _ in asked]), return_inverse=True)
         counts = np.bincount(where, np.concatenate([c for _, c in asked]).astype(float), len(words)).astype(np.int64)
         stops = np.cumsum([0] + [len(h) for h, _ in asked])
-        yield _rows([(r["block"], part, pack(counts[where[stops[k] : stops[k + 1]]].astype("<u8")), None, None) for k, r in enumerate(rows)] + [(None, part, None, int(counts.sum()), int((counts > 0).sum()))], "block long, part int, data binary, n_tokens long, n_words long")
+        yield _rows([(r["block"], part, pack(counts[where[stops[k] : stops[k + 1]]].astype("<u8")), None, None) for k, r in enumerate(rows)] + [(None, part, pack(*_above(words, counts, FREQUENT * int(counts.sum()))), int(counts.sum()), int((counts > 0).sum()))], "block long, part int, data binary, n_tokens long, n_words long")
 
 
-def _positions(n: int, n_tokens: int, n_words: int):
+def _above(words: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Words (in order) that have at least that count, and their counts."""
+    some = (counts > 0) & (counts >= least)
+    return words[some], counts[some].astype("<u8")
+
+
+def _frequent(answers: DataFrame, n_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent words in order, at most 1 / FREQUENT of them, and their ranks' counts. A partition knows its own tokens alone,
+    so it has offered a little more than its frequent words; what it offers is cut to them before it leaves the executors."""
+
+    def cut(batches):
+        for b in batches:
+            yield _rows([(pack(*_above(*unpack(d), FREQUENT * n_tokens)),) for d in b.column("data").to_pylist()], "data binary")
+
+    parts = [unpack(r.data) for r in answers.where("block is null").select("data").mapInArrow(cut, "data binary").collect()]
+    words, counts = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, dtype=np.uint64) for k in range(2))
+    order = np.argsort(words)
+    return words[order], counts[order]
+
+
+def _positions(n: int, n_tokens: int, n_words: int, frequent):
     """Round 2, from a block: what the root says of each document, and its positions, to the partitions of their contexts."""
 
     def run(batches):
+        common, common_counts = frequent.value
+        ranks = np.empty(len(common), dtype=np.uint32)
+        ranks[np.argsort(-common_counts.astype(np.int64), kind="stable")] = np.arange(len(common))
         for b in batches:
             for r in b.to_pylist():
                 (hashes,), (stream,), (lengths,), (train,) = (unpack(r[c]) for c in ("words", "stream", "lengths", "train"))
@@ -169,13 +196,17 @@ def _positions(n: int, n_tokens: int, n_words: int):
                 part = (state % np.uint64(n)).astype(np.int64)
                 order = np.lexsort((state, part))
                 stops = np.searchsorted(part[order], np.arange(n + 1))
-                short = (wide >> np.uint64(32)).astype("<u4")
+                code = (wide >> np.uint64(32)).astype(np.uint32) | RARE
+                if len(common):
+                    place = np.minimum(np.searchsorted(common, wide), len(common) - 1)
+                    known = common[place] == wide
+                    code[known] = ranks[place[known]]
                 flag = doc.astype("<u4") * 2 + train[doc]
                 for p in range(n):
                     o = order[stops[p] : stops[p + 1]]
                     if len(o):
                         starts = np.flatnonzero(np.concatenate([[True], np.diff(state[o]) != 0]))
-                        yield _rows([(p, r["block"], pack(state[o][starts], np.diff(np.append(starts, len(o))).astype("<u4"), short[before[o]], short[following[o]], of[o].astype("<f4"), flag[o]))], "part int, block long, data binary")
+                        yield _rows([(p, r["block"], pack(state[o][starts], np.diff(np.append(starts, len(o))).astype("<u4"), code[before[o]], code[following[o]], of[o][code[following[o]] >= RARE].astype("<u4"), flag[o]))], "part int, block long, data binary")
 
     return run
 
@@ -203,10 +234,11 @@ def _level(state: np.ndarray, word: np.ndarray, train: np.ndarray, parent: np.nd
     return out
 
 
-def _gains(n_tokens: int, n_words: int, least_gain: float):
+def _gains(n_tokens: int, n_words: int, frequent, least_gain: float):
     """Round 2, at a partition: counts and tests the subtrees, and tells each block what its documents gain over the root."""
 
     def run(batches):
+        by_rank = -np.sort(-frequent.value[1].astype(np.int64))
         for part, rows in _grouped(batches, "part"):
             if part < 0:
                 yield _rows([(r["block"], True, r["data"]) for r in rows], "block long, root boolean, data binary")
@@ -214,7 +246,10 @@ def _gains(n_tokens: int, n_words: int, least_gain: float):
             got = [unpack(r["data"]) for r in rows]
             sizes = [len(g[2]) for g in got]
             state = np.concatenate([np.repeat(g[0], g[1].astype(np.int64)) for g in got])
-            before, word, count, flag = (np.concatenate([g[k] for g in got]) for k in range(2, 6))
+            before, word, rare, flag = (np.concatenate([g[k] for g in got]) for k in range(2, 6))
+            count = np.empty(len(word), dtype=np.int64)
+            common = word < RARE
+            count[common], count[~common] = by_rank[word[common]], rare
             train = (flag & 1).astype(bool)
             root = (count.astype(np.float64) + 1) / (n_tokens + n_words + 1)
             _, one = np.unique(state, return_inverse=True)
@@ -264,9 +299,10 @@ def score_documents(docs: DataFrame, learn: Column, least_gain: float = 4.0) ->
     answers = staged(asked.repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(_answer, "block long, part int, data binary, n_tokens long, n_words long"), "answers")
     totals = answers.agg(F.sum("n_tokens"), F.sum("n_words")).first()
     n_tokens, n_words = totals[0] or 0, totals[1] or 0
+    frequent = spark.sparkContext.broadcast(_frequent(answers, n_tokens))  # at most 1 / FREQUENT words
     told = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "data")).alias("answers"))
-    positions = blocks.drop("doc_ids", "counts").join(told, "block").mapInArrow(_positions(n, n_tokens, n_words), "part int, block long, data binary")
-    gains = positions.repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(_gains(n_tokens, n_words, least_gain), "block long, root boolean, data binary")
+    positions = blocks.drop("doc_ids", "counts").join(told, "block").mapInArrow(_positions(n, n_tokens, n_words, frequent), "part int, block long, data binary")
+    gains = positions.repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(_gains(n_tokens, n_words, frequent, least_gain), "block long, root boolean, data binary")
     parts = gains.groupBy("block").agg(F.collect_list(F.struct("root", "data")).alias("parts"))
     return blocks.select("block", "doc_ids").join(parts, "block").mapInArrow(_scores(n_tokens), "doc_id long, learnt boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
