@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from floodmark.llm.ranges import ordered_hex, range_index, sampled_splitters
 
 EIGHT, TWO = (r"\s*+(?:\S++\s*+){1,%d}+|\s++" % n for n in (8, 2))
-BUCKET_BYTES, LEAST_BUCKETS = 128_000_000, 64
+#: Ranges of doc_id: about so many bytes each, but no fewer and no more of them; sorts within a range may spill.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 128_000_000, 64, 1 << 16
 
 
 def _short(value: Column) -> Column:
@@ -97,7 +98,7 @@ def with_next(docs: DataFrame, carried: list[str], least_buckets: int = LEAST_BU
     total = slim.agg(F.sum("_bytes")).first()[0] or 0
     if not total:
         return docs.withColumns({f"next_{c}": F.col(c) for c in carried})
-    cut = sampled_splitters(slim, "_key", "_bytes", max(least_buckets, -(-total // bucket_bytes)), total)
+    cut = sampled_splitters(slim, "_key", "_bytes", max(least_buckets, min(MOST_BUCKETS, -(-total // bucket_bytes))), total)
     rows = rows.withColumn("_range", range_index(F.col("_key"), cut))
     heads = {r[0]: r[1] for r in slim.groupBy(range_index(F.col("_key"), cut).alias("_range")).agg(F.max("_key")).collect()}  # a key for each range
     held = sorted(heads)
