@@ -65,68 +65,58 @@ def _sets(rows: DataFrame, side: Side) -> DataFrame:
     return versions.groupBy("k").agg(F.max(F.struct("r", "v"))["v"].alias("values"))
 
 
-def judge(hop: Hop) -> DataFrame:
-    """k, key_hash, key_state, up_record_ts, up_load_ts, dn_record_ts, dn_load_ts and was_open of the keys judged.
+def _upstream_keys(hop: Hop) -> DataFrame:
+    """k, up_record_ts, up_load_ts, key_hash, was_open, _out (every row is excluded) and _any_load (over all rows) in one pass."""
+    version = F.struct(hop.up.record.alias("r"), hop.up.loaded().alias("l"))
+    out = F.coalesce(hop.excluded, F.lit(False)) if hop.excluded is not None else F.lit(False)
+    latest = F.max(version) if hop.excluded is None else F.max(F.when(~out, version))
+    up = hop.up.rows.groupBy(hop.up.key.alias("k")).agg(latest.alias("_top"), F.max(hop.up.loaded()).alias("_any_load"))
+    hashed = hop.hashed(F.col("k")) if hop.hashed is not None else F.lit(None).cast("string")
+    up = up.select("k", F.col("_top.r").alias("up_record_ts"), F.col("_top.l").alias("up_load_ts"), hashed.alias("key_hash"), F.col("_top").isNull().alias("_out"), "_any_load")
+    if hop.open_keys is None:
+        return up.withColumn("was_open", F.lit(False))
+    flagged = hop.open_keys.select(F.col("key_hash").alias("_open")).distinct()
+    return up.join(flagged, F.col("key_hash") == F.col("_open"), "left").withColumn("was_open", F.col("_open").isNotNull() & ~F.col("_out")).drop("_open")
+
+
+def assess(hop: Hop, others: bool = True) -> DataFrame:
+    """k, key_hash, key_state, up_record_ts, up_load_ts, dn_record_ts, dn_load_ts and was_open of the keys judged and, with
+    `others`, of those not judged: PENDING, EXCLUDED, and on a full sweep GONE (open keys that are no longer upstream).
 
     A key is judged when its deadline falls in the window, when it was loaded here in the window after its deadline, or
-    when it is open; on a full sweep, when its deadline has passed or it is open.
+    when it is open; on a full sweep, when its deadline has passed or it is open. A key whose latest version's deadline is
+    still to come is PENDING; one whose every row is excluded is EXCLUDED if the latest load of all its rows is in the range judged.
+    Each side is read once.
     """
     first, last = (stamp(t) for t in hop.due)
-    latest = F.max(F.struct(hop.up.record.alias("r"), hop.up.loaded().alias("l")))
-    up = hop.expected().groupBy(hop.up.key.alias("k")).agg(latest.alias("_top")).select("k", F.col("_top.r").alias("up_record_ts"), F.col("_top.l").alias("up_load_ts"))
-    hashed = hop.hashed(F.col("k")) if hop.hashed is not None else F.lit(None).cast("string")
-    up = up.withColumn("key_hash", hashed)
-    if hop.open_keys is not None:
-        flagged = hop.open_keys.select(F.col("key_hash").alias("_open")).distinct()
-        up = up.join(flagged, F.col("key_hash") == F.col("_open"), "left").withColumn("was_open", F.col("_open").isNotNull()).drop("_open")
-    else:
-        up = up.withColumn("was_open", F.lit(False))
-    passed = F.coalesce(F.col("up_load_ts") < last, F.lit(False))
-    up = up.where(passed | F.col("was_open"))  # every way of being judged asks for one of these
-    dn = hop.dn.rows.select(hop.dn.key.alias("d"), hop.dn.record.alias("r"), hop.dn.loaded().alias("l"))
-    dn = dn.groupBy("d").agg(F.max("r").alias("dn_record_ts"), F.max("l").alias("dn_load_ts"), F.coalesce(F.max(within(F.col("l"), hop.start, hop.end)), F.lit(False)).alias("_loaded"))
-    both = up.join(dn, F.col("k") == F.col("d"), "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    load = F.col("up_load_ts")
+    passed, coming = yes(load < last) & ~F.col("_out"), yes(load >= last) & ~F.col("_out")
+    excluded = F.col("_out") & yes(F.col("_any_load") < last)
     if not hop.full_sweep:
-        both = both.where((passed & (F.col("up_load_ts") >= first)) | (passed & F.coalesce("_loaded", F.lit(False))) | F.col("was_open"))
+        excluded = excluded & yes(F.col("_any_load") >= first)
+    keys = _upstream_keys(hop)
+    # what can neither be judged nor counted goes before the join
+    up = keys.where(passed | F.col("was_open") | ((coming | excluded) if others else F.lit(False)))
+    dn = hop.dn.rows.select(hop.dn.key.alias("d"), hop.dn.record.alias("r"), hop.dn.loaded().alias("l"))
+    dn = dn.groupBy("d").agg(F.max("r").alias("dn_record_ts"), F.max("l").alias("dn_load_ts"), F.max(within(F.col("l"), hop.start, hop.end)).alias("_loaded"))
+    judged = passed if hop.full_sweep else passed & (yes(load >= first) | yes(F.col("_loaded")))
+    judged = judged | F.col("was_open")
     state = F.when(F.col("d").isNull(), "MISSING").when(F.col("up_record_ts").isNull() | F.col("dn_record_ts").isNull(), "UNASSESSABLE").when(F.col("dn_record_ts") < F.col("up_record_ts"), "STALE").otherwise("CURRENT")
-    return both.select("k", "key_hash", state.alias("key_state"), "up_record_ts", "up_load_ts", "dn_record_ts", "dn_load_ts", "was_open")
-
-
-def pending(hop: Hop) -> DataFrame:
-    """Upstream keys not judged yet: their latest version's deadline is still to come, and they aren't open."""
-    latest = F.max(F.struct(hop.up.record.alias("r"), hop.up.loaded().alias("l")))
-    keys = hop.expected().groupBy(hop.up.key.alias("k")).agg(latest["l"].alias("_l")).where(F.col("_l") >= stamp(hop.due[1])).select("k")
-    return keys.join(judge(hop).select("k"), "k", "left_anti") if hop.open_keys is not None else keys
-
-
-def excluded_keys(hop: Hop) -> DataFrame:
-    """Keys of the range judged whose every row is excluded; the latest load of all their rows counts."""
-    if hop.excluded is None:
-        return hop.up.rows.sparkSession.createDataFrame([], "k string")
-    first, last = (stamp(t) for t in hop.due)
-    out = F.coalesce(hop.excluded, F.lit(False))
-    keys = hop.up.rows.groupBy(hop.up.key.alias("k")).agg(F.min(out).alias("_all"), F.max(hop.up.loaded()).alias("_l")).where(F.col("_all") & (F.col("_l") < last))
-    return (keys if hop.full_sweep else keys.where(F.col("_l") >= first)).select("k")
-
-
-def gone(hop: Hop) -> DataFrame:
-    """Open keys that are no longer upstream; asked for on full sweeps alone."""
-    here = hop.expected().select(hop.up.key.alias("k")).distinct().select(hop.hashed(F.col("k")).alias("key_hash"))
-    return hop.open_keys.select("key_hash").distinct().join(here, "key_hash", "left_anti")
-
-
-def assess(hop: Hop) -> DataFrame:
-    """The keys judged, and those not judged with the reason: PENDING, EXCLUDED, and on a full sweep GONE."""
-    seen = judge(hop)
+    named = F.when(judged, state)
+    if others:
+        named = named.when(coming, "PENDING").when(excluded, "EXCLUDED")
+    cells = ["k", "key_hash", "key_state", "up_record_ts", "up_load_ts", "dn_record_ts", "dn_load_ts", "was_open"]
+    out = up.join(dn, F.col("k") == F.col("d"), "left").withColumn("key_state", named).where("key_state IS NOT NULL").select(*cells)
+    if others and hop.full_sweep and hop.open_keys is not None and hop.hashed is not None:
+        flagged = hop.open_keys.select("key_hash").distinct().join(keys.where(~F.col("_out")).select("key_hash"), "key_hash", "left_anti")
+        out = out.unionByName(flagged.select("key_hash", F.lit("GONE").alias("key_state"), F.lit(True).alias("was_open")), allowMissingColumns=True)
+    return out
 
-    def as_state(keys: DataFrame, state: str) -> DataFrame:
-        cells = {c: F.col(c) if c in keys.columns else F.lit(None).cast(t) for c, t in seen.dtypes if c not in ("key_state", "was_open")}
-        return keys.select(*[v.alias(c) for c, v in cells.items()], F.lit(state).alias("key_state"), F.lit(state == "GONE").alias("was_open"))
 
-    out = seen.unionByName(as_state(pending(hop), "PENDING")).unionByName(as_state(excluded_keys(hop), "EXCLUDED"))
-    if hop.full_sweep and hop.open_keys is not None and hop.hashed is not None:
-        out = out.unionByName(as_state(gone(hop), "GONE"))
-    return out
+def judge(hop: Hop) -> DataFrame:
+    """The keys judged, alone."""
+    return assess(hop, others=False)
 
 
 def currency(assessed: DataFrame) -> DataFrame:
