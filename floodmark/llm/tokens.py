@@ -12,7 +12,8 @@ import re
 
 import numpy as np
 
-CACHE_WORDS = 250_000
+#: Words in each of a cache's two generations: about 300 MB a worker when both are full.
+CACHE_WORDS = 600_000
 _OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
 _DOUBLE = ("  ", "\n\n", " \n", "\n ")
 _WORD_START = re.compile(r"(?<=\S)(?=\s)")
@@ -20,15 +21,19 @@ _ENCODERS: dict[str, "Encoder"] = {}
 
 
 class _Words(dict):
-    """Word to the little-endian unsigned 32-bit ids of lead + word."""
+    """Word to the little-endian unsigned 32-bit ids of lead + word. A full cache becomes the old generation, from which words
+    that are met again come back."""
 
     def __init__(self, tokenizer, lead: str):
-        self.tokenizer, self.lead = tokenizer, lead
+        self.tokenizer, self.lead, self.old = tokenizer, lead, {}
 
     def __missing__(self, word: str) -> bytes:
+        ids = self.old.pop(word, None)
+        if ids is None:
+            ids = np.array(self.tokenizer.encode(self.lead + word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
             self.clear()
-        ids = np.array(self.tokenizer.encode(self.lead + word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         self[word] = ids
         return ids
 
