@@ -9,7 +9,7 @@ import argparse
 import sys
 from datetime import UTC, datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from floodmark.config.fragments import problems
@@ -50,20 +50,38 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+SAMPLES = 5
+
+
 def digests(engine: Engine) -> list[tuple[digest.Digest, str]]:
-    """The run's digests and their texts, out of its own rows and the store's history."""
-    past = {(r.dataset, r.check_id, r.groups): r for r in digest_history(engine.stored("dq_check_result").where(F.col("dataset").isin(sorted({r["dataset"] for r in engine.rows})))).collect()} if engine.rows else {}
+    """The run's digests and their texts, out of its own rows and the store's history. Key values are named only where a dataset's
+    email_sample_keys allows it."""
+    config, past = engine.config, []
+    if engine.rows:
+        past = digest_history(engine.stored("dq_check_result").where(F.col("dataset").isin(sorted({r["dataset"] for r in engine.rows})))).collect()
+    known = {(r.dataset, r.check_id, r.groups): r for r in past}
     why: dict[str, list[str]] = {}
     for c in engine.cause_rows:
         line = f"{c['cause']} ({c['level']})"
         if line not in why.setdefault(c["evaluation_id"], []):
             why[c["evaluation_id"]].append(line)
-    items = []
+    named: dict[str, list[str]] = {}
+    sampled = [r["evaluation_id"] for r in engine.rows if r["check_id"] == "HOP_KEY_CURRENCY" and r["state"] == FAILED and config.settings(r["dataset"])["email_sample_keys"]]
+    if sampled:
+        ordered = Window.partitionBy("evaluation_id").orderBy("key_value")
+        keys = engine.stored("dq_key_event").where((F.col("run_id") == engine.run_id) & F.col("evaluation_id").isin(sampled) & (F.col("event") != "CLEARED"))
+        for r in keys.withColumn("_n", F.row_number().over(ordered)).where(F.col("_n") <= SAMPLES).collect():
+            named.setdefault(r.evaluation_id, []).append(f"{r.key_value} {r.state_detail}")
+    items, seen = [], set()
     for r in engine.rows:
         groups = ",".join(f"{k}={v or ''}" for k, v in sorted(r["group_values"].items()))
-        h, rule = past.get((r["dataset"], r["check_id"], groups)), engine.config.rules.get(r["check_id"])
-        items.append(digest.Item(r["dataset"], r["check_id"], groups, r["state"], h and h.previous_state, h.failed_since if h and r["state"] == FAILED else None, r["observed"], r["expected"], r["reason_code"], r["population"], r["violations"], r["severity"], bool(rule and rule.status == "proposed"), tuple(why.get(r["evaluation_id"], ()))))
-    return [(d, digest.text(d, engine.config.defaults.environment, engine.run_id)) for d in digest.build(engine.config, items)]
+        seen.add((r["dataset"], r["check_id"], groups))
+        h, rule = known.get((r["dataset"], r["check_id"], groups)), config.rules.get(r["check_id"])
+        items.append(digest.Item(r["dataset"], r["check_id"], groups, r["state"], h and h.previous_state, h.failed_since if h and r["state"] == FAILED else None, r["observed"], r["expected"], r["reason_code"], r["population"], r["violations"], r["severity"], bool(rule and rule.status == "proposed"), tuple(why.get(r["evaluation_id"], ())), tuple(named.get(r["evaluation_id"], ())), engine.short_slots.get(r["evaluation_id"], ())))
+    # a group that failed when last seen and has no row although its check ran; a volume's groups are new each time
+    judged = {(r["dataset"], r["check_id"]) for r in engine.rows if r["state"] != "DID_NOT_RUN"}
+    gone = [digest.Item(r.dataset, r.check_id, r.groups, r.state) for r in past if r.state == FAILED and r.groups and r.check_id != "T1_VOLUME" and (r.dataset, r.check_id) in judged and (r.dataset, r.check_id, r.groups) not in seen]
+    return [(d, digest.text(d, config.defaults.environment, engine.run_id)) for d in digest.build(config, items, gone)]
 
 
 def _run(spark: SparkSession, config: Config, args) -> int:
@@ -117,7 +135,10 @@ def main(argv: list[str] | None = None) -> int:
         found = trace.follow(engine, args.dataset, args.key)
         for _, f in found:
             print(f"{f.dataset}: {f.rows} rows, record {f.record_ts}, load {f.load_ts}, file {f.file}")
-        print("gap: " + " ".join(trace.gap(found) or ["none"]))
+        gap = trace.gap(found)
+        print("gap: " + " ".join(gap or ["none"]))
+        for line in trace.stored_causes(engine, args.key, gap[1], gap[0]) if gap and gap[1] == args.dataset else []:
+            print(f"cause: {line}")
         return 0
     if args.command == "watchdog":
         wrong = watchdog.alerts(spark.table(f"{db}.dq_run"), args.now or datetime.now(UTC), config.defaults.watchdog_grace_minutes)

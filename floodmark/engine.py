@@ -54,6 +54,7 @@ class Engine:
     run_id: str = field(default_factory=lambda: uuid.uuid4().hex)
     rows: list[dict] = field(default_factory=list)
     cause_rows: list[dict] = field(default_factory=list)
+    short_slots: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     # -- names and relations
 
@@ -404,6 +405,8 @@ class Engine:
         fresh = self._changed(rows)
         tables.append_values(self.spark, self.database, "dq_check_result", fresh)
         self.rows += rows
+        if job.check_id in ("T1_ON_TIME", "T1_ZERO_ROWS"):
+            self.short_slots |= {row["evaluation_id"]: tuple(s.isoformat() for s in r.evidence or ()) for row, r in zip(rows, results)}
         if job.check_id != "HOP_KEY_CURRENCY" or self.execution != "NORMAL" or self.secret is None:
             return True
         ok = True

@@ -53,13 +53,17 @@ def unusable(part: KeyPart) -> Column:
     return blank(part.column) | part.value().isNull()
 
 
+def hash_of(secret: bytes, key: str) -> str:
+    return hmac.new(secret, key.encode(), hashlib.sha256).hexdigest()
+
+
 def keyed_hash(secret: bytes):
     """HMAC-SHA256 of a key string in hex. The secret stays in the function's closure, out of plans and SQL text."""
 
     @F.pandas_udf("string")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for keys in batches:
-            yield keys.map(lambda k: None if k is None else hmac.new(secret, k.encode(), hashlib.sha256).hexdigest())
+            yield keys.map(lambda k: None if k is None else hash_of(secret, k))
 
     return hashed
 

@@ -6,9 +6,10 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from floodmark.config.loader import Config
-from floodmark.functions.keys import KeyPart
+from floodmark.functions.keys import BETWEEN, KeyPart, hash_of
 from floodmark.functions.times import as_utc
 from floodmark.report.frames import trace_layer
 
@@ -75,3 +76,14 @@ def gap(found: list[tuple[Layer, Found]]) -> tuple[str, str, str] | None:
             if here.record_ts and there.record_ts and here.record_ts < there.record_ts:
                 return up, layer.dataset, "STALE"
     return None
+
+
+def stored_causes(engine, values: list[str], dataset: str, upstream: str) -> list[str]:
+    """What causes the store has confirmed for a key at a hop, latest first; without a secret there are none."""
+    if engine.secret is None:
+        return []
+    ref = hash_of(engine.secret, BETWEEN.join(normalised(engine.spark, layers(engine.config, dataset)[-1].parts, values)))
+    found = engine.stored("dq_cause_result").where((F.col("failure_ref") == ref) & (F.col("hop") == f"{upstream}->{dataset}") & (F.col("state") == "CONFIRMED"))
+    results = engine.stored("dq_check_result").select("evaluation_id", "run_id", "window_end")
+    rows = found.join(results, ["evaluation_id", "run_id"]).orderBy(F.desc("window_end"), "order_no").collect()
+    return [f"{r.cause_code} in the window to {r.window_end:%Y-%m-%d %H:%M} UTC: {r.evidence}" for r in rows]

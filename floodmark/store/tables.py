@@ -19,6 +19,27 @@ COLUMNS: dict[str, str] = {
     "dq_file": "path string, feed string, first_seen_at timestamp, size_bytes bigint, modified_at timestamp, observed_at timestamp, run_id string",
 }
 TABLES = tuple(COLUMNS)
+#: The views for SQL users, as in store.views: latest rows by maxima of structs, no window where an aggregate does.
+VIEWS: dict[str, str] = {
+    "v_latest_run": "SELECT r.* FROM (SELECT max_by(struct(*), struct(status <> 'STARTED', ended_at)) AS r FROM {db}.dq_run GROUP BY run_id)",
+    "v_latest_result": "SELECT * EXCEPT (_rank) FROM (SELECT *, dense_rank() OVER (PARTITION BY dataset, check_id ORDER BY window_end DESC, evaluated_at DESC, run_id DESC) AS _rank FROM {db}.dq_check_result) WHERE _rank = 1",
+    "v_open_keys": """
+        WITH last AS (
+          SELECT dataset, check_id, hop, key_hash, max(struct(observed_at, run_id, event, state_detail, evaluation_id)) AS e, max(CASE WHEN event = 'CLEARED' THEN observed_at END) AS cleared_at
+          FROM {db}.dq_key_event GROUP BY dataset, check_id, hop, key_hash
+        ), spell AS (
+          SELECT v.dataset, v.check_id, v.hop, v.key_hash, min(v.observed_at) AS first_flagged_at
+          FROM {db}.dq_key_event v JOIN last l ON v.dataset = l.dataset AND v.check_id = l.check_id AND v.hop = l.hop AND v.key_hash = l.key_hash
+          WHERE v.event <> 'CLEARED' AND l.e.event <> 'CLEARED' AND (l.cleared_at IS NULL OR v.observed_at > l.cleared_at)
+          GROUP BY v.dataset, v.check_id, v.hop, v.key_hash
+        )
+        SELECT l.dataset, l.check_id, l.hop, l.key_hash, l.e.event AS latest_event, l.e.state_detail, s.first_flagged_at, l.e.observed_at AS last_observed_at, l.e.run_id, l.e.evaluation_id
+        FROM last l LEFT JOIN spell s ON s.dataset = l.dataset AND s.check_id = l.check_id AND s.hop = l.hop AND s.key_hash = l.key_hash
+        WHERE l.e.event <> 'CLEARED'""",
+    "v_file_status": """
+        SELECT path, e.feed, first_seen_at, e.size_bytes AS latest_size_bytes, e.modified_at AS latest_modified_at, e.observed_at AS last_observed_at
+        FROM (SELECT path, min(first_seen_at) AS first_seen_at, max(struct(observed_at, run_id, feed, size_bytes, modified_at)) AS e FROM {db}.dq_file GROUP BY path)""",
+}
 OK, MISSING, DIFFERS = "OK", "MISSING", "DIFFERS"
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
@@ -38,7 +59,7 @@ def statements(database: str) -> list[str]:
     database = checked_name(database)
     out = [f"CREATE DATABASE IF NOT EXISTS {database}"]
     out += [f"CREATE TABLE IF NOT EXISTS {database}.{t} ({c}, run_date date) USING orc PARTITIONED BY (run_date)" for t, c in COLUMNS.items()]
-    return out
+    return out + [f"CREATE VIEW IF NOT EXISTS {database}.{v} AS {q.format(db=database).strip()}" for v, q in VIEWS.items()]
 
 
 def install(spark: SparkSession, database: str) -> None:
@@ -47,7 +68,7 @@ def install(spark: SparkSession, database: str) -> None:
 
 
 def status(spark: SparkSession, database: str) -> dict[str, str]:
-    """OK, MISSING or DIFFERS (columns or partitioning) of each table."""
+    """OK, MISSING or DIFFERS of each table (its columns or partitioning) and view (its text, whatever its white space)."""
     out = {}
     for t in TABLES:
         full = f"{checked_name(database)}.{t}"
@@ -58,6 +79,15 @@ def status(spark: SparkSession, database: str) -> dict[str, str]:
         wanted = {f.name: f.dataType.simpleString() for f in schema_of(spark, t).fields}
         parts = [c.name for c in spark.catalog.listColumns(full) if c.isPartition]
         out[t] = OK if found == wanted and parts == ["run_date"] else DIFFERS
+    for v, query in VIEWS.items():
+        full = f"{checked_name(database)}.{v}"
+        if not spark.catalog.tableExists(full):
+            out[v] = MISSING
+        elif all(out[t] == OK for t in TABLES):
+            stored = next((r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {full}").collect() if r.col_name == "View Text"), "")
+            out[v] = OK if " ".join(stored.split()) == " ".join(query.format(db=database).split()) else DIFFERS
+        else:
+            out[v] = DIFFERS
     return out
 
 

@@ -147,6 +147,11 @@ def test_a_whole_run(lake, conf):
     rerun = lake.table("dq.dq_check_result").where("execution_type = 'RERUN' AND check_id = 'T1_KEY_DUPLICATES'")
     assert rerun.count() == 0
     assert later.retries().count() == 0
+    for view, same in (("v_open_keys", views.open_keys(lake.table("dq.dq_key_event"))), ("v_file_status", views.file_status(lake.table("dq.dq_file"))), ("v_latest_run", views.latest_run(lake.table("dq.dq_run"))), ("v_latest_result", views.latest_result(lake.table("dq.dq_check_result")))):
+        seen = lake.table(f"dq.{view}")
+        assert sorted(seen.columns) == sorted(same.columns)
+        key = [c for c in ("run_id", "key_hash", "path", "evaluation_id", "latest_event", "status", "first_flagged_at") if c in same.columns]
+        assert sorted(map(tuple, seen.select(*key).collect()), key=str) == sorted(map(tuple, same.select(*key).collect()), key=str), view
 
 
 def test_trace_finds_the_gap(lake, conf):
@@ -161,7 +166,10 @@ def test_command_line(lake, conf, capsys):
     assert main(["--conf", str(conf), "dry-run"]) == 0
     assert main(["--conf", str(conf), "install", "check"]) == 0
     assert main(["--conf", str(conf), "trace", "gold", "3"]) == 0
-    assert "gap: raw gold MISSING" in capsys.readouterr().out
+    assert main(["--conf", str(conf), "trace", "gold", "2"]) == 0
+    said = capsys.readouterr().out
+    assert "cause: OLDER_VERSION_WRITTEN_LATER" in said
+    assert "gap: raw gold MISSING" in said
     assert main(["--conf", str(conf), "retention"]) == 0
 
 
