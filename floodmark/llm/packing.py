@@ -38,8 +38,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int =
         enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             out = []
-            for row, doc_id, text in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                data, at = enc.encode(text) + end, 0
+            for row, doc_id, data in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), enc.encode_all(b.column("text").to_pylist())):
+                data, at = data + end, 0
                 for k, n in enumerate(piece_lengths(len(data) // 4, most)):
                     ids = data[4 * at : 4 * (at + n)]
                     out.append((doc_id, row, k, at, n, zlib.crc32(ids), ids if with_ids else None))

@@ -82,8 +82,8 @@ def _objects(path: str, end_id: int):
                 for k, v in out.items():
                     v.append(cells.get(k))
 
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                data = enc.encode(text) + end
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), enc.encode_all(batch.column("text").to_pylist())):
+                data += end
                 ids, last, names = np.frombuffer(data, dtype="<u4"), 0, []
                 for stop in cuts(ids):
                     name = digest(data[4 * last : 4 * stop])

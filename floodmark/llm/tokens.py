@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -20,24 +21,61 @@ _WORD_START = re.compile(r"(?<=\S)(?=\s)")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
-class _Words(dict):
-    """Word to the little-endian unsigned 32-bit ids of lead + word. A full cache becomes the old generation, from which words
-    that are met again come back."""
+class _Words:
+    """`ids`: word to the little-endian unsigned 32-bit ids of lead + word. A full cache becomes the old generation, from which
+    words that are met again come back."""
 
     def __init__(self, tokenizer, lead: str):
-        self.tokenizer, self.lead, self.old = tokenizer, lead, {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.pop(word, None)
+        self.tokenizer, self.lead = tokenizer, lead
+        self.ids: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        newline = tokenizer.encode("\n", add_special_tokens=False).ids
+        self.newline = newline[0] if len(newline) == 1 else None
+
+    def age(self) -> None:
+        if len(self.ids) >= CACHE_WORDS:
+            self.ids, self.old = {}, self.ids
+
+    def learn(self, words: list[str]) -> None:
+        """Adds words without white space. A line end between such words is a token of its own and changes neither, so new
+        words are encoded as lines of one text, which costs the library far less than a call for each."""
+        known, new = self.ids, []
+        for w in dict.fromkeys(words):
+            ids = self.old.pop(w, None)
+            if ids is None:
+                new.append(w)
+            else:
+                known[w] = ids
+        if not new:
+            return
+        lead = self.lead
+        found = self.tokenizer.encode(lead + f"\n{lead}".join(new), add_special_tokens=False).ids
+        ids = np.array(found, dtype="<u4")
+        stops = [*np.flatnonzero(ids == self.newline).tolist(), len(ids)] if self.newline is not None else []
+        if len(stops) != len(new):
+            for w in new:
+                known[w] = self.one(w)
+            return
+        data, at = ids.tobytes(), 0
+        for w, stop in zip(new, stops):
+            known[w] = data[at : 4 * stop]
+            at = 4 * stop + 4
+
+    def one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(self.lead + word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def get(self, word: str) -> bytes:
+        """The ids of anything, white space included."""
+        ids = self.ids.get(word)
         if ids is None:
-            ids = np.array(self.tokenizer.encode(self.lead + word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= CACHE_WORDS:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
+            self.ids[word] = ids = self.one(word)
         return ids
 
 
+#: Texts whose new words go to the library together.
+TOGETHER = 64
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,26 +83,78 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.specials = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.cuttable = '"ByteLevel"' in str(self.tokenizer.pre_tokenizer) or "ByteLevel(" in str(self.tokenizer.pre_tokenizer)
+        self.cuttable = "ByteLevel(" in str(self.tokenizer.pre_tokenizer)
         self.first, self.later = _Words(self.tokenizer, ""), _Words(self.tokenizer, " ")
+        self.newline = self.first.one("\n")
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers; null and empty texts have none."""
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The same for each of many texts, in order."""
+        for at in range(0, len(texts), TOGETHER):
+            yield from self._together(texts[at : at + TOGETHER])
+
+    def _plain(self, text: str) -> bool:
+        """Single spaces and line ends are all the white space there is, and only between words."""
+        return not (_OTHER_SPACE.search(text) or text[0] in " \n" or text[-1] in " \n" or any(d in text for d in _DOUBLE))
+
+    def _together(self, texts: list[str | None]) -> list[bytes]:
+        self.first.age()
+        self.later.age()
+        first, later = self.first.ids, self.later.ids
+        out: list[bytes] = []
+        parts: list[tuple | None] = []
+        heads_new: list[str] = []
+        words_new: list[str] = []
+        for text in texts:
+            if not text or not self.cuttable or any(s in text for s in self.specials) or not self._plain(text):
+                parts.append(None)
+                continue
+            heads, rests = [], []
+            for line in text.split("\n"):
+                head, _, rest = line.partition(" ")
+                heads.append(head)
+                rests.append(rest)
+            words = " ".join([r for r in rests if r]).split(" ")
+            if words == [""]:
+                words = []
+            ids = list(map(later.get, words))
+            holes = [k for k, i in enumerate(ids) if i is None] if None in ids else ()
+            words_new += [words[k] for k in holes]
+            heads_new += [h for h in heads if h not in first]
+            parts.append((heads, rests, words, ids, holes))
+        self.first.learn(heads_new)
+        self.later.learn(words_new)
+        for text, part in zip(texts, parts):
+            if part is None:
+                out.append(self._odd(text))
+                continue
+            heads, rests, words, ids, holes = part
+            for k in holes:
+                ids[k] = later[words[k]]
+            if len(heads) == 1:
+                out.append(first[heads[0]] + b"".join(ids))
+                continue
+            flat, at = [], 0
+            for head, rest in zip(heads, rests):
+                n = rest.count(" ") + 1 if rest else 0
+                flat.append(first[head])
+                flat += ids[at : at + n]
+                flat.append(self.newline)
+                at += n
+            flat.pop()
+            out.append(b"".join(flat))
+        return out
+
+    def _odd(self, text: str | None) -> bytes:
+        """Texts that the short way doesn't suit: empty, with a special token's string, or with other white space."""
         if not text:
             return b""
         if not self.cuttable or any(s in text for s in self.specials):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        first, later = self.first, self.later
-        if _OTHER_SPACE.search(text) or text[0] in " \n" or text[-1] in " \n" or any(d in text for d in _DOUBLE):
-            return b"".join([first[w] for w in _WORD_START.split(text)])
-        out = []
-        for k, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if k:
-                out.append(first["\n"])
-            out.append(first[words[0]])
-            out.extend([later[w] for w in words[1:]])
-        return b"".join(out)
+        return b"".join([self.first.get(w) for w in _WORD_START.split(text)])
 
 
 def encoder(path: str) -> Encoder:
