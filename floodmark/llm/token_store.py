@@ -171,34 +171,31 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/objects").where("kind = 'c'").select("name", "width", "ids").mapInArrow(run, "name binary, chunk_n long, crc long")
 
 
-def _times(a: int, b: int) -> int:
-    """Product of two polynomials modulo the CRC-32 one, lowest bit first."""
-    out = 0
-    while a:
-        if a & 0x80000000:
-            out ^= b
-        a = (a << 1) & 0xFFFFFFFF
-        b = (b >> 1) ^ 0xEDB88320 if b & 1 else b >> 1
-    return out
+_ZEROS = bytes(1 << 16)
 
 
 @lru_cache(maxsize=8192)
-def _shift(n_bytes: int) -> int:
-    """x to the 8 n_bytes, modulo the CRC-32 polynomial."""
-    out, square = 0x80000000, 0x00800000
-    while n_bytes:
-        if n_bytes & 1:
-            out = _times(square, out)
-        square = _times(square, square)
-        n_bytes >>= 1
-    return out
+def _zeros_crc(size: int, start: int = 0) -> int:
+    return _over_zeros(start, size)
+
+
+def _over_zeros(crc: int, size: int) -> int:
+    """The checksum `crc` carried on over `size` zero bytes."""
+    view = memoryview(_ZEROS)
+    while size > len(_ZEROS):
+        crc, size = zlib.crc32(_ZEROS, crc), size - len(_ZEROS)
+    return zlib.crc32(view[:size], crc)
 
 
 def join_crc(parts: list[tuple[int, int]]) -> int:
-    """CRC-32 of concatenated pieces from each one's (bytes, CRC-32)."""
+    """CRC-32 of concatenated pieces from each one's (bytes, CRC-32).
+
+    A checksum carried on over a piece is an affine function of where it started, so it differs from the piece's own as it would
+    over as many zeros.
+    """
     out = 0
     for size, crc in parts:
-        out = _times(_shift(size), out) ^ crc
+        out = _over_zeros(out, size) ^ _zeros_crc(size) ^ crc
     return out
 
 
