@@ -181,27 +181,31 @@ def _positions(n: int, n_tokens: int, n_words: int, frequent):
                 base = np.add.reduceat(np.log10((of + 1) / (n_tokens + n_words + 1)), first)
                 known = np.add.reduceat((of > 0).astype(np.int64), first)
                 yield _rows([(-1 - (r["block"] % n), r["block"], pack(base, known, lengths, train))], "part int, block long, data binary")
-                doc = np.repeat(np.arange(len(lengths)), lengths)
+                small = lambda x: x.astype(np.int32, copy=False)  # noqa: E731  half the memory of a dozen arrays of all positions
+                doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
                 wide = np.concatenate([hashes, np.array([START, BEFORE], dtype=np.uint64)])
                 wide_counts = np.concatenate([counts, [n_tokens, n_tokens]])
-                nth = np.arange(len(stream)) - first[doc]
-                last = np.where(nth > 0, np.roll(stream, 1).astype(np.int64), len(hashes))
-                before = np.where(nth > 1, np.roll(stream, 2).astype(np.int64), np.where(nth == 1, len(hashes), len(hashes) + 1))
+                nth = np.arange(len(stream), dtype=np.int32) - small(first)[doc]
+                stream = small(stream)
+                last = np.where(nth > 0, np.roll(stream, 1), np.int32(len(hashes)))
+                before = np.where(nth > 1, np.roll(stream, 2), np.where(nth == 1, np.int32(len(hashes)), np.int32(len(hashes) + 1)))
+                del nth
                 can = np.flatnonzero(wide_counts[last] > 1)  # a state needs two training tokens
                 last, before, following, doc, of = last[can], before[can], stream[can], doc[can], of[can]
                 splits = wide_counts[last] // HOT_CONTEXT + 1
                 with np.errstate(over="ignore"):
                     state = (wide[last] + _MIX * ((wide[before] >> np.uint64(17)) % splits.astype(np.uint64))) * _MIX
                 state ^= state >> np.uint64(31)
-                part = (state % np.uint64(n)).astype(np.int64)
+                part = (state % np.uint64(n)).astype(np.int32)
                 order = np.lexsort((state, part))
                 stops = np.searchsorted(part[order], np.arange(n + 1))
+                del part, splits
                 code = (wide >> np.uint64(32)).astype(np.uint32) | RARE
                 if len(common):
                     place = np.minimum(np.searchsorted(common, wide), len(common) - 1)
                     known = common[place] == wide
                     code[known] = ranks[place[known]]
-                flag = doc.astype("<u4") * 2 + train[doc]
+                flag = doc.astype("<u4") * np.uint32(2) + train[doc]
                 for p in range(n):
                     o = order[stops[p] : stops[p + 1]]
                     if len(o):
