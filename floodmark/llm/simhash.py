@@ -251,43 +251,242 @@ def near_duplicates(docs: DataFrame, size: int = 4, list_rows: int = LIST_ROWS)
     return fps.join(named, "fp")
 
 
-LOOKS, WIDE = 3, 4
+SHORT_LIST, SAMPLED, HOT_SHINGLES, MAP = 64, 10_000, 100_000, 4
 
 
-def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
-    """row, doc_id, LOOKS fingerprints of the distinct words of over three characters (l0, l1, ...) and 64 WIDE bits of the
-    shingles (w0, w1, ...) of each row of docs (row, doc_id, text). Texts of short words alone are posted by all words."""
-    names = [f"l{k}" for k in range(LOOKS)] + [f"w{k}" for k in range(WIDE)]
+def shingle_sets(docs: DataFrame, size: int, kept: list[str]) -> DataFrame:
+    """row, doc_id, node (a hash of the set) and, as named in `kept`, n and shingles of each row of docs (row, doc_id, text):
+    the distinct hashes of its runs of `size` words in order, 8 bytes each."""
+    schema = ["row long", "doc_id long", "node long", *[{"n": "n int", "shingles": "shingles binary"}[c] for c in kept]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = np.zeros((b.num_rows, len(names)), dtype=np.uint64)
-            for r, text in enumerate(b.column("text").to_pylist()):
-                ws = text.encode().lower().split() if text else []
-                some = {w for w in ws if len(w) > 3} or set(ws)
-                one = np.array([xxhash.xxh64_intdigest(w, 42) for w in some], dtype="<u8")
-                runs = word_hashes(ws, size)
-                rows[r] = [majority(mixed(one, k)) for k in range(LOOKS)] + [majority(mixed(runs, k)) for k in range(WIDE)]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), *[pa.array(rows[:, k].view(np.int64)) for k in range(len(names))]], ["row", "doc_id", *names])
+            sets = [np.unique(word_hashes(t.encode().lower().split() if t else [], size)) for t in b.column("text").to_pylist()]
+            node = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), 42) for s in sets], dtype=np.uint64).view(np.int64)
+            more = {"n": lambda: pa.array([len(s) for s in sets], pa.int32()), "shingles": lambda: pa.array([s.tobytes() for s in sets], pa.binary())}
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(node), *[more[c]() for c in kept]], ["row", "doc_id", "node", *kept])
 
-    return docs.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "row long, doc_id long, " + ", ".join(f"{x} long" for x in names))
+    return docs.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(schema))
+
+
+def _least_overlap(sizes, similarity: float):
+    """The least number of common members with which two sets of so many members in all have that Jaccard similarity."""
+    return np.ceil(sizes * (similarity / (1 + similarity)) - 1e-9).astype(np.int64)
+
+
+def _hot(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles met often in a sample of sets, in order, and their places from rare to frequent. They only order the
+    prefixes: any order gives the same pairs, this one gives short lists."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in b.column("shingles").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s, "<i8"))], ["h"])
+
+    share = max(1, sets.count() // SAMPLED)
+    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select("shingles").mapInArrow(members, "h long")
+    met = some.groupBy("h").count().where("count >= 5").orderBy(F.desc("count"), "h").limit(HOT_SHINGLES).collect()
+    h = np.array([r.h for r in reversed(met)], dtype=np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], order + 1
+
+
+def _postings(sets: DataFrame, similarity: float, hot) -> DataFrame:
+    """key, node, n, at and the 64 * MAP bits of a parity map for each member of a prefix of each set.
+
+    In one order of all shingles (hot ones last), sets of Jaccard similarity t and over share a member of their first
+    n - ceil(t n) + 1. A shingle turns one bit of the map, so two maps differ in no more bits than their sets in members.
+    """
+    names = ["key", "node", "n", "at", *[f"m{k}" for k in range(MAP)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, places = hot.value
+        for b in batches:
+            out: list[list[np.ndarray]] = []
+            for node, s in zip(b.column("node").to_pylist(), b.column("shingles").to_pylist()):
+                h = np.frombuffer(s, "<u8")
+                most = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
+                place = np.zeros(len(h), dtype=np.int64)
+                if len(common):
+                    near = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    place = np.where(common[near] == h, places[near], 0)
+                first = h[np.argsort(place, kind="stable")[:most]]
+                bits = np.packbits(np.bincount((mixed(h, 0) % np.uint64(64 * MAP)).astype(np.int64), minlength=64 * MAP) & 1, bitorder="little").view("<i8")
+                full = lambda x: np.full(len(first), x, dtype=np.int64)
+                out.append([first.view(np.int64), full(node), full(len(h)), np.arange(len(first)), *[full(x) for x in bits]])
+                if len(out) >= 200:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
+
+    return sets.select("node", "shingles").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+class _Posted:
+    """Postings as arrays: node, members of its set, place in its prefix, parity map, block of its list and component."""
+
+    COLUMNS = ("key", "node", "n", "at", "side", "component")
+
+    def __init__(self, b: pa.RecordBatch | None = None):
+        if b is not None:
+            longs = lambda c: b.column(c).to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+            for c in self.COLUMNS:
+                setattr(self, c, longs(c))
+            self.map = np.stack([longs(f"m{k}").view(np.uint64) for k in range(MAP)], axis=1)
+
+    def __getitem__(self, rows) -> "_Posted":
+        out = _Posted()
+        for c in (*self.COLUMNS, "map"):
+            setattr(out, c, getattr(self, c)[rows])
+        return out
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+    def joined(self, other: "_Posted") -> "_Posted":
+        out = _Posted()
+        for c in (*self.COLUMNS, "map"):
+            setattr(out, c, np.concatenate([getattr(self, c), getattr(other, c)]))
+        return out
+
+    def may(self, other: "_Posted", similarity: float, table: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Whether pairs can be similar if this is their first common member, and how many bits their maps differ in."""
+        of = (lambda x, y, f: f(x[:, None], y[None, :])) if table else (lambda x, y, f: f(x, y))
+        sizes = of(self.n, other.n, np.add)
+        least = _least_overlap(sizes, similarity)
+        keep = (of(self.n - self.at, other.n - other.at, np.minimum) >= least) & of(self.node, other.node, np.not_equal)
+        if self.component.any() or other.component.any():
+            keep &= of(self.component, other.component, np.not_equal)
+        apart = np.zeros(sizes.shape, dtype=np.int64)
+        for k in range(MAP):
+            apart += np.bitwise_count(of(self.map[:, k], other.map[:, k], np.bitwise_xor))
+        return keep & (apart <= sizes - 2 * least), apart
+
+
+def _star_pairs(x: _Posted, similarity: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each member of a list with the first that it may be similar to of a few hubs: never more pairs than members."""
+    out, todo = [], np.arange(len(x))
+    while len(todo) > 1:
+        hub, todo = todo[:1], todo[1:]
+        hit = x[hub].may(x[todo], similarity, table=True)[0][0]
+        out.append((x.node[np.repeat(hub, hit.sum())], x.node[todo[hit]]))
+        todo = todo[~hit]
+    return out
+
+
+def _cross_pairs(x: _Posted, similarity: float, closest: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a list that may be similar, across its two blocks if it has two; with `closest`, one for each two components."""
+    low = np.flatnonzero(x.side == x.side.min())
+    high = np.flatnonzero(x.side == x.side.max())
+    inside = len(low) == len(x)
+    out = []
+    for k in range(0, len(low), 256):
+        some = low[k : k + 256]
+        keep, apart = x[some].may(x[high], similarity, table=True)
+        i, j = np.nonzero(keep)
+        a, b, far = some[i], high[j], apart[i, j]
+        if inside:
+            a, b, far = a[a < b], b[a < b], far[a < b]
+        if closest and len(a):
+            ends = np.sort(np.stack([x.component[a], x.component[b]], axis=1), axis=1)
+            order = np.lexsort((far, ends[:, 1], ends[:, 0]))
+            new = np.concatenate([[True], (np.diff(ends[order], axis=0) != 0).any(axis=1)])
+            a, b = a[order[new]], b[order[new]]
+        out.append((x.node[a], x.node[b]))
+    return out
+
+
+def _met(postings: DataFrame, similarity: float, how: str) -> DataFrame:
+    """Pairs (a, b), a < b, that the lists of `postings` show: all, a star or the closest of each two components."""
+
+    def pairs(x: _Posted) -> pa.RecordBatch:
+        edges = np.flatnonzero(np.diff(x.key)) + 1
+        starts, stops = np.concatenate([[0], edges]), np.concatenate([edges, [len(x)]])
+        two = starts[stops - starts == 2] if how == "all" else starts[:0]
+        two = two[x.side[two] == x.side[two + 1]]
+        a, b = x[two], x[two + 1]
+        hit = a.may(b, similarity)[0]
+        out = [(a.node[hit], b.node[hit])]
+        more = (stops - starts > 2) | (stops - starts == 2) & ~np.isin(starts, two)
+        for s, e in zip(starts[more].tolist(), stops[more].tolist()):
+            out += _star_pairs(x[s:e], similarity) if how == "star" else _cross_pairs(x[s:e], similarity, how == "closest")
+        a, b = (np.concatenate([o[k] for o in out]) for k in range(2))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held = _Posted(b) if held is None else held.joined(_Posted(b))
+            whole = int(np.searchsorted(held.key, held.key[-1]))
+            if whole:
+                yield pairs(held[:whole])
+                held = held[whole:]
+        if held is not None and len(held):
+            yield pairs(held)
+
+    columns = [*_Posted.COLUMNS, *[f"m{k}" for k in range(MAP)]]
+    dealt = postings.select(*columns).repartition(n_partitions(postings.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have at least that Jaccard similarity, from all their members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = (np.frombuffer(s.as_buffer(), "<u8") for s in (x, y))
+                keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= _least_overlap(np.int64(len(x) + len(y)), similarity))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    both = ends.join(sets.select("node", "shingles"), "node").groupBy("a", "b")
+    both = both.agg(F.max(F.when(F.col("node") == F.col("a"), F.col("shingles"))).alias("x"), F.max(F.when(F.col("node") == F.col("b"), F.col("shingles"))).alias("y"))
+    return staged(both.mapInArrow(run, "a long, b long"), "similar")
+
+
+def similar_links(sets: DataFrame, similarity: float, list_rows: int = LIST_ROWS, short_list: int = SHORT_LIST) -> DataFrame:
+    """Links (a, b) of sets (node, n, shingles; nodes once each), each of at least that Jaccard similarity, with the connected
+    components of all such pairs.
+
+    Lists of up to `short_list` give all their pairs. A longer one gives stars, then the closest of each two components
+    still apart, then all pairs still apart, so a large group's pairs aren't listed; blocks of `list_rows` are tasks of their own.
+    """
+    spark = sets.sparkSession
+    postings = _postings(sets, similarity, spark.sparkContext.broadcast(_hot(sets))).withColumn("component", F.lit(0).cast("long"))
+    lists = postings.groupBy("key").count().where(F.col("count") > short_list)
+    lists = staged(lists.select("key", F.ceil(F.col("count") / list_rows).cast("int").alias("blocks")), "long-lists")
+    if lists.isEmpty():
+        return _similar(staged(_met(postings.withColumn("side", F.lit(-1)), similarity, "all"), "candidates"), sets, similarity)
+    rest = postings.join(lists, "key", "left_anti").withColumn("side", F.lit(-1))
+    long = staged(postings.join(lists, "key").withColumn("side", F.pmod(F.xxhash64(F.lit("side"), "node"), F.col("blocks")).cast("int")), "long-postings")
+    stars = _met(long.withColumn("key", F.xxhash64("key", "side")), similarity, "star")
+    links = _similar(staged(_met(rest, similarity, "all").unionByName(stars).distinct(), "candidates"), sets, similarity)
+    pairs = long.drop("component").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("key", F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")))
+    for how in ("closest", "all"):
+        placed = pairs.join(components(links), "node", "left").withColumn("component", F.coalesce("root", "node"))
+        links = links.unionByName(_similar(staged(_met(placed, similarity, how), "candidates"), sets, similarity))
+    return links
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, list_rows: int = LIST_ROWS) -> DataFrame:
     """docs (doc_id, text and others) with one row, that of least doc_id, for each group of near duplicates.
 
-    Shingles of `size` words give 256 bits; rows link if at least `similarity` of those are equal, which pairs whose shingle
-    sets have that Jaccard similarity are with a probability of 0.98 and over. As pairs that like may have few bytes of these
-    bits in common, they meet by the positional bytes of three fingerprints of their distinct words, which differ
-    far less, and are verified on the 256. Null, empty and blank texts are one group; null doc_ids come first; repeated rows
+    Rows link if the sets of their shingles of `size` words have at least that Jaccard similarity, and groups are the
+    components of all such links: no pair is missed and none below links. Candidates meet by a prefix filter and are verified on
+    all their shingles. Null, empty and blank texts are one group; null doc_ids come first; repeated rows
     are near duplicates. docs must come the same each time it is read, as tables do.
     """
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    marks = [f"l{k}" for k in range(LOOKS)] + [f"w{k}" for k in range(WIDE)]
-    signed = staged(signatures(rows.select(F.col("_row").alias("row"), "doc_id", "text"), size), "signatures")
-    nodes = signed.groupBy(*marks).agg(F.min(F.struct("doc_id", "row")).alias("least")).withColumn("node", F.xxhash64(*marks))
+    named = rows.select(F.col("_row").alias("row"), "doc_id", "text")
+    nodes = shingle_sets(named, size, []).groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("least"))
     nodes = staged(nodes, "nodes")
-    links = near_links(nodes.drop("least"), marks[:LOOKS], marks[LOOKS:], bits=int((1 - similarity) * 64 * WIDE), least_shared=3, list_rows=list_rows)
-    roots = components(links)
+    first = named.join(nodes.select(F.col("least.row").alias("row")), "row", "left_semi")
+    sets = staged(shingle_sets(first, size, ["n", "shingles"]).select("node", "n", "shingles"), "shingle-sets")
+    roots = components(similar_links(sets, similarity, list_rows))
     grouped = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     return rows.join(grouped.select(F.col("least.row").alias("_row")), "_row", "left_semi").select(*docs.columns)

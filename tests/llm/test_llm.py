@@ -478,3 +478,67 @@ def test_pipeline(spark):
     out = corpus_pipeline.STAGES[-1][1](spark, kept, sf)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == set(ids)
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+# -- near duplicates by exact similarity
+
+def brute_groups(texts, similarity=0.8):
+    """Components of all pairs of texts whose sets of five-word shingles have that Jaccard similarity."""
+    sets = []
+    for t in texts:
+        ws = t.lower().split()
+        sets.append({tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))})
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return [find(k) for k in range(len(texts))]
+
+
+def kept_ids(spark, texts, **more):
+    rows = [(k, t) for k, t in enumerate(texts)]
+    return sorted(r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **more).collect())
+
+
+def test_appended_truncated_and_edited_copies_meet(spark):
+    """Copies down to a similarity of 0.8, of which byte positions of fingerprints lost about half."""
+    rng = random.Random(8)
+    texts = []
+    for k, n in enumerate([20, 60, 60, 150, 150, 400] * 8):
+        ws = [f"t{k}w{rng.randrange(4000)}" for _ in range(n)]
+        cut = int(n * rng.uniform(0.1, 0.19))
+        at = rng.randrange(n - cut)
+        texts += [" ".join(ws), " ".join([*ws, *[f"new{k}x{i}" for i in range(cut)]]), " ".join(ws[:-cut]), " ".join([*ws[:at], *[f"e{k}x{i}" for i in range(cut // 2)], *ws[at + cut // 2 :]])]
+    want = brute_groups(texts)
+    assert len(set(want)) < 80
+    assert kept_ids(spark, texts) == sorted(set(want))
+
+
+def test_long_lists_link_the_same_groups(spark):
+    """Large groups of near copies and a line that many texts hold, with lists taken as long and split in blocks."""
+    rng = random.Random(9)
+    line = "a line that very many of these texts hold word for word"
+    texts = []
+    for k in range(4):
+        ws = [f"g{k}w{rng.randrange(900)}" for _ in range(70)]
+        for _ in range(25):
+            texts.append(" ".join([line, *ws]))
+            for _ in range(1):
+                ws[rng.randrange(70)] = f"x{rng.randrange(10**6)}"
+    texts += [" ".join([line, *[f"s{k}w{i}" for i in range(rng.randint(3, 12))]]) for k in range(60)]
+    want = brute_groups(texts)
+    rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "row long, doc_id long, text string")
+    sets = simhash.shingle_sets(rows, 5, ["n", "shingles"]).dropDuplicates(["node"]).cache()
+    ids = {r.node: r.doc_id for r in sets.collect()}
+    roots = {ids[r.node]: ids[r.root] for r in simhash.components(simhash.similar_links(sets, 0.8, list_rows=16, short_list=3)).collect()}
+    got = [roots.get(k, k) for k in range(len(texts))]
+    assert len(set(got)) < len(texts) - 60
+    assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
