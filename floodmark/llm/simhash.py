@@ -5,6 +5,8 @@ hold one of the 20 position triples of `TRIPLES`, so a fingerprint is posted und
 such pair meets in a list. There the shared positional bytes of a pair are tallied, pairs under the guaranteed minimum go,
 and the rest are verified on all bits. A list gives a star for each of its connected groups, never its pairs; a
 list longer than `LIST_ROWS` is split in blocks, of which each two meet in a task of their own.
+
+`drop_near_duplicates` goes by exact Jaccard similarity instead: a prefix filter over shingle hashes and a check of all shingles.
 """
 
 from __future__ import annotations

@@ -509,7 +509,7 @@ def kept_ids(spark, texts, **more):
 
 
 def test_appended_truncated_and_edited_copies_meet(spark):
-    """Copies down to a similarity of 0.8, of which byte positions of fingerprints lost about half."""
+    """Copies down to a similarity of 0.8, of which byte positions of fingerprints lost some."""
     rng = random.Random(8)
     texts = []
     for k, n in enumerate([20, 60, 60, 150, 150, 400] * 8):
@@ -542,3 +542,12 @@ def test_long_lists_link_the_same_groups(spark):
     got = [roots.get(k, k) for k in range(len(texts))]
     assert len(set(got)) < len(texts) - 60
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
+
+
+def test_a_repeated_line_is_one(spark):
+    """A copy with lines repeated has nearly the same set of shingles; repeats once outweighed the rest."""
+    texts = []
+    for k, (n, times) in enumerate([(200, 5), (200, 20), (1000, 50)]):
+        ws = [f"r{k}w{i}" for i in range(n)]
+        texts += [" ".join(ws), " ".join(ws + ws[-10:] * times)]
+    assert kept_ids(spark, texts) == [0, 2, 4]
