@@ -551,3 +551,12 @@ def test_a_repeated_line_is_one(spark):
         ws = [f"r{k}w{i}" for i in range(n)]
         texts += [" ".join(ws), " ".join(ws + ws[-10:] * times)]
     assert kept_ids(spark, texts) == [0, 2, 4]
+
+
+def test_nothing_below_the_limit_goes(spark):
+    """Pairs of similarity 0.65 to 0.79 all stay, beside one of 0.8 that goes."""
+    texts = []
+    for k, more in enumerate([*range(54, 26, -2), 25]):  # 104 words are 100 shingles, each word more one more
+        ws = [f"b{k}w{i}" for i in range(104)]
+        texts += [" ".join(ws), " ".join([*ws, *[f"c{k}w{i}" for i in range(more)]])]
+    assert kept_ids(spark, texts) == list(range(len(texts) - 1))
