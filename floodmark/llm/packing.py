@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floodmark.llm.common import parts_for, staged
-from floodmark.llm.tokens import encoder
+from floodmark.llm.tokens import encoder, groups
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, ids binary"
 PLACED = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, filled long"
@@ -36,9 +36,9 @@ def cut_pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int =
 
     def run(batches):
         enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        for b in batches:
+        for b in (b.slice(*some) for b in batches for some in groups(b.column("text"))):
             out = []
-            for row, doc_id, data in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), enc.encode_all(b.column("text").to_pylist())):
+            for row, doc_id, data in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), enc.encode_all(b.column("text"))):
                 data, at = data + end, 0
                 for k, n in enumerate(piece_lengths(len(data) // 4, most)):
                     ids = data[4 * at : 4 * (at + n)]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floodmark.llm.common import n_partitions, prefix_sums
-from floodmark.llm.tokens import encoder
+from floodmark.llm.tokens import encoder, groups
 
 OBJECTS = "name binary, kind string, n long, width int, ids binary, doc_id long, names array<binary>, root binary"
 WINDOW_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -75,14 +75,14 @@ def _objects(path: str, end_id: int):
         enc, seen, row = encoder(path), set(), 0
         end, at = np.array([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId()
         kinds = {f.name: f.type for f in SCHEMA}
-        for batch in batches:
+        for batch in (b.slice(*some) for b in batches for some in groups(b.column("text"))):
             out = {k: [] for k in kinds}
 
             def put(out=out, **cells):
                 for k, v in out.items():
                     v.append(cells.get(k))
 
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), enc.encode_all(batch.column("text").to_pylist())):
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), enc.encode_all(batch.column("text"))):
                 data += end
                 ids, last, names = np.frombuffer(data, dtype="<u4"), 0, []
                 for stop in cuts(ids):
