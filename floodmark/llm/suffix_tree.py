@@ -1,21 +1,27 @@
-"""LM scoring with a probabilistic suffix tree over words, counted and scored by partitions of the tree.
-
-Tokens are words and an end token for each text. The tree's states are contexts of up to two words. The root gives
-P(w) = (c(w) + 1) / (N + V + 1), unknown words being one symbol. A state s mixes its own counts with its parent's
-distribution, P_s(w) = (c_s(w) + u_s P_parent(w)) / (n_s + u_s), u_s being the distinct words seen after it. It is kept when
-the training tokens after it, each predicted from the others, are likelier under it than under its parent by `least_gain`
-nats in all: a divergence test that chance can't pass. A token is scored by the longest kept suffix of what stands before it.
-
-Work goes in two rounds over blocks of documents, of which only packed arrays travel:
-  1. each block asks the word's partition for the counts of its distinct words;
-  2. each block sends its positions to the partition of their last context word, which holds that word's whole subtree,
-     counts it, tests it, and sends back what each document gains over the root.
-A context word met more than `HOT_CONTEXT` times in training is split by the word before it into states of about that many
-tokens, so no subtree outgrows a task. Nothing of the tree or the vocabulary passes the driver but N and V.
+"""LM scoring with a probabilistic suffix tree over words, grown level by level over blocks of documents.
+
+Tokens are words and an end token for each text. The tree's states are contexts of any length, which may reach back to the
+start of the text. The root gives P(w) = (c(w) + 1) / (N + V + 1), unknown words being one symbol. A state s mixes its own
+counts with its parent's distribution (the state without its first word), P_s(w) = (c_s(w) + u_s P_parent(w)) / (n_s + u_s),
+n_s being the training tokens after it and u_s the distinct words among them. It is kept when those tokens, each predicted
+from the others, are likelier under it than under its parent by `least_gain` nats in all. What the parent adds to words met
+twice or more is left out of that sum, so it is a lower bound, and it adds up over any split of the words:
+    sum over c >= 2 of c log((c - 1) / ((n + u - 1) P_parent))  +  (words with c = 1) log((u - 1) / (n + u - 2)).
+A state is tested if its parent is kept (all words are, at depth one) and the context without its last word was tested too,
+which tells n_s beforehand: only states with n_s >= 2 are. A token is scored by the longest kept state before it.
+
+Only packed arrays travel:
+  - each block asks the words' partitions once for the counts of its distinct words;
+  - at each level it sends (state, word, training count) of its positions that are still in the tree, to the state's
+    partition, which tells it the sums over all blocks and which states are kept.
+A state with more than a sixteenth of a partition's tokens is split by the following word; there can be no more than 16 a
+partition, and their few sums, not their words, are added up over partitions and broadcast. Levels go on until no state
+is kept. Nothing else of the tree or the vocabulary passes the driver but N and V.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,17 +29,25 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodmark.llm.common import n_partitions, staged
+from floodmark.llm.common import drop_stage, fresh_path, n_partitions, parts_for
 
-BLOCK_BYTES, HOT_CONTEXT = 16_000_000, 1 << 16
+#: Bytes of text in a block, and tokens whose states go to one partition: what bounds a task's arrays.
+BLOCK_BYTES, PART_TOKENS = 8_000_000, 3_000_000
+#: A state is hot from this share of a partition's tokens.
+HOT_SHARE = 1 / 16
+#: Levels up to this one are worked out again from the block; deeper ones, a fraction of it, are written down.
+REPLAYED = 2
 #: Words that make up at least this share of all tokens travel by their rank; there can't be more than one over it.
 FREQUENT = 2.0**-18
-RARE = np.uint32(1 << 31)
-END, START, BEFORE = 1, 2, 3
+RARE = np.uint64(1 << 47)
+END, START = 1, 2
 BLOCKS = "block long, doc_ids array<long>, lengths binary, train binary, words binary, stream binary, counts binary"
+BASE = "block long, doc_ids array<long>, lengths binary, train binary, root binary, words binary, stream binary"
+SENT = "part int, block long, data binary"
+ANSWERED = "block long, part int, data binary, kept long, state long, n long, u long, twice long, once long, a double"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,6 +77,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents by blocks of about BLOCK_BYTES; a longer text is a block of its own."""
     made, ids, lengths, train, size = 0, [], [], [], 0
     known: dict[bytes, int] = {b"": 0}
     stream: list[np.ndarray] = []
@@ -82,6 +97,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for doc_id, text, learn in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("learn").to_pylist()):
+            if ids and size + len(text or "") > BLOCK_BYTES:
+                yield block()
+                made, ids, lengths, train, size, known, stream = made + 1, [], [], [], 0, {b"": 0}, []
             ws = tokens(text)
             put = known.setdefault
             stream.append(np.array([put(w, len(known)) for w in ws] + [0], dtype=np.int64))
@@ -89,15 +107,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lengths.append(len(ws) + 1)
             train.append(learn)
             size += len(text or "")
-            if size >= BLOCK_BYTES:
-                yield block()
-                made, ids, lengths, train, size, known, stream = made + 1, [], [], [], 0, {b"": 0}, []
     if ids:
         yield block()
 
 
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
     fields = [f.split() for f in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[t]) for i, (_, t) in enumerate(fields)], [n for n, _ in fields])
 
@@ -162,113 +177,224 @@ def _frequent(answers: DataFrame, n_tokens: int) -> tuple[np.ndarray, np.ndarray
     return words[order], counts[order]
 
 
-def _positions(n: int, n_tokens: int, n_words: int, frequent):
-    """Round 2, from a block: what the root says of each document, and its positions, to the partitions of their contexts."""
+def _base(n_tokens: int, n_words: int, frequent):
+    """Blocks with the counts of their words, and what the root says of each document."""
 
     def run(batches):
         common, common_counts = frequent.value
-        ranks = np.empty(len(common), dtype=np.uint32)
-        ranks[np.argsort(-common_counts.astype(np.int64), kind="stable")] = np.arange(len(common))
+        ranks = np.empty(len(common), dtype=np.uint64)
+        ranks[np.argsort(-common_counts.astype(np.int64), kind="stable")] = np.arange(len(common), dtype=np.uint64)
         for b in batches:
             for r in b.to_pylist():
-                (hashes,), (stream,), (lengths,), (train,) = (unpack(r[c]) for c in ("words", "stream", "lengths", "train"))
-                lengths = lengths.astype(np.int64)
-                order = np.lexsort((hashes, hashes % np.uint64(n)))
+                (hashes,), (stream,), (lengths,), n = unpack(r["words"]), unpack(r["stream"]), unpack(r["lengths"]), len(r["answers"])
+                answers = sorted(r["answers"], key=lambda a: a["part"])
+                part = np.array([a["part"] for a in answers])
+                order = np.lexsort((hashes, hashes % np.uint64(answers[0]["parts"])))
                 counts = np.empty(len(hashes), dtype=np.int64)
-                counts[order] = np.concatenate([unpack(a["data"])[0] for a in sorted(r["answers"], key=lambda a: a["part"])]).astype(np.int64)
-                first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+                counts[order] = np.concatenate([unpack(a["data"])[0] for a in answers]).astype(np.int64)
+                first = np.cumsum(lengths.astype(np.int64)) - lengths
                 of = counts[stream]
-                base = np.add.reduceat(np.log10((of + 1) / (n_tokens + n_words + 1)), first)
+                root = np.add.reduceat(np.log10((of + 1) / (n_tokens + n_words + 1)), first)
                 known = np.add.reduceat((of > 0).astype(np.int64), first)
-                yield _rows([(-1 - (r["block"] % n), r["block"], pack(base, known, lengths, train))], "part int, block long, data binary")
-                small = lambda x: x.astype(np.int32, copy=False)  # noqa: E731  half the memory of a dozen arrays of all positions
-                doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-                wide = np.concatenate([hashes, np.array([START, BEFORE], dtype=np.uint64)])
-                wide_counts = np.concatenate([counts, [n_tokens, n_tokens]])
-                nth = np.arange(len(stream), dtype=np.int32) - small(first)[doc]
-                stream = small(stream)
-                last = np.where(nth > 0, np.roll(stream, 1), np.int32(len(hashes)))
-                before = np.where(nth > 1, np.roll(stream, 2), np.where(nth == 1, np.int32(len(hashes)), np.int32(len(hashes) + 1)))
-                del nth
-                can = np.flatnonzero(wide_counts[last] > 1)  # a state needs two training tokens
-                last, before, following, doc, of = last[can], before[can], stream[can], doc[can], of[can]
-                splits = wide_counts[last] // HOT_CONTEXT + 1
-                with np.errstate(over="ignore"):
-                    state = (wide[last] + _MIX * ((wide[before] >> np.uint64(17)) % splits.astype(np.uint64))) * _MIX
-                state ^= state >> np.uint64(31)
-                part = (state % np.uint64(n)).astype(np.int32)
-                order = np.lexsort((state, part))
-                stops = np.searchsorted(part[order], np.arange(n + 1))
-                del part, splits
-                code = (wide >> np.uint64(32)).astype(np.uint32) | RARE
+                code = (hashes >> np.uint64(17)) | RARE
                 if len(common):
-                    place = np.minimum(np.searchsorted(common, wide), len(common) - 1)
-                    known = common[place] == wide
-                    code[known] = ranks[place[known]]
-                flag = doc.astype("<u4") * np.uint32(2) + train[doc]
-                for p in range(n):
-                    o = order[stops[p] : stops[p + 1]]
-                    if len(o):
-                        starts = np.flatnonzero(np.concatenate([[True], np.diff(state[o]) != 0]))
-                        yield _rows([(p, r["block"], pack(state[o][starts], np.diff(np.append(starts, len(o))).astype("<u4"), code[before[o]], code[following[o]], of[o][code[following[o]] >= RARE].astype("<u4"), flag[o]))], "part int, block long, data binary")
+                    place = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+                    met = common[place] == hashes
+                    code[met] = ranks[place[met]]
+                yield _rows([(r["block"], r["doc_ids"], r["lengths"], r["train"], pack(root, known), pack(hashes, counts, code), r["stream"])], BASE)
 
     return run
 
 
-def _level(state: np.ndarray, word: np.ndarray, train: np.ndarray, parent: np.ndarray, least_gain: float) -> np.ndarray:
-    """The distribution's value at each position, one level down: the state's if it is kept, else its parent's. `state` numbers
-    the states from 0; `parent` is alike for equal (state, word)."""
-    order = np.lexsort((word, state))
-    s, w = state[order], word[order]
-    new = np.concatenate([[True], (np.diff(s) != 0) | (np.diff(w.astype(np.int64)) != 0)])
-    at = np.flatnonzero(new)
-    c = np.add.reduceat(train[order].astype(np.float64), at)
-    owner, up = s[at], parent[order][at]
-    states = int(s[-1]) + 1
-    n = np.bincount(owner, c, states)[owner]
-    u = np.bincount(owner, c > 0, states)[owner]
-    rest = u - (c == 1)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(31))) * _MIX
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _kept(a, twice, once, n, u, least_gain: float) -> np.ndarray:
+    """The divergence test, from a state's sums: a over words met twice or more of c log((c - 1) / P_parent), those words'
+    tokens, the words met once, all tokens and all words."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        others = (c - 1 + rest * up) / (n - 1 + rest)
-        gain = np.where((c > 0) & (n > 1), c * np.log(others / up), 0.0)
-        kept = (np.bincount(owner, gain, states) >= least_gain)[owner] & (n > 1)
-        value = np.where(kept, (c + u * up) / (n + u), up)
-    out = np.empty(len(order))
-    out[order] = value[np.cumsum(new) - 1]
-    return out
+        gain = a - twice * np.log(np.maximum(n + u - 1, 1)) + np.where(once > 0, once * np.log((u - 1) / (n + u - 2)), 0.0)
+    return (n > 1) & (gain >= least_gain)
+
+
+class _Growing:
+    """A block's positions in the tree at one level: `at` (in order), the state of each, what its parent says of the word
+    there, and each state's hash and training tokens."""
+
+    def __init__(self, row: dict, totals: tuple[int, int], parts: int):
+        self.block, self.parts, (self.n_tokens, self.n_words) = row["block"], parts, totals
+        self.hot_from = max(2.0, HOT_SHARE * self.n_tokens / parts)
+        (lengths,), (train,), (self.stream,) = (unpack(row[c]) for c in ("lengths", "train", "stream"))
+        self.hashes, self.counts, self.code = unpack(row["words"])
+        self.by_code = np.empty(len(self.code), dtype=np.int64)
+        self.by_code[np.argsort(self.code, kind="stable")] = np.arange(len(self.code))
+        lengths = lengths.astype(np.int64)
+        self.doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        self.nth = (np.arange(len(self.stream)) - (np.cumsum(lengths) - lengths)[self.doc]).astype(np.int32)
+        self.train = train.astype(bool)
+        if row.get("carry") is None:
+            self.level, self.gain = 0, np.zeros(len(lengths))
+            self.at, self.state = np.arange(len(self.stream), dtype=np.int32), np.zeros(len(self.stream), dtype=np.int32)
+            self.hash = np.zeros(1, dtype=np.uint64)
+            self.up = (self.counts[self.stream] + 1) / (self.n_tokens + self.n_words + 1)
+            learnt = self.counts[np.flatnonzero(self.hashes == END)]
+            met = np.where(self.nth > 0, self.counts[np.roll(self.stream, 1)], learnt.sum())
+            self._grow(met)
+        else:
+            level, self.at, self.state, self.up, self.hash, self.n, gain = unpack(row["carry"])
+            self.level, self.gain = int(level[0]), gain.copy()
+
+    def _grow(self, met: np.ndarray) -> None:
+        """One level down: from states and positions that stay, and how often their longer contexts were met."""
+        self.level += 1
+        can = (met >= 2) & (self.nth[self.at] >= self.level - 1)
+        self.at, self.state, self.up, met = self.at[can], self.state[can], self.up[can], met[can]
+        back = self.at - self.level
+        word = np.where(self.nth[self.at] >= self.level, self.stream[np.maximum(back, 0)].astype(np.int64), len(self.hashes))
+        pairs, first, state = np.unique(self.state * np.int64(len(self.hashes) + 1) + word, return_index=True, return_inverse=True)
+        wide = np.append(self.hashes, np.uint64(START))
+        self.hash = _mixed(self.hash[self.state[first]] + wide[word[first]] * _MIX + np.uint64(self.level))
+        self.n, self.state = met[first].astype(np.int64), state.astype(np.int32)
+
+    def carry(self) -> bytes:
+        return pack(np.array([self.level], dtype=np.int64), self.at, self.state, self.up, self.hash, self.n, self.gain)
+
+    def _runs(self) -> None:
+        """Entries (state, word) by partition, hot ones last, in the order of states and words; a hot state has a run in each
+        partition that its words go to."""
+        part = (_mixed(self.hash) % np.uint64(self.parts)).astype(np.int64)
+        hot = self.n >= self.hot_from
+        run, of, mine, some = np.arange(len(self.hash)), self.state.astype(np.int64), part, np.flatnonzero(hot[self.state])
+        if len(some):
+            words = self.stream[self.at[some]]
+            to = (_mixed(self.hash[self.state[some]] ^ self.code[words]) % np.uint64(self.parts)).astype(np.int64)
+            both, where = np.unique(self.state[some] * np.int64(self.parts) + to, return_inverse=True)
+            of[some] = len(run) + where
+            run, mine = np.concatenate([run, both // self.parts]), np.concatenate([mine, both % self.parts])
+        used = np.bincount(of, minlength=len(run)) > 0
+        order = np.lexsort((self.hash[run], hot[run], mine))
+        order = order[used[order]]
+        rank = np.empty(len(run), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        self.run_state, self.run_part, self.run_hot = run[order], mine[order], hot[run[order]]
+        key = (rank[of] << 32) + self.by_code[self.stream[self.at]]
+        by = np.argsort(key)
+        new = np.concatenate([[True], np.diff(key[by]) != 0]) if len(by) else np.zeros(0, dtype=bool)
+        self.first = by[new]
+        self.entry = np.empty(len(by), dtype=np.int32)
+        self.entry[by] = np.cumsum(new) - 1
+        self.entry_run = (key[self.first] >> 32).astype(np.int64)
+
+    def messages(self) -> Iterator[tuple]:
+        """What each partition gets: its runs, and words, training counts and either rare words' counts or the parents' values."""
+        self._runs()
+        words = self.stream[self.at[self.first]]
+        counts = np.bincount(self.entry, self.train[self.doc[self.at]], len(self.first)).astype("<u4")
+        sizes = np.bincount(self.entry_run, minlength=len(self.run_state)).astype("<u4")
+        stops = np.searchsorted(self.run_part, np.arange(self.parts + 1))
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        for p in range(self.parts):
+            a, b = stops[p], stops[p + 1]
+            if a == b:
+                continue
+            i, j = ends[a], ends[b]
+            code = self.code[words[i:j]]
+            given = self.counts[words[i:j]][code >= RARE] if self.level == 1 else self.up[self.first[i:j]]
+            yield p, self.block, pack(self.hash[self.run_state[a:b]], sizes[a:b], self.run_hot[a:b].astype(np.uint8), code, counts[i:j], given)
+
+    def learn(self, answers: list[dict], hot: tuple[np.ndarray, ...]) -> None:
+        """Takes the partitions' sums, scores with the states that are kept and goes one level down."""
+        self._runs()
+        got = [unpack(a["data"]) for a in sorted(answers, key=lambda a: a["part"])]
+        kept = np.concatenate([g[0] for g in got]).astype(bool) if got else np.zeros(0, dtype=bool)
+        n, u = np.zeros(len(kept)), np.zeros(len(kept))
+        c = np.concatenate([g[3] for g in got]).astype(np.int64) if got else np.zeros(0, dtype=np.int64)
+        n[kept], u[kept] = (np.concatenate([g[k] for g in got]) if got else np.zeros(0) for k in (1, 2))
+        some = np.flatnonzero(self.run_hot)
+        if len(some):
+            states, hot_kept, hot_n, hot_u = hot
+            place = np.searchsorted(states, self.hash[self.run_state[some]])
+            kept[some], n[some], u[some] = hot_kept[place], hot_n[place], hot_u[place]
+        stays = kept[self.entry_run]
+        run, up = self.entry_run[stays], self.up[self.first[stays]]
+        value = self.up[self.first]
+        value[stays] = (c[stays] + u[run] * up) / (n[run] + u[run])
+        seen = c[self.entry]
+        on = stays[self.entry]
+        now = value[self.entry[on]]
+        self.gain += np.bincount(self.doc[self.at[on]], np.log10(now / self.up[on]), len(self.gain))
+        before = np.searchsorted(self.at, self.at[on] - 1)
+        met = np.where(self.at[before] == self.at[on] - 1, seen[before], 0)
+        self.at, self.state, self.up = self.at[on], self.state[on], now
+        self._grow(met)
+
+
+def _send(totals: tuple[int, int], parts: int, hots, carry: bool):
+    """From a block: what it learns from the answers so far, and its messages for the next level, or its gains at the end."""
 
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                g = _Growing(r, totals, parts)
+                answers = r.get("answers") or []
+                for level in range(g.level, max((a["level"] for a in answers), default=0) + 1):
+                    g.learn([a for a in answers if a["level"] == level], hots[level].value)
+                if carry:
+                    yield _rows([(-1, g.block, g.carry())], SENT)
+                if carry is None:
+                    yield _rows([(-1, g.block, pack(g.gain))], SENT)
+                else:
+                    for row in g.messages() if len(g.at) else ():
+                        yield _rows([row], SENT)
 
-def _gains(n_tokens: int, n_words: int, frequent, least_gain: float):
-    """Round 2, at a partition: counts and tests the subtrees, and tells each block what its documents gain over the root."""
+    return run
+
+
+def _count(totals: tuple[int, int], common_counts, level: int, least_gain: float):
+    """At a partition: adds its blocks' entries up, tests its states, and tells each block the sums of its own entries."""
 
     def run(batches):
-        by_rank = -np.sort(-frequent.value[1].astype(np.int64))
+        by_rank = -np.sort(-common_counts.value[1].astype(np.int64))
         for part, rows in _grouped(batches, "part"):
-            if part < 0:
-                yield _rows([(r["block"], True, r["data"]) for r in rows], "block long, root boolean, data binary")
-                continue
-            got = [unpack(r["data"]) for r in rows]
-            sizes = [len(g[2]) for g in got]
-            state = np.concatenate([np.repeat(g[0], g[1].astype(np.int64)) for g in got])
-            before, word, rare, flag = (np.concatenate([g[k] for g in got]) for k in range(2, 6))
-            count = np.empty(len(word), dtype=np.int64)
-            common = word < RARE
-            count[common], count[~common] = by_rank[word[common]], rare
-            train = (flag & 1).astype(bool)
-            root = (count.astype(np.float64) + 1) / (n_tokens + n_words + 1)
-            _, one = np.unique(state, return_inverse=True)
-            value = _level(one, word, train, root, least_gain)
-            _, two = np.unique((one.astype(np.uint64) << np.uint64(32)) | before, return_inverse=True)
-            value = _level(two, word, train, value, least_gain)
-            delta, out = np.log10(value / root), []
-            for r, stop, size in zip(rows, np.cumsum(sizes), sizes):
-                doc = (flag[stop - size : stop] >> 1).astype(np.int64)
-                sums = np.bincount(doc, delta[stop - size : stop])
-                some = np.flatnonzero(sums)
-                if len(some):
-                    out.append((r["block"], False, pack(some.astype("<u4"), sums[some].astype("<f4"))))
-            if out:
-                yield _rows(out, "block long, root boolean, data binary")
+            got = [unpack(r.pop("data")) for r in rows]
+            runs = [len(g[0]) for g in got]
+            state, of_run = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+            of = np.repeat(of_run.astype(np.int32), np.concatenate([g[1] for g in got]).astype(np.int64))
+            hot = np.zeros(len(state), dtype=bool)
+            hot[of_run] = np.concatenate([g[2] for g in got]).astype(bool)
+            code = np.concatenate([g[3] for g in got])
+            order = np.lexsort((code, of))
+            new = np.concatenate([[True], (np.diff(of[order]) != 0) | (np.diff(code[order].view(np.int64)) != 0)])
+            first = order[new]
+            entry = np.empty(len(order), dtype=np.int32)
+            entry[order] = np.cumsum(new) - 1
+            del order, new
+            c = np.bincount(entry, np.concatenate([g[4] for g in got]), len(first))
+            given = np.concatenate([g[5] for g in got])
+            if level == 1:
+                counts = np.empty(len(code), dtype=np.int64)
+                rare = code >= RARE
+                counts[rare], counts[~rare] = given, by_rank[code[~rare].astype(np.int64)]
+                up = (counts[first] + 1) / (totals[0] + totals[1] + 1)
+            else:
+                up = given[first]
+            sizes = [len(g[3]) for g in got]
+            del got, given, code
+            owner, m = of[first], len(state)
+            n, u, once = np.bincount(owner, c, m), np.bincount(owner, c > 0, m), np.bincount(owner, c == 1, m)
+            more = c >= 2
+            twice = np.bincount(owner[more], c[more], m)
+            a = np.bincount(owner[more], c[more] * np.log((c[more] - 1) / up[more]), m)
+            kept = _kept(a, twice, once, n, u, least_gain) & ~hot
+            yield _rows([(None, part, None, int(kept.sum()), int(s), int(n[k]), int(u[k]), int(twice[k]), int(once[k]), float(a[k])) for k, s in zip(np.flatnonzero(hot).tolist(), state[hot].view(np.int64).tolist())] + [(None, part, None, int(kept.sum()), *[None] * 6)], ANSWERED)
+            for r, i, x, j, y in zip(rows, np.cumsum(runs), runs, np.cumsum(sizes), sizes):
+                mine = of_run[i - x : i]
+                on = kept[mine]
+                yield _rows([(r["block"], part, pack(on.astype(np.uint8), n[mine[on]], u[mine[on]], c[entry[j - y : j]].astype("<u8")), *[None] * 7)], ANSWERED)
 
     return run
 
@@ -277,18 +403,42 @@ def _scores(n_tokens: int):
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                base, known, lengths, train = next(unpack(p["data"]) for p in r["parts"] if p["root"])
-                score = base.copy()
-                for p in sorted((p["data"] for p in r["parts"] if not p["root"])):
-                    docs, gains = unpack(p)
-                    score[docs.astype(np.int64)] += gains
+                (base, known), (lengths,), (train,), (gain,) = (unpack(r[c]) for c in ("root", "lengths", "train", "data"))
                 m = len(base)
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(train == 1), pa.array(lengths.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(m, n_tokens, dtype=np.int64)), pa.array(base), pa.array(score)], ["doc_id", "learnt", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(train == 1), pa.array(lengths.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(m, n_tokens, dtype=np.int64)), pa.array(base), pa.array(base + gain)], ["doc_id", "learnt", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def score_documents(docs: DataFrame, learn: Column, least_gain: float = 4.0) -> DataFrame:
+class _Stages:
+    """Staged tables that can be deleted once the next ones are written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.paths[name] = fresh_path(self.spark, name)
+        df.write.option("compression", "uncompressed").parquet(path)  # packed arrays are compressed by themselves
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                drop_stage(self.spark, self.paths.pop(name))
+        gc.collect()
+        self.spark._jvm.System.gc()  # so that Spark deletes the shuffles of tables that are written
+
+
+def _hot_states(answers: DataFrame, least_gain: float) -> tuple[np.ndarray, ...]:
+    """Hash, verdict, tokens and words of the hot states in order: at most 1 / HOT_SHARE a partition."""
+    sums = answers.where("state is not null").groupBy("state").agg(*[F.sum(c).alias(c) for c in ("n", "u", "twice", "once", "a")]).collect()
+    state = np.array([r.state for r in sums], dtype=np.int64).view(np.uint64)
+    n, u, twice, once, a = (np.array([r[c] for r in sums], dtype=float) for c in ("n", "u", "twice", "once", "a"))
+    order = np.argsort(state)
+    return state[order], _kept(a, twice, once, n, u, least_gain)[order], n[order], u[order]
+
+
+def score_documents(docs: DataFrame, learn: Column, least_gain: float = 4.0, part_tokens: int = PART_TOKENS) -> DataFrame:
     """doc_id, learnt, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of each row of docs
     (doc_id, text). Rows for which `learn` holds are counted; a null condition doesn't hold.
 
@@ -296,19 +446,43 @@ def score_documents(docs: DataFrame, learn: Column, least_gain: float = 4.0) ->
     columns are ignored; an empty table gives no rows. With nothing to learn from, scores are those of the root.
     """
     spark = docs.sparkSession
-    n = n_partitions(spark)
+    n, stages = n_partitions(spark), _Stages(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    blocks = staged(rows.mapInArrow(_blocks, BLOCKS), "blocks")
-    asked = blocks.select("block", "words", "counts").mapInArrow(_ask(n), "part int, block long, data binary")
-    answers = staged(asked.repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(_answer, "block long, part int, data binary, n_tokens long, n_words long"), "answers")
-    totals = answers.agg(F.sum("n_tokens"), F.sum("n_words")).first()
-    n_tokens, n_words = totals[0] or 0, totals[1] or 0
-    frequent = spark.sparkContext.broadcast(_frequent(answers, n_tokens))  # at most 1 / FREQUENT words
-    told = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "data")).alias("answers"))
-    positions = blocks.drop("doc_ids", "counts").join(told, "block").mapInArrow(_positions(n, n_tokens, n_words, frequent), "part int, block long, data binary")
-    gains = positions.repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(_gains(n_tokens, n_words, frequent, least_gain), "block long, root boolean, data binary")
-    parts = gains.groupBy("block").agg(F.collect_list(F.struct("root", "data")).alias("parts"))
-    return blocks.select("block", "doc_ids").join(parts, "block").mapInArrow(_scores(n_tokens), "doc_id long, learnt boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    blocks = stages.put(rows.mapInArrow(_blocks, BLOCKS), "blocks")
+    asked = blocks.select("block", "words", "counts").mapInArrow(_ask(n), SENT)
+    answers = stages.put(asked.repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(_answer, "block long, part int, data binary, n_tokens long, n_words long"), "answers")
+    sums = answers.agg(F.sum("n_tokens"), F.sum("n_words")).first()
+    totals = sums[0] or 0, sums[1] or 0
+    frequent = spark.sparkContext.broadcast(_frequent(answers, totals[0]))  # at most 1 / FREQUENT words
+    told = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "data", F.lit(n).alias("parts"))).alias("answers"))
+    base = stages.put(blocks.drop("counts").join(told, "block").mapInArrow(_base(*totals, frequent), BASE), "base")
+    stages.drop("blocks", "answers")
+
+    parts = parts_for(totals[0], part_tokens)
+    light = base.drop("doc_ids", "root")
+    level, hots, source = 1, {}, light
+    while True:
+        sent = source.mapInArrow(_send(totals, parts, hots, level > REPLAYED), SENT)
+        if level > REPLAYED:
+            sent = stages.put(sent, f"level-{level}")
+        dealt = sent.where("part >= 0").repartition(max(n, parts), "part").sortWithinPartitions("part", "block")
+        answers = stages.put(dealt.mapInArrow(_count(totals, frequent, level, least_gain), ANSWERED), f"answers-{level}").withColumn("level", F.lit(level))
+        hot = _hot_states(answers, least_gain)
+        hots = {**hots, level: spark.sparkContext.broadcast(hot)}
+        found = answers.where("state is null").agg(F.sum("kept")).first()[0] or 0
+        known = answers if level == 1 or level > REPLAYED else known.unionByName(answers)
+        told = known.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("level", "part", "data")).alias("answers"))
+        source = light.join(told, "block", "left")
+        if level > REPLAYED:
+            source = source.join(sent.where("part < 0").select("block", F.col("data").alias("carry")), "block")
+            stages.drop(f"level-{level - 1}", *[f"answers-{k}" for k in range(1, level)])
+        else:
+            stages.drop()
+        if not found and not hot[1].any():
+            break
+        level += 1
+    gains = source.mapInArrow(_send(totals, parts, hots, None), SENT).select("block", "data")
+    return base.select("block", "doc_ids", "lengths", "train", "root").join(gains, "block").mapInArrow(_scores(totals[0]), "doc_id long, learnt boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 __all__ = ["pack", "score_documents", "tokens", "unpack"]

@@ -307,59 +307,85 @@ def test_shard_edges(spark, empty):
 # -- language model
 
 def brute_scores(rows):
-    """The tree by dictionaries of whole words. rows: (text, learnt)."""
+    """The tree by dictionaries of whole contexts of any length. rows: (text, learnt)."""
     toks = [([w.decode() for w in suffix_tree.tokens(t)] + ["</s>"], l) for t, l in rows]
     c = Counter(w for t, l in toks if l for w in t)
     n, v = sum(c.values()), len(c)
-    seen = [defaultdict(Counter), defaultdict(Counter)]
-
-    def contexts(t, i):
-        a = t[i - 1] if i else "<s>"
-        return a, (t[i - 2] if i > 1 else "<s>" if i == 1 else "<b>", a)
-
+    longest = max(len(t) for t, _ in toks)
+    seen = defaultdict(Counter)
+    by_length = defaultdict(set)
     for t, l in toks:
-        for i, w in enumerate(t if l else ()):
-            for k, s in enumerate(contexts(t, i)):
-                seen[k][s][w] += 1
-
-    def p(level, s, w, kept):
-        if level == 0:
+        padded = ["<s>", *t]
+        for i in range(len(t)):
+            for k in range(1, min(longest, i + 1) + 1):
+                context = tuple(padded[i + 1 - k : i + 1])
+                by_length[k].add(context)
+                if l:
+                    seen[context][t[i]] += 1
+    kept = set()
+
+    def p(context, w):
+        if not context:
             return (c[w] + 1) / (n + v + 1)
-        up = p(level - 1, s[1] if level == 2 else None, w, kept)
-        if s not in kept[level - 1]:
+        up = p(context[1:], w)
+        if context not in kept:
             return up
-        cs = seen[level - 1][s]
+        cs = seen[context]
         return (cs[w] + len(cs) * up) / (sum(cs.values()) + len(cs))
 
-    kept = [set(), set()]
-    for level in (1, 2):
-        for s, cs in seen[level - 1].items():
-            m, u, gain = sum(cs.values()), len(cs), 0.0
-            for w, x in cs.items() if m > 1 else ():
-                up = p(level - 1, s[1] if level == 2 else None, w, kept)
-                gain += x * math.log((x - 1 + (u - (x == 1)) * up) / (m - 1 + u - (x == 1)) / up)
-            if m > 1 and gain >= 4.0:
-                kept[level - 1].add(s)
-    return [(len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), sum(math.log10(p(2, contexts(t, i)[1], w, kept)) for i, w in enumerate(t))) for t, _ in toks]
-
-
-def test_suffix_tree_scores_are_those_of_brute_force(spark):
+    tested, k = {s for s in by_length[1] if sum(seen[s].values()) >= 2}, 1
+    while tested:
+        found = set()
+        for s in tested:
+            cs = seen[s]
+            m, u, once = sum(cs.values()), len(cs), sum(x == 1 for x in cs.values())
+            gain = sum(x * math.log((x - 1) / p(s[1:], w) / (m + u - 1)) for w, x in cs.items() if x > 1)
+            if once:
+                gain += once * math.log((u - 1) / (m + u - 2))
+            if gain >= 4.0:
+                found.add(s)
+        kept |= found
+        tested = {s for s in by_length[k + 1] if s[1:] in found and s[:-1] in tested and seen[s[:-1]][s[-1]] >= 2}
+        k += 1
+    out = []
+    for t, _ in toks:
+        padded, score = ["<s>", *t], 0.0
+        for i, w in enumerate(t):
+            k = 0
+            while tuple(padded[i - k : i + 1]) in kept and k <= i:
+                k += 1
+            score += math.log10(p(tuple(padded[i + 1 - k : i + 1]), w))
+        out.append((len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), score))
+    return out, kept
+
+
+@pytest.mark.parametrize("part_tokens", [10**6, 300])
+def test_suffix_tree_scores_are_those_of_brute_force(spark, part_tokens):
+    """With 300 tokens a partition, states are hot from 19 tokens on, and the tree grows to contexts of several words."""
     rng = random.Random(6)
-    passage = [f"p{k}" for k in range(30)]
+    passage = [f"p{k}" for k in range(8)]
     rows = []
-    for k in range(60):
-        ws = [f"w{int(rng.paretovariate(1)) % 50}" for _ in range(40)]
-        rows.append((k, " ".join(ws[:20] + passage[k % 5 :] + ws[20:]), k % 4 != 0))
-    rows += [(None, None, True), (90, "", False), (91, "never seen before", False), (0, rows[0][1], True)]
+    for k in range(160):
+        ws = [f"w{int(rng.paretovariate(1)) % 50}" for _ in range(30)]
+        tail = passage + ["x", f"y{k % 2}", "x", "x", f"z{k % 2}"]
+        rows.append((k, " ".join(ws[:10] + tail[k % 5 :] + ws[10:]), k % 4 != 0))
+    rows += [(None, None, True), (200, "", False), (201, "never seen before", False), (0, rows[0][1], True), (202, "long " + "w1 w2 w3 " * 4000, False)]
     df = spark.createDataFrame(rows, "doc_id long, text string, l boolean").withColumn("score", F.lit("clash"))
-    got = sorted((r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 3)) for r in suffix_tree.score_documents(df, F.col("l")).collect())
-    want = sorted((a, b, n, round(x, 5), round(y, 3)) for a, b, n, x, y in brute_scores([(t, l) for _, t, l in rows]))
+    got = sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in suffix_tree.score_documents(df, F.col("l"), part_tokens=part_tokens).collect())
+    rows = [(t, l) for _, t, l in rows]
+    want, kept = brute_scores([*rows[:-1], ("long " + "w1 w2 w3 " * 20, False)])
+    assert max(map(len, kept)) >= 3
+    want, got = sorted(want[:-1]), got[:-1]
     assert len(got) == len(want)
     for g, w in zip(got, want):
-        assert g[:3] == w[:3] and abs(g[3] - w[3]) < 1e-4 and abs(g[4] - w[4]) < 5e-3
-    assert suffix_tree.score_documents(df.limit(0), F.lit(True)).count() == 0
-    alone = suffix_tree.score_documents(df, F.lit(False)).collect()
+        assert g[:3] == w[:3] and abs(g[3] - w[3]) < 1e-9 and abs(g[4] - w[4]) < 1e-9
+
+
+def test_suffix_tree_edges(spark, docs, empty):
+    assert suffix_tree.score_documents(empty, F.lit(True)).count() == 0
+    alone = suffix_tree.score_documents(docs, F.lit(False)).collect()
     assert all(r.train_tokens == 0 and r.base_score == r.score for r in alone)
+    assert len(suffix_tree.score_documents(docs, F.lit(True)).collect()) == len(alone) == docs.count()
 
 
 # -- Merkle fingerprints
