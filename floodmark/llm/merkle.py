@@ -1,10 +1,12 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and runs of words. DataFrame functions only.
 
 Sections are parted by an empty line, paragraphs by a line end, leaves are runs of eight words with their white space (of
-two in the first eight words of a section). Nothing of the text is left out. A node's hash is over its children's. Equal
-roots mean equal texts; where roots differ, differing branches lead to the edits.
+two in the first eight words of a section). Nothing of the text is left out. A leaf's SHA-256 is over its text, a node's
+over those of its children in order, each kind with a letter of its own in front, so equal roots mean equal texts. Where
+roots differ, differing branches lead to the edits.
 
 As text: root ":" then for each section, parted by "/", its hash and its paragraphs, each ";", hash and leaves, each ",".
+There a section or paragraph shows the first 16 hex digits of its hash, a leaf the first 8, a root all 64.
 """
 
 from __future__ import annotations
@@ -12,35 +14,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from floodmark.llm.ranges import ordered_hex, range_index, sampled_splitters
+from floodmark.llm.common import n_partitions
+from floodmark.llm.ranges import hash_hex, ordered_hex, range_index, sampled_splitters
 
 EIGHT, TWO = (r"\s*+(?:\S++\s*+){1,%d}+|\s++" % n for n in (8, 2))
-#: Ranges of doc_id: about so many bytes each, but no fewer and no more of them; sorts within a range may spill.
-BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 128_000_000, 64, 1 << 16
+#: Ranges of doc_id: about so many bytes each, but a few for each shuffle partition and no more than so many; sorts within a range may spill.
+BUCKET_BYTES, BUCKETS_A_PARTITION, MOST_BUCKETS = 64_000_000, 4, 1 << 16
 
 
-def _short(value: Column) -> Column:
-    return F.lower(F.lpad(F.hex(value.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+def _over(kind: str, children: Column) -> Column:
+    """A node's hash: over its kind and its children's hashes, which all have the same length."""
+    return F.sha2(F.concat(F.lit(kind), F.array_join(children, "")), 256)
+
+
+def _with_hash(kind: str, children: Column, text: Column) -> Column:
+    """hash h of a node and its text form t, whose children are evaluated once."""
+    return F.struct(_over(kind, children).alias("h"), text.alias("t"))
 
 
 def _paragraph(line: Column, leading: Column) -> Column:
-    """hash of the paragraph over the hashes of its leaves, and its text form."""
+    """hash of the paragraph over the hashes of its leaves, and the text form of its leaves."""
     runs = F.regexp_extract_all(line, F.lit(EIGHT), F.lit(0))
     finer = F.concat(F.flatten(F.transform(F.slice(runs, 1, 1), lambda r: F.regexp_extract_all(r, F.lit(TWO), F.lit(0)))), F.slice(runs, 2, 1 << 30))
-    hashes = F.transform(F.when(leading, finer).otherwise(runs), lambda r: F.xxhash64(r))
-    return F.transform(F.array(hashes), lambda hs: F.struct(F.xxhash64(hs).alias("h"), F.concat(F.lit(";"), _short(F.xxhash64(hs)), F.array_join(F.transform(hs, lambda h: F.concat(F.lit(","), _short(h))), "")).alias("t")))[0]
+    hashes = F.transform(F.when(leading, finer).otherwise(runs), lambda r: F.sha2(F.concat(F.lit("w"), r), 256))
+    return F.transform(F.array(hashes), lambda hs: _with_hash("p", hs, F.array_join(F.transform(hs, lambda h: F.concat(F.lit(","), F.substring(h, 1, 8))), "")))[0]
 
 
 def _section(section: Column) -> Column:
     parts = F.transform(F.split(section, "\n", -1), lambda line, k: _paragraph(line, k == 0))
-    return F.transform(F.array(parts), lambda ps: F.struct(F.xxhash64(F.transform(ps, lambda p: p["h"])).alias("h"), F.array_join(F.transform(ps, lambda p: p["t"]), "").alias("t")))[0]
+    return F.transform(F.array(parts), lambda ps: _with_hash("s", F.transform(ps, lambda p: p["h"]), F.array_join(F.transform(ps, lambda p: F.concat(F.lit(";"), F.substring(p["h"], 1, 16), p["t"])), "")))[0]
 
 
 def fingerprint(text: Column) -> Column:
     """The tree of a text in text form; null counts as empty. Equal texts have equal fingerprints."""
     sections = F.transform(F.split(F.coalesce(text.cast("string"), F.lit("")), "\n\n", -1), _section)
-    whole = F.transform(F.array(sections), lambda ss: F.struct(F.substring(F.sha2(F.array_join(F.transform(ss, lambda s: s["h"].cast("string")), ","), 256), 1, 32).alias("root"), F.array_join(F.transform(ss, lambda s: F.concat(_short(s["h"]), s["t"])), "/").alias("t")))[0]
-    return F.transform(F.array(whole), lambda w: F.concat(w["root"], F.lit(":"), w["t"]))[0]
+    whole = F.transform(F.array(sections), lambda ss: _with_hash("d", F.transform(ss, lambda s: s["h"]), F.array_join(F.transform(ss, lambda s: F.concat(F.substring(s["h"], 1, 16), s["t"])), "/")))[0]
+    return F.transform(F.array(whole), lambda w: F.concat(w["h"], F.lit(":"), w["t"]))[0]
 
 
 def root(fp: Column) -> Column:
@@ -86,19 +95,20 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint")
     return docs.withColumn(out, fingerprint(F.col(text)))
 
 
-def with_next(docs: DataFrame, carried: list[str], least_buckets: int = LEAST_BUCKETS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def with_next(docs: DataFrame, carried: list[str], least_buckets: int | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """docs (doc_id, text) with next_<c> of each c in `carried`: its value in the next row by descending doc_id; after the last
-    row comes the first. Null doc_ids come last; repeated doc_ids go by place in the input. A single row is its own next.
+    row comes the first. Null doc_ids come last; repeated doc_ids go by a hash of their text. A single row is its own next.
 
     Rows are dealt to ranges of doc_id of about equal bytes; each range also gets the first row of the one that follows, so
     the only exchange is the one by range.
     """
-    rows = docs.withColumns({"_bytes": F.coalesce(F.octet_length("text"), F.lit(0)) + 64, "_key": F.concat(ordered_hex(F.col("doc_id")), F.lit("-"), ordered_hex(F.monotonically_increasing_id()))})
+    rows = docs.withColumns({"_bytes": F.coalesce(F.octet_length("text"), F.lit(0)) + 64, "_key": F.concat(ordered_hex(F.col("doc_id")), F.lit("-"), hash_hex("text"))})
     slim = rows.select("_key", "_bytes")
     total = slim.agg(F.sum("_bytes")).first()[0] or 0
     if not total:
         return docs.withColumns({f"next_{c}": F.col(c) for c in carried})
-    cut = sampled_splitters(slim, "_key", "_bytes", max(least_buckets, min(MOST_BUCKETS, -(-total // bucket_bytes))), total)
+    least = least_buckets or BUCKETS_A_PARTITION * n_partitions(docs.sparkSession)
+    cut = sampled_splitters(slim, "_key", "_bytes", max(least, min(MOST_BUCKETS, -(-total // bucket_bytes))), total)
     rows = rows.withColumn("_range", range_index(F.col("_key"), cut))
     heads = {r[0]: r[1] for r in slim.groupBy(range_index(F.col("_key"), cut).alias("_range")).agg(F.max("_key")).collect()}  # a key for each range
     held = sorted(heads)

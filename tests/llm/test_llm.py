@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -401,6 +402,31 @@ def test_fingerprints_and_edits(spark):
     assert got[0] == (1.0, []) and 0.5 < got[1][0] < 1 and got[1][1] == [(1, 0)] and got[2][0] == 0
 
 
+def brute_tree(text):
+    """The tree by hashlib, from the rules."""
+    sha = lambda kind, x: hashlib.sha256((kind + x).encode()).hexdigest()
+    runs = lambda n, x: re.findall(r"\s*+(?:\S++\s*+){1,%d}+|\s++" % n, x, re.ASCII)
+    shown, sections = [], []
+    for section in (text or "").split("\n\n"):
+        paragraphs, form = [], ""
+        for k, line in enumerate(section.split("\n")):
+            found = runs(8, line)
+            leaves = [sha("w", x) for x in ([*runs(2, found[0]), *found[1:]] if found and k == 0 else found)]
+            paragraphs.append(sha("p", "".join(leaves)))
+            form += ";" + paragraphs[-1][:16] + "".join("," + x[:8] for x in leaves)
+        sections.append(sha("s", "".join(paragraphs)))
+        shown.append(sections[-1][:16] + form)
+    return sha("d", "".join(sections)) + ":" + "/".join(shown)
+
+
+def test_trees_are_those_of_hashlib(spark):
+    rng = random.Random(12)
+    texts = TEXTS + ["\n", "\n\n", "\n\n\n", " \n a"] + ["".join(rng.choice(["\n", "\n\n", " ", "  ", "\t", "word", "é", "x.", "the "]) for _ in range(rng.randrange(60))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", merkle.fingerprint(F.col("t")).alias("f"))
+    for r in df.collect():
+        assert r.f == brute_tree(texts[r.i])
+
+
 def test_next_document(spark, empty):
     rows = [(5, "e"), (3, "c"), (9, "z"), (None, "n"), (3, "c2")]
     out = merkle.with_next(spark.createDataFrame(rows, "doc_id long, text string"), ["text"])
