@@ -27,11 +27,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: later steps restart from files, not from lost executors."""
+def staged(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """df written to the shared folder and read again: later steps restart from files, not from lost executors. `files` bounds the
+    number of files of a table that is known to be slim."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    (df if files is None else df.coalesce(files)).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,14 +47,14 @@ def drop_stage(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def prefix_sums(df: DataFrame, order: list[str], value: str, out: str, part: str = "range_part") -> DataFrame:
+def prefix_sums(df: DataFrame, order: list[str], value: str, out: str, part: str = "range_part", files: int | None = None) -> DataFrame:
     """Adds `out`, the sum of `value` over all rows before this one by `order`, and `part`, its range.
 
     Rows are dealt out by ranges of `order`, summed within each range, and only one total per range is gathered.
     `order` must be unique for a range never to grow with ties.
     """
     spark = df.sparkSession
-    ranged = staged(df.repartitionByRange(n_partitions(spark), *order).withColumn(part, F.spark_partition_id()), "ranges")
+    ranged = staged(df.repartitionByRange(n_partitions(spark), *order).withColumn(part, F.spark_partition_id()), "ranges", files)
     within = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy(part).agg(F.sum(value).alias("_total"))
     before = totals.select(F.col(part).alias("_part"), F.coalesce(F.sum("_total").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

@@ -26,26 +26,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floodmark.llm.common import drop_stage, fresh_path, n_partitions, parts_for
+from floodmark.llm.tokens import groups, strings
 
 #: Bytes of text in a block, and tokens whose states go to one partition: what bounds a task's arrays.
-BLOCK_BYTES, PART_TOKENS = 8_000_000, 3_000_000
+BLOCK_BYTES, PART_TOKENS = 6_000_000, 3_000_000
 #: A state is hot from this share of a partition's tokens.
 HOT_SHARE = 1 / 16
-#: Levels up to this one are worked out again from the block; deeper ones, a fraction of it, are written down.
+#: Levels up to this one are worked out again from the block's words; at deeper ones the positions left, a fraction, are kept.
 REPLAYED = 2
 #: Words that make up at least this share of all tokens travel by their rank; there can't be more than one over it.
 FREQUENT = 2.0**-18
 RARE = np.uint64(1 << 47)
 END, START = 1, 2
 BLOCKS = "block long, doc_ids array<long>, lengths binary, train binary, words binary, stream binary, counts binary"
-BASE = "block long, doc_ids array<long>, lengths binary, train binary, root binary, words binary, stream binary"
+SCORES = "doc_id long, learnt boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 SENT = "part int, block long, data binary"
 ANSWERED = "block long, part int, data binary, kept long, state long, n long, u long, twice long, once long, a double"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -57,7 +59,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()
         out.append(len(a).to_bytes(8, "little") + a.dtype.str.encode().ljust(4) + planes)
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -78,37 +80,33 @@ def tokens(text: str | None) -> list[bytes]:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents by blocks of about BLOCK_BYTES; a longer text is a block of its own."""
-    made, ids, lengths, train, size = 0, [], [], [], 0
-    known: dict[bytes, int] = {b"": 0}
-    stream: list[np.ndarray] = []
-
-    def block():
-        flat = np.concatenate(stream)
-        seen = np.bincount(flat, minlength=len(known))
-        rank = np.empty(len(known), dtype=np.int64)
-        order = np.argsort(-seen, kind="stable")
-        rank[order] = np.arange(len(known))
-        hashes = np.array([xxhash.xxh64_intdigest(w, 7) if w else END for w in known], dtype=np.uint64)
-        learnt = np.repeat(np.array(train, dtype=bool), lengths)
-        counts = np.bincount(flat[learnt], minlength=len(known))
-        row = (TaskContext.get().partitionId() << 32) + made, ids, pack(np.array(lengths, dtype="<u4")), pack(np.array(train, dtype=np.uint8)), pack(hashes[order]), pack(rank[flat].astype("<u4")), pack(counts[order].astype("<u4"))
-        kinds = (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5)
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], [c.split()[0] for c in BLOCKS.split(", ")])
-
-    for b in batches:
-        for doc_id, text, learn in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("learn").to_pylist()):
-            if ids and size + len(text or "") > BLOCK_BYTES:
-                yield block()
-                made, ids, lengths, train, size, known, stream = made + 1, [], [], [], 0, {b"": 0}, []
-            ws = tokens(text)
-            put = known.setdefault
-            stream.append(np.array([put(w, len(known)) for w in ws] + [0], dtype=np.int64))
-            ids.append(doc_id)
-            lengths.append(len(ws) + 1)
-            train.append(learn)
-            size += len(text or "")
-    if ids:
-        yield block()
+    made = 0
+    for batch in batches:
+        for at, n in groups(batch.column("text"), BLOCK_BYTES):
+            b = batch.slice(at, n)
+            words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(b.column("text"), "")))
+            runs, flat = pc.list_value_length(words).to_numpy(zero_copy_only=False), words.flatten()
+            some = pc.greater(pc.binary_length(flat), 0)
+            lengths = np.bincount(np.repeat(np.arange(n), runs)[some.to_numpy(zero_copy_only=False)], minlength=n) + 1
+            flat = flat.filter(some).dictionary_encode()
+            ends = np.zeros(int(lengths.sum()), dtype=bool)
+            ends[np.cumsum(lengths) - 1] = True
+            stream = np.zeros(len(ends), dtype=np.int64)
+            stream[~ends] = flat.indices.to_numpy(zero_copy_only=False) + 1
+            hashes = np.array([END, *map(_word_hash, strings(flat.dictionary))], dtype=np.uint64)
+            del words, flat, some
+            order = np.argsort(-np.bincount(stream, minlength=len(hashes)), kind="stable")
+            rank = np.empty(len(hashes), dtype="<u4")
+            rank[order] = np.arange(len(hashes))
+            train = b.column("learn").to_numpy(zero_copy_only=False).astype(np.uint8)
+            counts = np.bincount(stream[np.repeat(train.astype(bool), lengths)], minlength=len(hashes))
+            row = (TaskContext.get().partitionId() << 32) + made, b.column("doc_id").to_pylist(), pack(lengths.astype("<u4")), pack(train), pack(hashes[order]), pack(rank[stream]), pack(counts[order].astype("<u4"))
+            yield _rows([row], BLOCKS)
+            made += 1
+
+
+def _word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word, 7)
 
 
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -177,35 +175,6 @@ def _frequent(answers: DataFrame, n_tokens: int) -> tuple[np.ndarray, np.ndarray
     return words[order], counts[order]
 
 
-def _base(n_tokens: int, n_words: int, frequent):
-    """Blocks with the counts of their words, and what the root says of each document."""
-
-    def run(batches):
-        common, common_counts = frequent.value
-        ranks = np.empty(len(common), dtype=np.uint64)
-        ranks[np.argsort(-common_counts.astype(np.int64), kind="stable")] = np.arange(len(common), dtype=np.uint64)
-        for b in batches:
-            for r in b.to_pylist():
-                (hashes,), (stream,), (lengths,), n = unpack(r["words"]), unpack(r["stream"]), unpack(r["lengths"]), len(r["answers"])
-                answers = sorted(r["answers"], key=lambda a: a["part"])
-                part = np.array([a["part"] for a in answers])
-                order = np.lexsort((hashes, hashes % np.uint64(answers[0]["parts"])))
-                counts = np.empty(len(hashes), dtype=np.int64)
-                counts[order] = np.concatenate([unpack(a["data"])[0] for a in answers]).astype(np.int64)
-                first = np.cumsum(lengths.astype(np.int64)) - lengths
-                of = counts[stream]
-                root = np.add.reduceat(np.log10((of + 1) / (n_tokens + n_words + 1)), first)
-                known = np.add.reduceat((of > 0).astype(np.int64), first)
-                code = (hashes >> np.uint64(17)) | RARE
-                if len(common):
-                    place = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-                    met = common[place] == hashes
-                    code[met] = ranks[place[met]]
-                yield _rows([(r["block"], r["doc_ids"], r["lengths"], r["train"], pack(root, known), pack(hashes, counts, code), r["stream"])], BASE)
-
-    return run
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(31))) * _MIX
@@ -222,56 +191,72 @@ def _kept(a, twice, once, n, u, least_gain: float) -> np.ndarray:
 
 
 class _Growing:
-    """A block's positions in the tree at one level: `at` (in order), the state of each, what its parent says of the word
-    there, and each state's hash and training tokens."""
-
-    def __init__(self, row: dict, totals: tuple[int, int], parts: int):
-        self.block, self.parts, (self.n_tokens, self.n_words) = row["block"], parts, totals
-        self.hot_from = max(2.0, HOT_SHARE * self.n_tokens / parts)
-        (lengths,), (train,), (self.stream,) = (unpack(row[c]) for c in ("lengths", "train", "stream"))
-        self.hashes, self.counts, self.code = unpack(row["words"])
-        self.by_code = np.empty(len(self.code), dtype=np.int64)
-        self.by_code[np.argsort(self.code, kind="stable")] = np.arange(len(self.code))
-        lengths = lengths.astype(np.int64)
-        self.doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-        self.nth = (np.arange(len(self.stream)) - (np.cumsum(lengths) - lengths)[self.doc]).astype(np.int32)
-        self.train = train.astype(bool)
-        if row.get("carry") is None:
-            self.level, self.gain = 0, np.zeros(len(lengths))
-            self.at, self.state = np.arange(len(self.stream), dtype=np.int32), np.zeros(len(self.stream), dtype=np.int32)
-            self.hash = np.zeros(1, dtype=np.uint64)
-            self.up = (self.counts[self.stream] + 1) / (self.n_tokens + self.n_words + 1)
-            learnt = self.counts[np.flatnonzero(self.hashes == END)]
-            met = np.where(self.nth > 0, self.counts[np.roll(self.stream, 1)], learnt.sum())
-            self._grow(met)
-        else:
-            level, self.at, self.state, self.up, self.hash, self.n, gain = unpack(row["carry"])
-            self.level, self.gain = int(level[0]), gain.copy()
+    """A block's positions in the tree at one level: `at` (in order), the word there, the farthest word of the context, the state,
+    what the state's parent says of the word, and each state's hash and training tokens.
+
+    The farthest word one level down is that of the position before, which is there too or the position is not.
+    """
 
-    def _grow(self, met: np.ndarray) -> None:
-        """One level down: from states and positions that stay, and how often their longer contexts were met."""
+    def __init__(self, row: dict, totals: tuple[int, int], parts: int, frequent: tuple[np.ndarray, np.ndarray]):
+        self.block, self.parts, self.totals = row["block"], parts, totals
+        self.hot_from = max(2.0, HOT_SHARE * totals[0] / parts)
+        if row.get("carry") is not None:
+            level, lengths, self.train, self.code, self.wide, self.at, self.word, self.far, self.state, self.up, self.hash, self.n, gain = unpack(row["carry"])
+            self.level, self.gain = int(level[0]), gain.copy()
+            self._places(lengths)
+            return
+        (lengths,), (self.train,), (stream,), (hashes,) = (unpack(row[c]) for c in ("lengths", "train", "stream", "words"))
+        self._places(lengths)
+        self.counts = _counts(hashes, row["told"])
+        self.code, self.wide = _codes(hashes, frequent), np.append(hashes, np.uint64(START))
+        self.level, self.gain = 0, np.zeros(len(lengths))
+        self.at = np.arange(len(stream), dtype=np.int32)
+        self.word = stream.astype(np.int32)
+        self.up = (self.counts[stream] + 1) / (totals[0] + totals[1] + 1)
+        self.root, self.known = (np.add.reduceat(x, self.start) for x in (np.log10(self.up), (self.counts[stream] > 0).astype(np.int64)))
+        self.hash, self.state = np.zeros(1, dtype=np.uint64), np.zeros(len(stream), dtype=np.int32)
+        far = np.roll(self.word, 1)
+        far[self.start] = len(hashes)
+        met = np.append(self.counts, self.counts[hashes == END].sum())[far]
+        self._grow(far, met, met >= 2)
+
+    def _places(self, lengths: np.ndarray) -> None:
+        self.lengths = lengths
+        self.start = np.cumsum(lengths.astype(np.int64)) - lengths
+
+    def _docs(self) -> np.ndarray:
+        return np.searchsorted(self.start, self.at, side="right") - 1
+
+    def _grow(self, far: np.ndarray, met: np.ndarray, can: np.ndarray) -> None:
+        """One level down, for the positions that can: their farthest words, and how often their longer contexts were met."""
         self.level += 1
-        can = (met >= 2) & (self.nth[self.at] >= self.level - 1)
-        self.at, self.state, self.up, met = self.at[can], self.state[can], self.up[can], met[can]
-        back = self.at - self.level
-        word = np.where(self.nth[self.at] >= self.level, self.stream[np.maximum(back, 0)].astype(np.int64), len(self.hashes))
-        pairs, first, state = np.unique(self.state * np.int64(len(self.hashes) + 1) + word, return_index=True, return_inverse=True)
-        wide = np.append(self.hashes, np.uint64(START))
-        self.hash = _mixed(self.hash[self.state[first]] + wide[word[first]] * _MIX + np.uint64(self.level))
+        self.at, self.word, self.up, self.far, met, above = self.at[can], self.word[can], self.up[can], far[can], met[can], self.state[can]
+        pairs = above * np.int64(len(self.wide)) + self.far
+        if self.level == 1:
+            used = np.bincount(pairs, minlength=len(self.wide)) > 0
+            first = np.empty(len(used), dtype=np.int64)
+            first[pairs] = np.arange(len(pairs))
+            first, state = first[used], (np.cumsum(used) - 1)[pairs]
+        else:
+            _, first, state = np.unique(pairs, return_index=True, return_inverse=True)
+        self.hash = _mixed(self.hash[above[first]] + self.wide[self.far[first]] * _MIX + np.uint64(self.level))
         self.n, self.state = met[first].astype(np.int64), state.astype(np.int32)
 
     def carry(self) -> bytes:
-        return pack(np.array([self.level], dtype=np.int64), self.at, self.state, self.up, self.hash, self.n, self.gain)
+        words, word = np.unique(self.word, return_inverse=True)
+        wide, far = np.unique(self.far, return_inverse=True)
+        return pack(np.array([self.level], dtype=np.int64), self.lengths, self.train, self.code[words], self.wide[wide], self.at, word.astype("<i4"), far.astype("<i4"), self.state, self.up, self.hash, self.n, self.gain)
 
     def _runs(self) -> None:
         """Entries (state, word) by partition, hot ones last, in the order of states and words; a hot state has a run in each
         partition that its words go to."""
+        by_code = np.empty(len(self.code), dtype=np.int64)
+        by_code[np.argsort(self.code, kind="stable")] = np.arange(len(self.code))
         part = (_mixed(self.hash) % np.uint64(self.parts)).astype(np.int64)
         hot = self.n >= self.hot_from
         run, of, mine, some = np.arange(len(self.hash)), self.state.astype(np.int64), part, np.flatnonzero(hot[self.state])
         if len(some):
-            words = self.stream[self.at[some]]
-            to = (_mixed(self.hash[self.state[some]] ^ self.code[words]) % np.uint64(self.parts)).astype(np.int64)
+            to = (_mixed(self.hash[self.state[some]] ^ self.code[self.word[some]]) % np.uint64(self.parts)).astype(np.int64)
             both, where = np.unique(self.state[some] * np.int64(self.parts) + to, return_inverse=True)
             of[some] = len(run) + where
             run, mine = np.concatenate([run, both // self.parts]), np.concatenate([mine, both % self.parts])
@@ -281,20 +266,22 @@ class _Growing:
         rank = np.empty(len(run), dtype=np.int64)
         rank[order] = np.arange(len(order))
         self.run_state, self.run_part, self.run_hot = run[order], mine[order], hot[run[order]]
-        key = (rank[of] << 32) + self.by_code[self.stream[self.at]]
+        key = (rank[of] << 32) + by_code[self.word]
         by = np.argsort(key)
-        new = np.concatenate([[True], np.diff(key[by]) != 0]) if len(by) else np.zeros(0, dtype=bool)
+        new = np.ones(len(by), dtype=bool)
+        new[1:] = np.diff(key[by]) != 0
         self.first = by[new]
         self.entry = np.empty(len(by), dtype=np.int32)
         self.entry[by] = np.cumsum(new) - 1
         self.entry_run = (key[self.first] >> 32).astype(np.int64)
 
     def messages(self) -> Iterator[tuple]:
-        """What each partition gets: its runs, and words, training counts and either rare words' counts or the parents' values."""
+        """What each partition gets: its runs, words and training counts, and what its entries' parents say: at the first level by
+        rare words' counts, at the second by the parents' counts and sums too, then as it is."""
         self._runs()
-        words = self.stream[self.at[self.first]]
-        counts = np.bincount(self.entry, self.train[self.doc[self.at]], len(self.first)).astype("<u4")
-        sizes = np.bincount(self.entry_run, minlength=len(self.run_state)).astype("<u4")
+        words, runs = self.word[self.first], self.run_state
+        counts = np.bincount(self.entry, self.train.astype(bool)[self._docs()], len(self.first)).astype("<u4")
+        sizes = np.bincount(self.entry_run, minlength=len(runs)).astype("<u4")
         stops = np.searchsorted(self.run_part, np.arange(self.parts + 1))
         ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         for p in range(self.parts):
@@ -302,9 +289,14 @@ class _Growing:
             if a == b:
                 continue
             i, j = ends[a], ends[b]
-            code = self.code[words[i:j]]
-            given = self.counts[words[i:j]][code >= RARE] if self.level == 1 else self.up[self.first[i:j]]
-            yield p, self.block, pack(self.hash[self.run_state[a:b]], sizes[a:b], self.run_hot[a:b].astype(np.uint8), code, counts[i:j], given)
+            code, given = self.code[words[i:j]], []
+            if self.level <= 2:
+                given = [self.counts[words[i:j]][code >= RARE]]
+            if self.level == 2:
+                given += [self.parent_count[self.first[i:j]].astype("<u4"), self.parent_n[runs[a:b]].astype("<u8"), self.parent_u[runs[a:b]].astype("<u8")]
+            if self.level > 2:
+                given = [self.up[self.first[i:j]]]
+            yield p, self.block, pack(self.hash[runs[a:b]], sizes[a:b], self.run_hot[a:b].astype(np.uint8), code, counts[i:j], *given)
 
     def learn(self, answers: list[dict], hot: tuple[np.ndarray, ...]) -> None:
         """Takes the partitions' sums, scores with the states that are kept and goes one level down."""
@@ -323,33 +315,66 @@ class _Growing:
         run, up = self.entry_run[stays], self.up[self.first[stays]]
         value = self.up[self.first]
         value[stays] = (c[stays] + u[run] * up) / (n[run] + u[run])
-        seen = c[self.entry]
         on = stays[self.entry]
-        now = value[self.entry[on]]
-        self.gain += np.bincount(self.doc[self.at[on]], np.log10(now / self.up[on]), len(self.gain))
-        before = np.searchsorted(self.at, self.at[on] - 1)
-        met = np.where(self.at[before] == self.at[on] - 1, seen[before], 0)
-        self.at, self.state, self.up = self.at[on], self.state[on], now
-        self._grow(met)
+        now, doc, entry = value[self.entry[on]], self._docs()[on], self.entry[on]
+        self.gain += np.bincount(doc, np.log10(now / self.up[on]), len(self.gain))
+        stand = self.at[on]
+        before = np.searchsorted(self.at, stand - 1)
+        there = (self.at[before] == stand - 1) & (stand - self.start[doc] >= self.level)
+        met = np.where(there, c[self.entry[before]], 0)
+        far, can = self.far[before], met >= 2
+        above = self.state[on]
+        self.at, self.word, self.up, self.state = stand, self.word[on], now, above
+        sums = [x[can] for x in (c[entry], n[self.entry_run[entry]], u[self.entry_run[entry]])] if self.level == 1 else []
+        self._grow(far, met, can)
+        if self.level == 2:
+            self.parent_count, first = sums[0], np.empty(len(self.hash), dtype=np.int64)
+            first[self.state] = np.arange(len(self.state))
+            self.parent_n, self.parent_u = sums[1][first], sums[2][first]
+
+
+def _counts(hashes: np.ndarray, told: list[dict]) -> np.ndarray:
+    """Training counts of a block's words, as the words' partitions told it."""
+    told = sorted(told, key=lambda a: a["part"])
+    order = np.lexsort((hashes, hashes % np.uint64(told[0]["parts"])))
+    counts = np.empty(len(hashes), dtype=np.int64)
+    counts[order] = np.concatenate([unpack(a["data"])[0] for a in told]).astype(np.int64)
+    return counts
+
+
+def _codes(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """What words travel by: their rank if they are frequent, else 47 bits of their hash."""
+    common, counts = frequent
+    code = (hashes >> np.uint64(17)) | RARE
+    if len(common):
+        ranks = np.empty(len(common), dtype=np.uint64)
+        ranks[np.argsort(-counts.astype(np.int64), kind="stable")] = np.arange(len(common), dtype=np.uint64)
+        place = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        met = common[place] == hashes
+        code[met] = ranks[place[met]]
+    return code
+
+
+def _learnt(row: dict, totals: tuple[int, int], parts: int, frequent, hots) -> _Growing:
+    """A block's positions after all the answers that it has."""
+    g = _Growing(row, totals, parts, frequent.value)
+    answers = row["answers"] or [] if "answers" in row else []
+    for level in range(g.level, max((a["level"] for a in answers), default=0) + 1):
+        g.learn([a for a in answers if a["level"] == level], hots[level].value)
+    return g
 
 
-def _send(totals: tuple[int, int], parts: int, hots, carry: bool):
-    """From a block: what it learns from the answers so far, and its messages for the next level, or its gains at the end."""
+def _send(totals: tuple[int, int], parts: int, frequent, hots, carry: bool):
+    """From a block: its messages for the next level and, with `carry`, the positions left."""
 
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                g = _Growing(r, totals, parts)
-                answers = r.get("answers") or []
-                for level in range(g.level, max((a["level"] for a in answers), default=0) + 1):
-                    g.learn([a for a in answers if a["level"] == level], hots[level].value)
+                g = _learnt(r, totals, parts, frequent, hots)
                 if carry:
                     yield _rows([(-1, g.block, g.carry())], SENT)
-                if carry is None:
-                    yield _rows([(-1, g.block, pack(g.gain))], SENT)
-                else:
-                    for row in g.messages() if len(g.at) else ():
-                        yield _rows([row], SENT)
+                for row in g.messages() if len(g.at) else ():
+                    yield _rows([row], SENT)
 
     return run
 
@@ -375,13 +400,19 @@ def _count(totals: tuple[int, int], common_counts, level: int, least_gain: float
             del order, new
             c = np.bincount(entry, np.concatenate([g[4] for g in got]), len(first))
             given = np.concatenate([g[5] for g in got])
-            if level == 1:
+            if level <= 2:
                 counts = np.empty(len(code), dtype=np.int64)
                 rare = code >= RARE
                 counts[rare], counts[~rare] = given, by_rank[code[~rare].astype(np.int64)]
                 up = (counts[first] + 1) / (totals[0] + totals[1] + 1)
+                del counts, rare
             else:
                 up = given[first]
+            if level == 2:
+                c1, n1, u1 = (np.concatenate([g[k] for g in got]).astype(float) for k in (6, 7, 8))
+                run = np.repeat(np.arange(len(of_run), dtype=np.int32), np.concatenate([g[1] for g in got]).astype(np.int64))[first]
+                up = (c1[first] + u1[run] * up) / (n1[run] + u1[run])
+                del c1, n1, u1, run
             sizes = [len(g[3]) for g in got]
             del got, given, code
             owner, m = of[first], len(state)
@@ -399,43 +430,54 @@ def _count(totals: tuple[int, int], common_counts, level: int, least_gain: float
     return run
 
 
-def _scores(n_tokens: int):
+def _scores(totals: tuple[int, int], parts: int, frequent, hots):
+    """From a block: its documents' scores, after the last level."""
+
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                (base, known), (lengths,), (train,), (gain,) = (unpack(r[c]) for c in ("root", "lengths", "train", "data"))
-                m = len(base)
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(train == 1), pa.array(lengths.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(m, n_tokens, dtype=np.int64)), pa.array(base), pa.array(base + gain)], ["doc_id", "learnt", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                left, carry = r.get("carry"), r.pop("carry", None)
+                g = _Growing(r, totals, parts, frequent.value) if left is not None else _learnt(r, totals, parts, frequent, hots)
+                gain = _learnt(r | {"carry": carry}, totals, parts, frequent, hots).gain if left is not None else g.gain
+                m = len(g.lengths)
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(g.train == 1), pa.array(g.lengths.astype(np.int64)), pa.array(g.known), pa.array(np.full(m, totals[0], dtype=np.int64)), pa.array(g.root), pa.array(g.root + gain)], [c.split()[0] for c in SCORES.split(", ")])
 
     return run
 
 
-class _Stages:
-    """Staged tables that can be deleted once the next ones are written."""
+def _hot_states(answers: DataFrame, least_gain: float) -> tuple[np.ndarray, ...]:
+    """Hash, verdict, tokens and words of the hot states in order: at most 1 / HOT_SHARE a partition."""
+    sums = answers.where("state is not null").groupBy("state").agg(*[F.sum(c).alias(c) for c in ("n", "u", "twice", "once", "a")]).collect()
+    state = np.array([r.state for r in sums], dtype=np.int64).view(np.uint64)
+    n, u, twice, once, a = (np.array([r[c] for r in sums], dtype=float) for c in ("n", "u", "twice", "once", "a"))
+    order = np.argsort(state)
+    return state[order], _kept(a, twice, once, n, u, least_gain)[order], n[order], u[order]
+
+
+class _Held:
+    """Tables that later levels read. Large ones of which the way there is short stay on the executors' disks, and are made again
+    if one is lost; answers are written to the shared folder, so that the messages they came from can go."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths, self.frames = spark, {}, {}
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        self.frames[name] = df.persist(StorageLevel.DISK_ONLY)
+        return df
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
         path = self.paths[name] = fresh_path(self.spark, name)
         df.write.option("compression", "uncompressed").parquet(path)  # packed arrays are compressed by themselves
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
+            if name in self.frames:
+                self.frames.pop(name).unpersist()
             if name in self.paths:
                 drop_stage(self.spark, self.paths.pop(name))
         gc.collect()
-        self.spark._jvm.System.gc()  # so that Spark deletes the shuffles of tables that are written
-
-
-def _hot_states(answers: DataFrame, least_gain: float) -> tuple[np.ndarray, ...]:
-    """Hash, verdict, tokens and words of the hot states in order: at most 1 / HOT_SHARE a partition."""
-    sums = answers.where("state is not null").groupBy("state").agg(*[F.sum(c).alias(c) for c in ("n", "u", "twice", "once", "a")]).collect()
-    state = np.array([r.state for r in sums], dtype=np.int64).view(np.uint64)
-    n, u, twice, once, a = (np.array([r[c] for r in sums], dtype=float) for c in ("n", "u", "twice", "once", "a"))
-    order = np.argsort(state)
-    return state[order], _kept(a, twice, once, n, u, least_gain)[order], n[order], u[order]
+        self.spark._jvm.System.gc()  # so that Spark deletes shuffles that nothing reads any more
 
 
 def score_documents(docs: DataFrame, learn: Column, least_gain: float = 4.0, part_tokens: int = PART_TOKENS) -> DataFrame:
@@ -443,46 +485,46 @@ def score_documents(docs: DataFrame, learn: Column, least_gain: float = 4.0, par
     (doc_id, text). Rows for which `learn` holds are counted; a null condition doesn't hold.
 
     Null and empty texts are the end token alone. Repeated rows and rows without doc_id are each counted and scored; other
-    columns are ignored; an empty table gives no rows. With nothing to learn from, scores are those of the root.
+    columns are ignored; an empty table gives no rows. With nothing to learn from, scores are those of the root. The work is
+    done when this returns; what it returns is read from the shared folder.
     """
     spark = docs.sparkSession
-    n, stages = n_partitions(spark), _Stages(spark)
+    n, held = n_partitions(spark), _Held(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    blocks = stages.put(rows.mapInArrow(_blocks, BLOCKS), "blocks")
+    blocks = held.keep("blocks", rows.mapInArrow(_blocks, BLOCKS).repartition(n, "block"))
     asked = blocks.select("block", "words", "counts").mapInArrow(_ask(n), SENT)
-    answers = stages.put(asked.repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(_answer, "block long, part int, data binary, n_tokens long, n_words long"), "answers")
+    answers = held.write("word-answers", asked.repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(_answer, "block long, part int, data binary, n_tokens long, n_words long"))
     sums = answers.agg(F.sum("n_tokens"), F.sum("n_words")).first()
     totals = sums[0] or 0, sums[1] or 0
     frequent = spark.sparkContext.broadcast(_frequent(answers, totals[0]))  # at most 1 / FREQUENT words
-    told = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "data", F.lit(n).alias("parts"))).alias("answers"))
-    base = stages.put(blocks.drop("counts").join(told, "block").mapInArrow(_base(*totals, frequent), BASE), "base")
-    stages.drop("blocks", "answers")
+    told = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "data", F.lit(n).alias("parts"))).alias("told"))
+    base = blocks.drop("counts").join(told, "block")
 
     parts = parts_for(totals[0], part_tokens)
-    light = base.drop("doc_ids", "root")
-    level, hots, source = 1, {}, light
+    level, hots, source, known = 1, {}, base.drop("doc_ids"), None
     while True:
-        sent = source.mapInArrow(_send(totals, parts, hots, level > REPLAYED), SENT)
-        if level > REPLAYED:
-            sent = stages.put(sent, f"level-{level}")
+        carry = level > REPLAYED
+        sent = source.mapInArrow(_send(totals, parts, frequent, hots, carry), SENT)
+        if carry:
+            sent = held.keep(f"level-{level}", sent)
         dealt = sent.where("part >= 0").repartition(max(n, parts), "part").sortWithinPartitions("part", "block")
-        answers = stages.put(dealt.mapInArrow(_count(totals, frequent, level, least_gain), ANSWERED), f"answers-{level}").withColumn("level", F.lit(level))
+        answers = held.write(f"answers-{level}", dealt.mapInArrow(_count(totals, frequent, level, least_gain), ANSWERED)).withColumn("level", F.lit(level))
         hot = _hot_states(answers, least_gain)
         hots = {**hots, level: spark.sparkContext.broadcast(hot)}
         found = answers.where("state is null").agg(F.sum("kept")).first()[0] or 0
-        known = answers if level == 1 or level > REPLAYED else known.unionByName(answers)
-        told = known.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("level", "part", "data")).alias("answers"))
-        source = light.join(told, "block", "left")
-        if level > REPLAYED:
-            source = source.join(sent.where("part < 0").select("block", F.col("data").alias("carry")), "block")
-            stages.drop(f"level-{level - 1}", *[f"answers-{k}" for k in range(1, level)])
+        known = answers if known is None or carry else known.unionByName(answers)
+        listed = known.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("level", "part", "data")).alias("answers"))
+        if carry:
+            source = sent.where("part < 0").select("block", F.col("data").alias("carry")).join(listed, "block", "left")
         else:
-            stages.drop()
+            source = base.drop("doc_ids").join(listed, "block", "left")
+        held.drop(f"level-{level - 1}")
         if not found and not hot[1].any():
             break
         level += 1
-    gains = source.mapInArrow(_send(totals, parts, hots, None), SENT).select("block", "data")
-    return base.select("block", "doc_ids", "lengths", "train", "root").join(gains, "block").mapInArrow(_scores(totals[0]), "doc_id long, learnt boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scores = held.write("scores", base.join(source.select("block", *[c for c in ("carry", "answers") if c in source.columns]), "block").mapInArrow(_scores(totals, parts, frequent, hots), SCORES))
+    held.drop("blocks", "word-answers", *[f"{what}-{k}" for k in range(1, level + 1) for what in ("answers", "level")])
+    return scores
 
 
 __all__ = ["pack", "score_documents", "tokens", "unpack"]

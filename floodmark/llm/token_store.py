@@ -31,6 +31,8 @@ WINDOW_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 SPREAD = np.uint64(0xD6E8FEB86659FD93)
 #: A chunk ends where this many top bits of the rolling hash are zero: 2**9 ids on average.
 CUT_BITS, LEAST, MOST = 9, 64, 4096
+#: Recipes are a small part of the store, and go to as many times fewer files than its chunks.
+SLIM = 8
 
 
 def digest(data: bytes) -> bytes:
@@ -116,9 +118,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
     once = objects.repartition(n_partitions(spark), "name").groupBy("name").agg(*[F.first(c).alias(c) for c in ("kind", "n", "width", "ids", "doc_id", "names", "root")])
     once.write.option("compression", "zstd").parquet(f"{path}/objects")
     recipes = spark.read.parquet(f"{path}/objects").where("kind = 'r'").select("doc_id", F.hex("name").alias("uid"), "n", "names", "root")
-    recipes = prefix_sums(recipes, ["doc_id", "uid"], "n", "start")
-    recipes.sortWithinPartitions("range_part", "doc_id", "uid").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    ranges(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    few = max(1, n_partitions(spark) // SLIM)
+    recipes = prefix_sums(recipes, ["doc_id", "uid"], "n", "start", files=few)
+    recipes.coalesce(few).sortWithinPartitions("range_part", "doc_id", "uid").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    ranges(spark.read.parquet(f"{path}/recipes")).coalesce(few).write.parquet(f"{path}/manifest")
 
 
 def ranges(recipes: DataFrame) -> DataFrame:

@@ -19,9 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker keeps for each encoder, in columns of about 40 bytes a piece; the half that was met last stays.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 #: Bytes of the texts that are encoded together; a longer text is a group of its own.
-GROUP_BYTES = 10_000_000
+GROUP_BYTES = 4_000_000
 #: Pieces of more characters aren't kept.
 LONG_PIECE = 64
 _OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
