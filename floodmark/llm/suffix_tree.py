@@ -11,7 +11,7 @@ A state is tested if its parent is kept (all words are, at depth one) and the co
 which tells n_s beforehand: only states with n_s >= 2 are. A token is scored by the longest kept state before it.
 
 Only packed arrays travel:
-  - each block asks the words' partitions once for the counts of its distinct words;
+  - each block asks the words' partitions once for the counts and numbers of its distinct words;
   - at each level it sends (state, word, training count) of its positions that are still in the tree, to the state's
     partition, which tells it the sums over all blocks and which states are kept.
 A state with more than a sixteenth of a partition's tokens is split by the following word; there can be no more than 16 a
@@ -42,13 +42,13 @@ BLOCK_BYTES, PART_TOKENS = 6_000_000, 3_000_000
 HOT_SHARE = 1 / 16
 #: Levels up to this one are worked out again from the block's words; at deeper ones the positions left, a fraction, are kept.
 REPLAYED = 2
-#: Words that make up at least this share of all tokens travel by their rank; there can't be more than one over it.
+#: The counts of words that make up at least this share of all tokens are known everywhere; there can't be more than one over it.
 FREQUENT = 2.0**-18
-RARE = np.uint64(1 << 47)
 END, START = 1, 2
 BLOCKS = "block long, doc_ids array<long>, lengths binary, train binary, words binary, stream binary, counts binary"
 SCORES = "doc_id long, learnt boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 SENT = "part int, block long, data binary"
+TOLD = "block long, part int, data binary, n_tokens long, n_words long"
 ANSWERED = "block long, part int, data binary, kept long, state long, n long, u long, twice long, once long, a double"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -144,25 +144,34 @@ def _ask(n: int):
     return run
 
 
-def _answer(batches):
-    """Round 1, at a partition: the words' counts over all blocks, back to each block, and the partition's tokens, words and, as
-    they may be frequent, the words met most."""
-    for part, rows in _grouped(batches, "part"):
-        asked = [unpack(r["data"]) for r in rows]
-        words, where = np.unique(np.concatenate([h for h, _ in asked]), return_inverse=True)
-        counts = np.bincount(where, np.concatenate([c for _, c in asked]).astype(float), len(words)).astype(np.int64)
-        stops = np.cumsum([0] + [len(h) for h, _ in asked])
-        yield _rows([(r["block"], part, pack(counts[where[stops[k] : stops[k + 1]]].astype("<u8")), None, None) for k, r in enumerate(rows)] + [(None, part, pack(*_above(words, counts, FREQUENT * int(counts.sum()))), int(counts.sum()), int((counts > 0).sum()))], "block long, part int, data binary, n_tokens long, n_words long")
+def _answer(n: int):
+    """Round 1, at a partition: the words' counts over all blocks and their numbers, back to each block, and the partition's tokens,
+    words and, as they may be frequent, the words met most. A partition numbers its words by their frequency, n apart."""
+
+    def run(batches):
+        for part, rows in _grouped(batches, "part"):
+            asked = [unpack(r["data"]) for r in rows]
+            words, where = np.unique(np.concatenate([h for h, _ in asked]), return_inverse=True)
+            counts = np.bincount(where, np.concatenate([c for _, c in asked]).astype(float), len(words)).astype(np.int64)
+            number = np.empty(len(words), dtype=np.int64)
+            number[np.argsort(-counts, kind="stable")] = np.arange(len(words)) * n + part
+            stops = np.cumsum([0] + [len(h) for h, _ in asked])
+            for k, r in enumerate(rows):
+                mine = where[stops[k] : stops[k + 1]]
+                yield _rows([(r["block"], part, pack(counts[mine].astype("<u8"), number[mine]), None, None)], TOLD)
+            yield _rows([(None, part, pack(*_above(number, counts, FREQUENT * int(counts.sum()))), int(counts.sum()), int((counts > 0).sum()))], TOLD)
+
+    return run
 
 
-def _above(words: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Words (in order) that have at least that count, and their counts."""
+def _above(numbers: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Words that have at least that count, and their counts."""
     some = (counts > 0) & (counts >= least)
-    return words[some], counts[some].astype("<u8")
+    return numbers[some], counts[some]
 
 
 def _frequent(answers: DataFrame, n_tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent words in order, at most 1 / FREQUENT of them, and their ranks' counts. A partition knows its own tokens alone,
+    """The frequent words' numbers in order, at most 1 / FREQUENT of them, and their counts. A partition knows its own tokens alone,
     so it has offered a little more than its frequent words; what it offers is cut to them before it leaves the executors."""
 
     def cut(batches):
@@ -170,9 +179,27 @@ def _frequent(answers: DataFrame, n_tokens: int) -> tuple[np.ndarray, np.ndarray
             yield _rows([(pack(*_above(*unpack(d), FREQUENT * n_tokens)),) for d in b.column("data").to_pylist()], "data binary")
 
     parts = [unpack(r.data) for r in answers.where("block is null").select("data").mapInArrow(cut, "data binary").collect()]
-    words, counts = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, dtype=np.uint64) for k in range(2))
-    order = np.argsort(words)
-    return words[order], counts[order]
+    numbers, counts = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, dtype=np.int64) for k in range(2))
+    order = np.argsort(numbers)
+    return numbers[order], counts[order]
+
+
+def _among(numbers: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the words are frequent, and where they stand there."""
+    if not len(frequent[0]):
+        return np.zeros(len(numbers), dtype=bool), np.zeros(len(numbers), dtype=np.int64)
+    place = np.minimum(np.searchsorted(frequent[0], numbers), len(frequent[0]) - 1)
+    return frequent[0][place] == numbers, place
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, in their order, and each key's number among them."""
+    order = np.argsort(keys)
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.diff(keys[order]) != 0
+    number = np.empty(len(order), dtype=np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    return order[new], number
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -198,7 +225,7 @@ class _Growing:
     """
 
     def __init__(self, row: dict, totals: tuple[int, int], parts: int, frequent: tuple[np.ndarray, np.ndarray]):
-        self.block, self.parts, self.totals = row["block"], parts, totals
+        self.block, self.parts, self.totals, self.frequent = row["block"], parts, totals, frequent
         self.hot_from = max(2.0, HOT_SHARE * totals[0] / parts)
         if row.get("carry") is not None:
             level, lengths, self.train, self.code, self.wide, self.at, self.word, self.far, self.state, self.up, self.hash, self.n, gain = unpack(row["carry"])
@@ -207,8 +234,9 @@ class _Growing:
             return
         (lengths,), (self.train,), (stream,), (hashes,) = (unpack(row[c]) for c in ("lengths", "train", "stream", "words"))
         self._places(lengths)
-        self.counts = _counts(hashes, row["told"])
-        self.code, self.wide = _codes(hashes, frequent), np.append(hashes, np.uint64(START))
+        self.counts, self.code = _told(hashes, row["told"])
+        self.wide = np.append(hashes, np.uint64(START))
+        self.doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         self.level, self.gain = 0, np.zeros(len(lengths))
         self.at = np.arange(len(stream), dtype=np.int32)
         self.word = stream.astype(np.int32)
@@ -221,11 +249,11 @@ class _Growing:
         self._grow(far, met, met >= 2)
 
     def _places(self, lengths: np.ndarray) -> None:
-        self.lengths = lengths
+        self.lengths, self.doc = lengths, None
         self.start = np.cumsum(lengths.astype(np.int64)) - lengths
 
     def _docs(self) -> np.ndarray:
-        return np.searchsorted(self.start, self.at, side="right") - 1
+        return np.searchsorted(self.start, self.at, side="right") - 1 if self.doc is None else self.doc[self.at]
 
     def _grow(self, far: np.ndarray, met: np.ndarray, can: np.ndarray) -> None:
         """One level down, for the positions that can: their farthest words, and how often their longer contexts were met."""
@@ -238,7 +266,7 @@ class _Growing:
             first[pairs] = np.arange(len(pairs))
             first, state = first[used], (np.cumsum(used) - 1)[pairs]
         else:
-            _, first, state = np.unique(pairs, return_index=True, return_inverse=True)
+            first, state = _distinct(pairs)
         self.hash = _mixed(self.hash[above[first]] + self.wide[self.far[first]] * _MIX + np.uint64(self.level))
         self.n, self.state = met[first].astype(np.int64), state.astype(np.int32)
 
@@ -250,13 +278,11 @@ class _Growing:
     def _runs(self) -> None:
         """Entries (state, word) by partition, hot ones last, in the order of states and words; a hot state has a run in each
         partition that its words go to."""
-        by_code = np.empty(len(self.code), dtype=np.int64)
-        by_code[np.argsort(self.code, kind="stable")] = np.arange(len(self.code))
         part = (_mixed(self.hash) % np.uint64(self.parts)).astype(np.int64)
         hot = self.n >= self.hot_from
         run, of, mine, some = np.arange(len(self.hash)), self.state.astype(np.int64), part, np.flatnonzero(hot[self.state])
         if len(some):
-            to = (_mixed(self.hash[self.state[some]] ^ self.code[self.word[some]]) % np.uint64(self.parts)).astype(np.int64)
+            to = (_mixed(self.hash[self.state[some]] ^ self.code[self.word[some]].astype(np.uint64)) % np.uint64(self.parts)).astype(np.int64)
             both, where = np.unique(self.state[some] * np.int64(self.parts) + to, return_inverse=True)
             of[some] = len(run) + where
             run, mine = np.concatenate([run, both // self.parts]), np.concatenate([mine, both % self.parts])
@@ -266,14 +292,9 @@ class _Growing:
         rank = np.empty(len(run), dtype=np.int64)
         rank[order] = np.arange(len(order))
         self.run_state, self.run_part, self.run_hot = run[order], mine[order], hot[run[order]]
-        key = (rank[of] << 32) + by_code[self.word]
-        by = np.argsort(key)
-        new = np.ones(len(by), dtype=bool)
-        new[1:] = np.diff(key[by]) != 0
-        self.first = by[new]
-        self.entry = np.empty(len(by), dtype=np.int32)
-        self.entry[by] = np.cumsum(new) - 1
-        self.entry_run = (key[self.first] >> 32).astype(np.int64)
+        key = (rank[of] << 32) + self.word
+        self.first, self.entry = _distinct(key)
+        self.entry_run = key[self.first] >> 32
 
     def messages(self) -> Iterator[tuple]:
         """What each partition gets: its runs, words and training counts, and what its entries' parents say: at the first level by
@@ -291,7 +312,7 @@ class _Growing:
             i, j = ends[a], ends[b]
             code, given = self.code[words[i:j]], []
             if self.level <= 2:
-                given = [self.counts[words[i:j]][code >= RARE]]
+                given = [self.counts[words[i:j]][~_among(code, self.frequent)[0]]]
             if self.level == 2:
                 given += [self.parent_count[self.first[i:j]].astype("<u4"), self.parent_n[runs[a:b]].astype("<u8"), self.parent_u[runs[a:b]].astype("<u8")]
             if self.level > 2:
@@ -333,26 +354,14 @@ class _Growing:
             self.parent_n, self.parent_u = sums[1][first], sums[2][first]
 
 
-def _counts(hashes: np.ndarray, told: list[dict]) -> np.ndarray:
-    """Training counts of a block's words, as the words' partitions told it."""
+def _told(hashes: np.ndarray, told: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Training counts and numbers of a block's words, as the words' partitions told it."""
     told = sorted(told, key=lambda a: a["part"])
     order = np.lexsort((hashes, hashes % np.uint64(told[0]["parts"])))
-    counts = np.empty(len(hashes), dtype=np.int64)
-    counts[order] = np.concatenate([unpack(a["data"])[0] for a in told]).astype(np.int64)
-    return counts
-
-
-def _codes(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """What words travel by: their rank if they are frequent, else 47 bits of their hash."""
-    common, counts = frequent
-    code = (hashes >> np.uint64(17)) | RARE
-    if len(common):
-        ranks = np.empty(len(common), dtype=np.uint64)
-        ranks[np.argsort(-counts.astype(np.int64), kind="stable")] = np.arange(len(common), dtype=np.uint64)
-        place = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        met = common[place] == hashes
-        code[met] = ranks[place[met]]
-    return code
+    got = [unpack(a["data"]) for a in told]
+    counts, numbers = np.empty(len(hashes), dtype=np.int64), np.empty(len(hashes), dtype=np.int64)
+    counts[order], numbers[order] = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in range(2))
+    return counts, numbers
 
 
 def _learnt(row: dict, totals: tuple[int, int], parts: int, frequent, hots) -> _Growing:
@@ -379,33 +388,27 @@ def _send(totals: tuple[int, int], parts: int, frequent, hots, carry: bool):
     return run
 
 
-def _count(totals: tuple[int, int], common_counts, level: int, least_gain: float):
+def _count(totals: tuple[int, int], frequent, level: int, least_gain: float):
     """At a partition: adds its blocks' entries up, tests its states, and tells each block the sums of its own entries."""
 
     def run(batches):
-        by_rank = -np.sort(-common_counts.value[1].astype(np.int64))
         for part, rows in _grouped(batches, "part"):
             got = [unpack(r.pop("data")) for r in rows]
             runs = [len(g[0]) for g in got]
             state, of_run = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-            of = np.repeat(of_run.astype(np.int32), np.concatenate([g[1] for g in got]).astype(np.int64))
+            of = np.repeat(of_run.astype(np.int64), np.concatenate([g[1] for g in got]).astype(np.int64))
             hot = np.zeros(len(state), dtype=bool)
             hot[of_run] = np.concatenate([g[2] for g in got]).astype(bool)
             code = np.concatenate([g[3] for g in got])
-            order = np.lexsort((code, of))
-            new = np.concatenate([[True], (np.diff(of[order]) != 0) | (np.diff(code[order].view(np.int64)) != 0)])
-            first = order[new]
-            entry = np.empty(len(order), dtype=np.int32)
-            entry[order] = np.cumsum(new) - 1
-            del order, new
+            first, entry = _distinct(of * (int(code.max()) + 1) + code)
             c = np.bincount(entry, np.concatenate([g[4] for g in got]), len(first))
             given = np.concatenate([g[5] for g in got])
             if level <= 2:
+                known, place = _among(code, frequent.value)
                 counts = np.empty(len(code), dtype=np.int64)
-                rare = code >= RARE
-                counts[rare], counts[~rare] = given, by_rank[code[~rare].astype(np.int64)]
+                counts[~known], counts[known] = given, frequent.value[1][place[known]]
                 up = (counts[first] + 1) / (totals[0] + totals[1] + 1)
-                del counts, rare
+                del counts, known, place
             else:
                 up = given[first]
             if level == 2:
@@ -493,7 +496,7 @@ def score_documents(docs: DataFrame, learn: Column, least_gain: float = 4.0, par
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(learn, F.lit(False)).alias("learn"))
     blocks = held.keep("blocks", rows.mapInArrow(_blocks, BLOCKS).repartition(n, "block"))
     asked = blocks.select("block", "words", "counts").mapInArrow(_ask(n), SENT)
-    answers = held.write("word-answers", asked.repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(_answer, "block long, part int, data binary, n_tokens long, n_words long"))
+    answers = held.write("word-answers", asked.repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(_answer(n), TOLD))
     sums = answers.agg(F.sum("n_tokens"), F.sum("n_words")).first()
     totals = sums[0] or 0, sums[1] or 0
     frequent = spark.sparkContext.broadcast(_frequent(answers, totals[0]))  # at most 1 / FREQUENT words
