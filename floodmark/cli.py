@@ -18,7 +18,7 @@ from floodmark.engine import Engine
 from floodmark.functions.times import as_utc
 from floodmark.plans.outcome import FAILED
 from floodmark.report import digest, trace, watchdog
-from floodmark.report.frames import digest_history
+from floodmark.report.frames import digest_history, gone_groups
 from floodmark.store import tables
 
 
@@ -58,7 +58,8 @@ def digests(engine: Engine) -> list[tuple[digest.Digest, str]]:
     email_sample_keys allows it."""
     config, past = engine.config, []
     if engine.rows:
-        past = digest_history(engine.stored("dq_check_result").where(F.col("dataset").isin(sorted({r["dataset"] for r in engine.rows})))).collect()
+        history = digest_history(engine.stored("dq_check_result").where(F.col("dataset").isin(sorted({r["dataset"] for r in engine.rows}))))
+        past = history.collect()
     known = {(r.dataset, r.check_id, r.groups): r for r in past}
     why: dict[str, list[str]] = {}
     for c in engine.cause_rows:
@@ -72,15 +73,15 @@ def digests(engine: Engine) -> list[tuple[digest.Digest, str]]:
         keys = engine.stored("dq_key_event").where((F.col("run_id") == engine.run_id) & F.col("evaluation_id").isin(sampled) & (F.col("event") != "CLEARED"))
         for r in keys.withColumn("_n", F.row_number().over(ordered)).where(F.col("_n") <= SAMPLES).collect():
             named.setdefault(r.evaluation_id, []).append(f"{r.key_value} {r.state_detail}")
-    items, seen = [], set()
+    items = []
     for r in engine.rows:
         groups = ",".join(f"{k}={v or ''}" for k, v in sorted(r["group_values"].items()))
-        seen.add((r["dataset"], r["check_id"], groups))
         h, rule = known.get((r["dataset"], r["check_id"], groups)), config.rules.get(r["check_id"])
         items.append(digest.Item(r["dataset"], r["check_id"], groups, r["state"], h and h.previous_state, h.failed_since if h and r["state"] == FAILED else None, r["observed"], r["expected"], r["reason_code"], r["population"], r["violations"], r["severity"], bool(rule and rule.status == "proposed"), tuple(why.get(r["evaluation_id"], ())), tuple(named.get(r["evaluation_id"], ())), engine.short_slots.get(r["evaluation_id"], ())))
-    # a group that failed when last seen and has no row although its check ran; a volume's groups are new each time
-    judged = {(r["dataset"], r["check_id"]) for r in engine.rows if r["state"] != "DID_NOT_RUN"}
-    gone = [digest.Item(r.dataset, r.check_id, r.groups, r.state) for r in past if r.state == FAILED and r.groups and r.check_id != "T1_VOLUME" and (r.dataset, r.check_id) in judged and (r.dataset, r.check_id, r.groups) not in seen]
+    gone = []
+    if items:
+        current = engine.spark.createDataFrame([(i.dataset, i.check_id, i.groups, i.state) for i in items], "dataset string, check_id string, groups string, state string")
+        gone = [digest.Item(r.dataset, r.check_id, r.groups, r.state) for r in gone_groups(history, current).collect()]
     return [(d, digest.text(d, config.defaults.environment, engine.run_id)) for d in digest.build(config, items, gone)]
 
 

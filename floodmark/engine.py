@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime, timedelta
 from functools import cached_property
 from pathlib import Path
@@ -18,7 +18,7 @@ from floodmark.config.loader import Config
 from floodmark.config.models import PARAMS, PROBES, Dataset, Feed, Rule, ready
 from floodmark.config.patterns import CHECKS, FAILURES, Cause, failure_type
 from floodmark.functions.keys import base_name, canonical, keyed_hash
-from floodmark.functions.times import as_utc, stamp, truncate, utc
+from floodmark.functions.times import as_utc, loaded_within, stamp, truncate, utc, within
 from floodmark.operators import causes, hops, rules, tier1
 from floodmark.plans import outcome as oc
 from floodmark.plans import schedule
@@ -32,6 +32,8 @@ from floodmark.sources.relation import Derived as DerivedPlan
 from floodmark.store import tables, views
 
 VERSION = "1"
+#: Days of results that are looked at first; a rule that hasn't run within them is due whatever its frequency.
+RECENT_DAYS = 35
 OUTCOME = ("state", "reason_category", "reason_code", "population", "violations", "observed", "expected", "severity", "detail")
 
 
@@ -55,6 +57,7 @@ class Engine:
     rows: list[dict] = field(default_factory=list)
     cause_rows: list[dict] = field(default_factory=list)
     short_slots: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    assessed: dict[tuple, DataFrame] = field(default_factory=dict)
 
     # -- names and relations
 
@@ -96,28 +99,68 @@ class Engine:
         ups = tuple(F.col(u) for u in ds.owned_columns) if ds.owned_columns else ()
         dns = tuple(F.col(d) for d in ds.owned_columns.values())
         name = lambda x: F.col(x.file_name_column) if x.file_name_column else None
+        bounds = lambda x: (lambda a, b: loaded_within(x.load_time.plan(), as_utc(a), as_utc(b), self.zone)) if x.load_time and x.derived is None else None
         hashed = keyed_hash(self.secret) if self.secret else None
         flagged = None
         if hashed is not None and self.execution == "NORMAL" and self.spark.catalog.tableExists(f"{self.database}.dq_key_event"):
-            flagged = views.open_keys(self.stored("dq_key_event").where((F.col("dataset") == ds.dataset) & (F.col("check_id") == "HOP_KEY_CURRENCY") & (F.col("hop") == f"{up_name}->{ds.dataset}"))).select("key_hash")
+            events = self.stored("dq_key_event").where((F.col("dataset") == ds.dataset) & (F.col("check_id") == "HOP_KEY_CURRENCY") & (F.col("hop") == f"{up_name}->{ds.dataset}"))
+            values = events.where("key_value IS NOT NULL").groupBy("key_hash").agg(F.max("key_value").alias("key_value"))
+            flagged = views.open_keys(events).select("key_hash").join(values, "key_hash")
         return hops.Hop(
-            hops.Side(self.relation(up_name), canonical([up.part(mapping[c]) for c in ds.key]), self.time(up.record_time), self.time(up.load_time), name(up), ups),
-            hops.Side(self.relation(ds.dataset), canonical([ds.part(c) for c in ds.key]), self.time(ds.record_time), self.time(ds.load_time), name(ds), dns),
+            hops.Side(self.relation(up_name), canonical([up.part(mapping[c]) for c in ds.key]), self.time(up.record_time), self.time(up.load_time), name(up), ups, bounds(up)),
+            hops.Side(self.relation(ds.dataset), canonical([ds.part(c) for c in ds.key]), self.time(ds.record_time), self.time(ds.load_time), name(ds), dns, bounds(ds)),
             event.start, event.end, sla, sweep, F.expr(ds.hop_exclusions[up_name]) if up_name in ds.hop_exclusions else None, flagged, hashed,
         )
 
     # -- checks
 
-    def evaluate(self, job: Job) -> list[Result]:
+    def require(self, name: str, columns: Iterable[str | None] = ()) -> None:
+        """Raises what a dataset lacks of what a check reads: the catalog's answer, its table, or configured columns."""
+        ds = self.config.datasets[name]
+        if ds.derived is not None:
+            for source in ds.derived.sources:
+                self.require(source)
+            return
+        try:
+            there = {c.lower() for c in self.spark.table(ds.table).columns} if self.spark.catalog.tableExists(ds.table) else None
+        except Exception as e:  # noqa: BLE001  whatever a catalog raises
+            raise oc.Unmet("metastore_unavailable", oc.kind_of(e)) from None
+        if there is None:
+            raise oc.Unmet("table_missing", f"table {ds.table}")
+        if lost := sorted({c for c in columns if c and c.lower() not in there}):
+            raise oc.Unmet("column_missing", f"{ds.table} has no {', '.join(lost)}")
+
+    def _reads(self, job: Job) -> list[str | None]:
+        """The configured columns that a job reads of its own dataset."""
+        ds = job.dataset
+        record, load = (t.column if t else None for t in (ds.record_time, ds.load_time))
+        if job.rule is not None:
+            p, columns = job.rule.params, [*job.rule.group_by]
+            columns += [p.get(c) for c in ("column", "lower", "upper", "order_column", "child_start")]
+            columns += [*(p.get("group_key") or ()), *(p.get("join") or ())]
+            return columns + (ds.key if job.rule.template in ("max_rows_per_key", "max_open_rows_per_key") else [])
+        return {
+            "T1_ON_TIME": [load],
+            "T1_ZERO_ROWS": [load],
+            "T1_VOLUME": [load],
+            "T1_FILES_NOT_LOADED": [ds.file_name_column],
+            "T1_KEY_NULLS": [load, *ds.key, *ds.group_by],
+            "T1_KEY_DUPLICATES": [*ds.key, *ds.group_by],
+            "HOP_KEY_CURRENCY": [record, load, *ds.key],
+            "HOP_VALUE_AGREEMENT": [record, load, *ds.key, *ds.owned_columns.values()],
+            "HOP_FILE_COMPLETENESS": [ds.file_name_column],
+        }.get(job.check_id, [])
+
+    def evaluate(self, job: Job) -> list[Result] | None:
+        """The job's results; none where the check isn't for its dataset."""
         ds = job.dataset
-        if not self.spark.catalog.tableExists(ds.table):
-            return [did_not_run("table_missing", f"table {ds.table}")]
+        self.require(ds.dataset, self._reads(job))
         if job.rule is not None:
             return self._rule(job.rule, ds)
         needs = {"T1_ON_TIME", "T1_ZERO_ROWS", "T1_VOLUME", "T1_KEY_NULLS"}
         if job.check_id in needs and ds.load_time is None:
-            return [did_not_run("invalid_config", "load_time isn't set")]
-        return getattr(self, "_" + job.check_id.lower())(job)
+            raise oc.Unmet("invalid_config", "load_time isn't set")
+        return getattr(self, "_" + job.check_id.lower())(job) or None
 
     def _slots_due(self, job: Job) -> list[datetime]:
         sla = timedelta(hours=self.config.settings(job.dataset.dataset)["sla_hours"])
@@ -152,7 +195,7 @@ class Engine:
         for r in found:
             groups = {"slot": r.g_1, "slot_time": r.g_2}
             if r.outside is None:
-                out.append(did_not_run("insufficient_history", f"{r.loads} earlier loads", groups, r.row_count, f"{r.row_count} rows"))
+                out.append(did_not_run("insufficient_history", f"{r.loads} earlier loads", groups, population=r.row_count, observed=f"{r.row_count} rows"))
             else:
                 out.append(counted(r.row_count, r.outside, f"{r.row_count} rows", f"{r.low:g} to {r.high:g} rows", groups))
         return out
@@ -201,17 +244,31 @@ class Engine:
                 out.append(did_not_run("invalid_config", "the hop lacks a record or load time", groups))
                 continue
             try:
+                mapped = ds.key_map[up_name]
+                self.require(up_name, [up.record_time.column, up.load_time.column, *(mapped[c] for c in ds.key), *(ds.owned_columns if job.check_id == "HOP_VALUE_AGREEMENT" else ())])
                 found = work(self.hop(ds, up_name, job.event, job.sweep), groups, up_name)
             except Exception as e:  # noqa: BLE001  a failing hop is a result
-                found = oc.from_error(e)
-                found = did_not_run(found.reason, found.detail, groups)
+                found = replace(oc.from_error(e), groups=groups)
             out += [found] if found else []
         return out
 
+    def judged(self, job: Job, up_name: str, hop: hops.Hop) -> DataFrame:
+        """The hop's keys assessed over the job's window: once for currency, agreement, events and causes. Spark keeps the rows and
+        rebuilds what a lost executor had of them."""
+        name = (job.dataset.dataset, up_name, job.event, job.sweep)
+        if name not in self.assessed:
+            self.forget(job.dataset.dataset)
+            self.assessed[name] = hops.assess(hop).persist(StorageLevel.MEMORY_AND_DISK)
+        return self.assessed[name]
+
+    def forget(self, but: str | None = None) -> None:
+        """Lets go of what was assessed for other datasets."""
+        for name in [n for n in self.assessed if n[0] != but]:
+            self.assessed.pop(name).unpersist()
+
     def _hop_key_currency(self, job: Job) -> list[Result]:
         def work(hop: hops.Hop, groups: dict, up_name: str) -> Result:
-            # judged once, read for the counts, the events and the causes; rebuilt from its sources if an executor is lost
-            assessed = hops.assess(hop).persist(StorageLevel.MEMORY_AND_DISK)
+            assessed = self.judged(job, up_name, hop)
             r = hops.currency(assessed).first()
             seen = f"{r.missing} missing, {r.stale} stale, {r.unassessable} unassessable of {r.population}; {r.excluded or 0} excluded, {r.pending or 0} pending" if r.population is not None else "none"
             why = None if self.secret or not r.violations else "no secret is set, so no key events are kept"
@@ -224,9 +281,9 @@ class Engine:
             return []
 
         def work(hop: hops.Hop, groups: dict, up_name: str) -> Result:
-            hop = hops.Hop(hop.up, hop.dn, hop.start, hop.end, hop.sla, hop.full_sweep, hop.excluded, None, hop.hashed)
-            r = hops.agreement(hop).first()
-            return counted(r.population, r.violations, f"{r.violations or 0} of {r.population} keys disagree", "the same owned values", groups, evidence=(hop, None, up_name))
+            off = hops.mismatches(hop, self.judged(job, up_name, hop)).persist(StorageLevel.MEMORY_AND_DISK)
+            r = hops.agreement(hop, off).first()
+            return counted(r.population, r.violations, f"{r.violations or 0} of {r.population} keys disagree", "the same owned values", groups, evidence=(hop, off, up_name))
 
         return self._each_hop(job, work)
 
@@ -266,10 +323,16 @@ class Engine:
     # -- planning
 
     def history(self, names: Iterable[str]) -> dict[str, History]:
+        """Where each dataset's windows stand. Windows only move on, so the last weeks' rows tell all once a window of theirs is done;
+        the whole store is only read for datasets without one."""
         found = {n: History() for n in names}
-        for r in views.window_history(self.stored("dq_check_result").where(F.col("dataset").isin(list(found))), self.stored("dq_run")).collect():
-            at = lambda t: as_utc(t) if t else None
-            found[r.dataset] = History(at(r.previous_end), at(r.held_start), at(r.first_held_end), at(r.last_held_end), tuple(r.held_by or ()))
+        recent = F.col("run_date") >= F.lit(self.run_start.date() - timedelta(days=RECENT_DAYS))
+        at = lambda t: as_utc(t) if t else None
+        for part in (recent, F.lit(True)):
+            left = [n for n, h in found.items() if h.previous_end is None]
+            rows = self.stored("dq_check_result").where(part & F.col("dataset").isin(left))
+            for r in views.window_history(rows, self.stored("dq_run").where(part)).collect() if left else ():
+                found[r.dataset] = History(at(r.previous_end), at(r.held_start), at(r.first_held_end), at(r.last_held_end), tuple(r.held_by or ()))
         return found
 
     def jobs(self, feeds: set[str] | None = None, changed: set[str] = frozenset()) -> tuple[list[Job], list[tuple[Dataset, Event]]]:
@@ -311,7 +374,8 @@ class Engine:
 
     def _rules_due(self, chosen: dict[str, Dataset], planned: list[Job]) -> list[Job]:
         d = self.config.defaults
-        done = self.stored("dq_check_result").where("execution_type = 'NORMAL' AND severity IS NOT NULL AND coalesce(reason_category, '') NOT IN ('PLATFORM', 'BUDGET')")
+        recent = F.col("run_date") >= F.lit(self.run_start.date() - timedelta(days=RECENT_DAYS))
+        done = self.stored("dq_check_result").where(recent & F.expr("execution_type = 'NORMAL' AND severity IS NOT NULL AND coalesce(reason_category, '') NOT IN ('PLATFORM', 'BUDGET')"))
         last = {(r.dataset, r.check_id): as_utc(r.at) for r in done.groupBy("dataset", "check_id").agg(F.max("evaluated_at").alias("at")).collect()}
         events = {j.dataset.dataset: j.event for j in planned}
         out = []
@@ -385,10 +449,11 @@ class Engine:
             to_explain += len(failed)
             explained += sum(self.investigate(job, r) for r in failed)
             for r in results:
-                if isinstance(r.evidence, tuple) and isinstance(r.evidence[1], DataFrame):
+                if job.check_id == "HOP_VALUE_AGREEMENT" and isinstance(r.evidence, tuple):
                     r.evidence[1].unpersist()
         if self.execution == "NORMAL":
             self.retry()
+        self.forget()
         status = "COMPLETED" if written == len(jobs) and explained == to_explain else "PARTIAL"
         self._run_row(status, len(jobs), written, to_explain, explained, ended=True)
         return status
@@ -397,8 +462,7 @@ class Engine:
         size = None
         if self.config.defaults.scan_mb_per_minute and self.spark.catalog.tableExists(job.dataset.table):
             size = oc.estimated_bytes(self.relation(job.dataset.dataset))
-        results, took = oc.run_check(self.spark, lambda: self.evaluate(job) or [Result("SKIPPED")], budget, size, self.config.defaults.scan_mb_per_minute)
-        return [r for r in results if r.state != "SKIPPED"], took
+        return oc.run_check(self.spark, lambda: self.evaluate(job), budget, size, self.config.defaults.scan_mb_per_minute)
 
     def _store(self, job: Job, results: list[Result], took: int) -> bool:
         rows = [self.row(job, r, took) for r in results]
@@ -415,7 +479,7 @@ class Engine:
                 continue
             try:
                 hop, assessed, up_name = r.evidence
-                events = hops.key_events(assessed).withColumns({"run_id": F.lit(self.run_id), "evaluation_id": F.lit(row["evaluation_id"]), "dataset": F.lit(job.dataset.dataset), "check_id": F.lit(job.check_id), "hop": F.lit(f"{up_name}->{job.dataset.dataset}"), "observed_at": stamp(self.run_start), "run_date": F.lit(self.run_start.date())})
+                events = hops.key_events(assessed, hop.hashed).withColumns({"run_id": F.lit(self.run_id), "evaluation_id": F.lit(row["evaluation_id"]), "dataset": F.lit(job.dataset.dataset), "check_id": F.lit(job.check_id), "hop": F.lit(f"{up_name}->{job.dataset.dataset}"), "observed_at": stamp(self.run_start), "run_date": F.lit(self.run_start.date())})
                 tables.append(self.spark, self.database, "dq_key_event", events)
             except Exception as e:  # noqa: BLE001  the result must say that its evidence is not there
                 ok = False
@@ -462,14 +526,10 @@ class Engine:
             return [Failure(p, path=p) for p in r.evidence]
         if job.check_id == "HOP_FILE_COMPLETENESS":
             return [Failure(s.f, file=s.f) for s in r.evidence[1]]
-        hop, assessed, _ = r.evidence
+        hop, rows, _ = r.evidence
         if self.secret is None:
             return [Failure(None)]
-        if job.check_id == "HOP_VALUE_AGREEMENT":
-            off = hops.mismatches(hop).where("mismatch = 1").select("k")
-            keys = hops.judge(hop).join(off, "k", "left_semi").orderBy("key_hash").limit(causes.EXPLAINED)
-        else:
-            keys = causes.failing_keys(assessed)
+        keys = causes.first_keys(rows.where("mismatch = 1"), hop.hashed) if job.check_id == "HOP_VALUE_AGREEMENT" else causes.failing_keys(rows, hop.hashed)
         return [Failure(k.key_hash, key=k) for k in keys.collect()]
 
     def investigate(self, job: Job, r: Result) -> bool:
@@ -494,10 +554,8 @@ class Engine:
         """FAILED results of the last days that are still their evaluation's latest and have no cause rows."""
         since = self.run_start.date() - timedelta(days=self.config.defaults.investigation_retry_days)
         recent = self.stored("dq_check_result").where((F.col("run_date") >= F.lit(since)) & F.expr("execution_type = 'NORMAL' AND severity IS NULL"))
-        order = Window.partitionBy("evaluation_id").orderBy(F.desc("evaluated_at"))
         explained = sorted({c for k in FAILURES.values() for c in k.checks})
-        failed = recent.withColumn("_n", F.row_number().over(order)).where("_n = 1 AND state = 'FAILED'").drop("_n").where(F.col("check_id").isin(explained))
-        return failed.join(self.stored("dq_cause_result").select("evaluation_id"), "evaluation_id", "left_anti")
+        return views.unexplained(recent, self.stored("dq_cause_result"), explained)
 
     def retry(self) -> int:
         """Investigates what earlier runs couldn't: the check is evaluated over its own window again for the evidence."""
@@ -509,7 +567,7 @@ class Engine:
                 continue
             job = Job(ds, feed, r.check_id, Event(r.dataset, as_utc(r.window_start), as_utc(r.window_end)))
             try:
-                again = next((x for x in self.evaluate(job) if x.state == oc.FAILED and x.groups == dict(r.group_values)), None)
+                again = next((x for x in self.evaluate(job) or () if x.state == oc.FAILED and x.groups == dict(r.group_values)), None)
             except Exception:  # noqa: BLE001  left for the next run
                 continue
             done += again is not None and self.investigate(job, again)
@@ -521,7 +579,7 @@ class Probe:
     each failing item, or for each file of a feed."""
 
     def __init__(self, engine: Engine, job: Job, result: Result, failures: list[Failure]):
-        self.e, self.job, self.result, self.kept = engine, job, result, {}
+        self.e, self.job, self.result, self.failures, self.kept = engine, job, result, failures, {}
         keys = [f.key.k for f in failures if f.key is not None]
         self.failing = engine.spark.createDataFrame([(k,) for k in keys], "k string") if keys else None
 
@@ -544,22 +602,48 @@ class Probe:
     def _raw(self) -> Dataset | None:
         return next((d for n in self.job.feed.datasets if (d := self.e.config.datasets[n]).layer == "RAW" and d.file_name_column), None)
 
+    def _files(self) -> DataFrame:
+        """The feed's landed files."""
+        raw = self._raw()
+        seen = self.e.stored("dq_file").where(F.col("feed") == self.job.feed.feed)
+        return causes.landed(seen, self.e.relation(raw.dataset) if raw else None, raw.file_name_column if raw else None)
+
+    def _span(self, slot: datetime) -> tuple[datetime, datetime]:
+        return slot, slot + timedelta(hours=self.e.config.settings(self.job.dataset.dataset)["sla_hours"])
+
     def _landed(self) -> dict[str, Any]:
+        """Those among them that fail or landed within a failing slot."""
+
         def make():
-            raw = self._raw()
-            seen = self.e.stored("dq_file").where(F.col("feed") == self.job.feed.feed)
-            rows = causes.landed(seen, self.e.relation(raw.dataset) if raw else None, raw.file_name_column if raw else None)
-            return {r.path: r for r in rows.collect()}
+            asked = F.col("path").isin([f.path for f in self.failures if f.path])
+            for f in self.failures:
+                if f.slot is not None:
+                    asked = asked | within(F.col("first_seen_at"), *self._span(f.slot))
+            return {r.path: r for r in self._files().where(asked).collect()}
 
         return self.once("landed", make)
 
+    def _later(self) -> dict[datetime, Any]:
+        """Files since each failing item, itself included, by that time."""
+
+        def make():
+            since = sorted({t for f in self.failures if (t := self._since(f)) is not None})
+            return {since[r.n]: r for r in causes.later_files(self._files(), since).collect()} if since else {}
+
+        return self.once("later", make)
+
+    def _since(self, failure: Failure) -> datetime | None:
+        if failure.path in self._landed():
+            return as_utc(self._landed()[failure.path].first_seen_at)
+        return failure.slot and as_utc(failure.slot)
+
     def _paths(self, failure: Failure) -> list[str]:
         if failure.path:
             return [failure.path]
         if failure.slot is None:
             return []
-        end = failure.slot + timedelta(hours=self.e.config.settings(self.job.dataset.dataset)["sla_hours"])
-        return [p for p, r in self._landed().items() if failure.slot <= as_utc(r.first_seen_at) < end]
+        start, end = self._span(failure.slot)
+        return [p for p, r in self._landed().items() if start <= as_utc(r.first_seen_at) < end]
 
     def file_exists(self, p, failure: Failure) -> Outcome:
         return confirmed(path=p.path) if landing.exists(self.e.spark, p.path) else ruled_out(path=p.path)
@@ -567,14 +651,13 @@ class Probe:
     def pipeline_stalled(self, failure: Failure) -> Outcome:
         if self._raw() is None:
             return not_ready("the feed has no raw dataset")
-        files = self._landed()
-        mine = set(self._paths(failure)) if failure.path else set()
-        since = as_utc(files[failure.path].first_seen_at) if failure.path in files else failure.slot
+        since = self._since(failure)
         if since is None:
             return ruled_out(later_files=0)
-        later = [r for p, r in files.items() if p not in mine and as_utc(r.first_seen_at) >= since]
-        loaded = sum(r.raw_rows > 0 for r in later)
-        return confirmed(later_files=len(later)) if later and not loaded else ruled_out(later_files=len(later), loaded=loaded)
+        row, own = self._later().get(since), self._landed().get(failure.path)
+        later = (row.later_files if row else 0) - (own is not None)
+        loaded = (row.loaded if row else 0) - (own is not None and own.raw_rows > 0)
+        return confirmed(later_files=later) if later and not loaded else ruled_out(later_files=later, loaded=loaded)
 
     def size_changed(self, failure: Failure) -> Outcome:
         if self._raw() is None:
@@ -646,8 +729,18 @@ class Probe:
         return confirmed(table=p.table, **label) if hit else ruled_out(table=p.table, **label)
 
     def _facts(self) -> dict[str, Any]:
-        ds, up = self.job.dataset, self.upstream
-        return self.once("facts", lambda: {r.f: r for r in causes.file_facts(self.hop, [up.part(ds.key_map[up.dataset][c]) for c in ds.key]).collect()})
+        """What is known of the failing files, with the number of later files that have rows here."""
+
+        def make():
+            ds, up = self.job.dataset, self.upstream
+            facts = causes.file_facts(self.hop, [up.part(ds.key_map[up.dataset][c]) for c in ds.key])
+            asked = self.e.spark.createDataFrame([(f.file,) for f in self.failures], "f string")
+            mine = facts.join(F.broadcast(asked.withColumnRenamed("f", "_f")), F.col("f").eqNullSafe(F.col("_f")), "left_semi")  # the failures explained
+            skipped = causes.skipped_files(facts).join(F.broadcast(asked), "f", "left_semi")
+            later = {r.f: r.later_files for r in skipped.collect()}
+            return {r.f: (r, later.get(r.f, 0)) for r in mine.collect()}
+
+        return self.once("facts", make)
 
     def _grain(self, t: datetime | None) -> datetime | None:
         load = self.job.dataset.load_time
@@ -657,7 +750,7 @@ class Probe:
         ds = self.job.dataset
         if ds.load_time is None:
             return not_ready("load_time isn't set")
-        row = failure.key or self._facts().get(failure.file)
+        row = failure.key or self._facts().get(failure.file, (None, 0))[0]
         at = self._grain(row and (row.up_load_ts if failure.key is not None else row.first_load))
         if at is None:
             return ruled_out(upstream_load=None)
@@ -665,14 +758,13 @@ class Probe:
         return confirmed(upstream_load=at, latest_load=last) if last is None or as_utc(last) < at else ruled_out(upstream_load=at, latest_load=last)
 
     def file_skipped(self, failure: Failure) -> Outcome:
-        row = self._facts().get(failure.file)
+        row, later = self._facts().get(failure.file, (None, 0))
         if row is None or row.rows_here > 0 or row.first_load is None:
             return ruled_out(rows_here=row.rows_here if row else None)
-        later = sum(r.rows_here > 0 and r.first_load is not None and r.first_load > row.first_load for r in self._facts().values())
         return confirmed(later_files=later) if later else ruled_out(later_files=0)
 
     def invalid_key(self, failure: Failure) -> Outcome:
-        row = self._facts().get(failure.file)
+        row, _ = self._facts().get(failure.file, (None, 0))
         n = row.invalid_rows if row else 0
         return confirmed(invalid_rows=n, rows=row.up_rows) if n else ruled_out(invalid_rows=0)
 

@@ -26,17 +26,13 @@ class KeyPart:
         """The normalised part, null if it can't be parsed."""
         raw = F.col(self.column)
         if self.parse_date:
-            parsed = F.expr(f"try_to_timestamp(CAST({self.column} AS STRING), '{_quoted(self.parse_date)}')")
+            parsed = F.try_to_timestamp(raw.cast("string"), F.lit(self.parse_date))
             return F.date_format(parsed.cast("date"), "yyyy-MM-dd")
         if self.strip_leading_zeros:
             return F.regexp_replace(raw.cast("string"), "^0+", "")
         return raw
 
 
-def _quoted(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("'", "\\'")
-
-
 def canonical(parts: list[KeyPart]) -> Column:
     """One string for a key. Null parts are equal to each other. Parts aren't escaped, as in the layers' own keys."""
     return F.concat_ws(BETWEEN, *[F.coalesce(p.value().cast("string"), F.lit(NULL_PART)) for p in parts])

@@ -14,15 +14,20 @@ from pyspark.sql import functions as F
 from floodmark.functions.keys import KeyPart, base_name, canonical, unusable
 from floodmark.functions.times import stamp
 from floodmark.operators.common import ones
-from floodmark.operators.hops import Hop
+from floodmark.operators.hops import Hop, with_hash
 from floodmark.sources.relation import UNMATCHED
 
 EXPLAINED = 100
 
 
-def failing_keys(assessed: DataFrame, limit: int = EXPLAINED) -> DataFrame:
+def first_keys(rows: DataFrame, hashed=None, limit: int = EXPLAINED) -> DataFrame:
+    """The first `limit` keys of an assessment's rows, by hash."""
+    return with_hash(rows, hashed).select("key_hash", "k", "key_state", "up_record_ts", "up_load_ts", "dn_record_ts", "dn_load_ts").orderBy("key_hash", "k").limit(limit)
+
+
+def failing_keys(assessed: DataFrame, hashed=None, limit: int = EXPLAINED) -> DataFrame:
     """MISSING and STALE keys by hash, the first `limit`; UNASSESSABLE ones are never explained."""
-    return assessed.where(F.col("key_state").isin("MISSING", "STALE")).select("key_hash", "k", "key_state", "up_record_ts", "up_load_ts", "dn_record_ts", "dn_load_ts").orderBy("key_hash").limit(limit)
+    return first_keys(assessed.where(F.col("key_state").isin("MISSING", "STALE")), hashed, limit)
 
 
 def latest_load(rows: DataFrame, load: Column) -> DataFrame:
@@ -40,12 +45,18 @@ def file_facts(hop: Hop, key: Sequence[KeyPart]) -> DataFrame:
 
 
 def skipped_files(facts: DataFrame) -> DataFrame:
-    """f and later_files of each file without a row here that was loaded before a file with rows here."""
+    """f and later_files of each file without a row here that was loaded before a file with rows here.
+
+    Files with rows are counted per load time, then per day; a day's times are ordered by themselves, and only the days, a row
+    for each, in one task.
+    """
     lost = facts.where("rows_here = 0 AND first_load IS NOT NULL").select("f", "first_load")
-    # later files are counted per load time: a sorted sum instead of a join of files with files
-    counted = facts.where("first_load IS NOT NULL").groupBy("first_load").agg(ones(F.col("rows_here") > 0).alias("_here"))
-    after = counted.select("first_load", F.sum("_here").over(Window.orderBy(F.desc("first_load")).rowsBetween(Window.unboundedPreceding, -1)).alias("later_files"))
-    return lost.join(after, "first_load").where("later_files > 0").select("f", "later_files")
+    counted = facts.where("first_load IS NOT NULL").groupBy("first_load").agg(ones(F.col("rows_here") > 0).alias("_here")).withColumn("_day", F.date_trunc("day", "first_load"))
+    before = lambda over, column: F.coalesce(F.sum("_here").over(over.orderBy(F.desc(column)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = counted.groupBy("_day").agg(F.sum("_here").alias("_here"))
+    days = days.select("_day", before(Window.partitionBy(), "_day").alias("_later_days"))
+    after = counted.select("first_load", "_day", before(Window.partitionBy("_day"), "first_load").alias("_later")).join(days, "_day")
+    return lost.join(after.select("first_load", (F.col("_later") + F.col("_later_days")).alias("later_files")), "first_load").where("later_files > 0").select("f", "later_files")
 
 
 def key_mismatch(up_rows: DataFrame, up_key: Sequence[KeyPart], dn_rows: DataFrame, dn_key: Sequence[KeyPart], dropped: int, failing: DataFrame) -> DataFrame:
@@ -104,6 +115,14 @@ def landed(registry: DataFrame, raw: DataFrame | None = None, file_column: str |
     return files.join(loaded, base_name("path") == F.col("_f"), "left").select("path", "first_seen_at", "sizes", F.coalesce("_n", F.lit(0)).cast("long").alias("raw_rows"))
 
 
+def later_files(files: DataFrame, since: Sequence[datetime]) -> DataFrame:
+    """since, later_files and loaded for each of a few times: files first seen then or later, and how many of them were loaded.
+    A file names the times that it follows, so only counts are exchanged."""
+    times = F.array(*[F.struct(F.lit(n).alias("n"), stamp(t).alias("since")) for n, t in enumerate(since)])
+    named = files.select("raw_rows", F.explode(F.filter(times, lambda t: F.col("first_seen_at") >= t["since"])).alias("_t"))
+    return named.groupBy(F.col("_t.n").alias("n"), F.col("_t.since").alias("since")).agg(F.count(F.lit(1)).alias("later_files"), F.coalesce(ones(F.col("raw_rows") > 0), F.lit(0)).cast("long").alias("loaded"))
+
+
 def stalled(files: DataFrame, failing_path: str) -> DataFrame:
     """One row: other files first seen at or after the failing one, and how many of them were loaded."""
     at = files.where(F.col("path") == failing_path).select(F.col("first_seen_at").alias("_at"))

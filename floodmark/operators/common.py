@@ -27,6 +27,12 @@ def judged(rows: DataFrame, groups: Sequence[str], violation: Column, *more: Col
     return rows.groupBy(*names(groups)).agg(F.count(F.lit(1)).alias("population"), ones(violation).alias("violations"), *more)
 
 
-def first_sorted(value: Column, limit: int) -> Column:
-    """The first `limit` of the non-null values, sorted."""
-    return F.slice(F.array_sort(F.collect_list(value)), 1, limit)
+def with_first(rows: DataFrame, counts: Sequence[Column], condition: Column, value: Column, limit: int, out: str) -> DataFrame:
+    """One row: the counts over rows, and in `out` the first `limit` values, in order, of rows that meet the condition.
+
+    Every task keeps no more than `limit` values, so no task holds all of them.
+    """
+    one = rows.agg(*counts)
+    first = rows.where(condition).select(value.alias("_v")).where(F.col("_v").isNotNull()).orderBy("_v").limit(limit)
+    both = one.unionByName(first.agg(F.array_sort(F.collect_list("_v")).alias(out)), allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in one.columns], F.first(out, ignorenulls=True).alias(out))

@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from floodmark.functions.keys import KeyPart, base_name, blank
 from floodmark.functions.times import TimeColumn, as_utc, loaded_within, stamp, utc
-from floodmark.operators.common import first_sorted, group_columns, judged, names, ones
+from floodmark.operators.common import group_columns, judged, names, ones, with_first
 
 LISTED = 100
 HISTORY, LEAST_HISTORY = 14, 7
@@ -97,7 +97,7 @@ def files_not_loaded(registry: DataFrame, raw: DataFrame, file_column: str, cuto
     loaded = raw.groupBy(base_name(file_column).alias("_file")).agg(F.count(F.lit(1)).alias("raw_rows"))
     found = files.join(loaded, base_name("path") == F.col("_file"), "left").select("path", F.coalesce("raw_rows", F.lit(0)).alias("raw_rows"))
     lost = F.col("raw_rows") == 0
-    return found.agg(F.count(F.lit(1)).alias("population"), ones(lost).alias("violations"), first_sorted(F.when(lost, F.col("path")), limit).alias("not_loaded"))
+    return with_first(found, [F.count(F.lit(1)).alias("population"), ones(lost).alias("violations")], lost, F.col("path"), limit, "not_loaded")
 
 
 def key_nulls(rows: DataFrame, load_time: TimeColumn, key: Sequence[str], start: datetime, end: datetime, groups: Sequence[str] = (), zone: str = "UTC") -> DataFrame:

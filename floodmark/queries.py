@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floodmark.functions.keys import KeyPart, canonical, keyed_hash
-from floodmark.functions.times import TimeColumn, truncated, utc, within
+from floodmark.functions.times import TimeColumn, loaded_within, truncated, utc, within
 from floodmark.operators import causes, hops, rules, tier1
 from floodmark.plans.cadence import Cadence, slots
 from floodmark.report import frames
@@ -102,12 +102,12 @@ def t1_volume(spark, sf_dir):
     return tier1.volume(events, TS, periods, tier1.last_loads(past, "slot"), 0.25)
 
 
-@query()
+@query("""SELECT sha256('o_orderkey:bigint,o_custkey:bigint,o_orderstatus:string,o_totalprice:double,o_orderdate:timestamp_ntz,o_orderpriority:string') AS digest, CAST(3 AS BIGINT) AS violations, 'o_orderpriority' AS added, 'o_gone' AS removed, 'o_custkey' AS retyped""")
 def t1_schema_drift(spark, sf_dir):
-    known = tier1.columns_of(read(spark, sf_dir, "orders").schema)
-    known.pop("o_orderpriority")
-    drift = tier1.schema_drift(read(spark, sf_dir, "orders").schema, {**known, "o_custkey": "int", "o_gone": "string"})
-    return spark.createDataFrame([(drift.digest, drift.violations, drift.added, drift.removed, drift.retyped)], "digest string, violations long, added array<string>, removed array<string>, retyped array<string>")
+    schema = read(spark, sf_dir, "orders").schema
+    known = {n: t for n, t in tier1.columns_of(schema).items() if n != "o_orderpriority"}
+    drift = tier1.schema_drift(schema, {**known, "o_custkey": "int", "o_gone": "string"})
+    return spark.createDataFrame([(drift.digest, drift.violations, *(",".join(x) for x in (drift.added, drift.removed, drift.retyped)))], "digest string, violations long, added string, removed string, retyped string")
 
 
 def _landed(orders: DataFrame) -> DataFrame:
@@ -189,8 +189,8 @@ HOP_START, HOP_END = datetime(1997, 1, 1), datetime(1997, 7, 1)
 def _hop(spark, sf_dir, **more) -> hops.Hop:
     up, dn = _landed(read(spark, sf_dir, "orders")), read(spark, sf_dir, "lineitem")
     return hops.Hop(
-        up=hops.Side(up, canonical([KeyPart("o_orderkey")]), clock("o_orderdate"), clock("o_orderdate"), F.col("path"), (F.col("o_totalprice").cast("decimal(18,2)"),)),
-        dn=hops.Side(dn, canonical([KeyPart("l_orderkey")]), clock("l_shipdate"), clock("l_shipdate")),
+        up=hops.Side(up, canonical([KeyPart("o_orderkey")]), clock("o_orderdate"), clock("o_orderdate"), F.col("path"), (F.col("o_totalprice").cast("decimal(18,2)"),), lambda a, b: loaded_within(TimeColumn("o_orderdate"), a, b)),
+        dn=hops.Side(dn, canonical([KeyPart("l_orderkey")]), clock("l_shipdate"), clock("l_shipdate"), bounds=lambda a, b: loaded_within(TimeColumn("l_shipdate"), a, b)),
         **{"start": HOP_START, "end": HOP_END, "sla": SLA} | more,
     )
 
@@ -227,8 +227,9 @@ def hop_key_events(spark, sf_dir):
 @query(_STATES.format(where="", judged=f"({_WINDOW}) OR CAST(k AS BIGINT) % 97 = 0 AND CAST(k AS BIGINT) <= 1000") + """SELECT k AS key_value, CASE WHEN s = 'CURRENT' THEN 'CLEARED' WHEN CAST(k AS BIGINT) % 97 = 0 AND CAST(k AS BIGINT) <= 1000 THEN 'STILL_FLAGGED' ELSE 'FLAGGED' END AS event, s AS state_detail
 FROM j WHERE s <> 'CURRENT' OR (CAST(k AS BIGINT) % 97 = 0 AND CAST(k AS BIGINT) <= 1000)""")
 def hop_open_key_events(spark, sf_dir):
-    flagged = spark.range(0, 1001, 97).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("key_hash"))
-    return hops.key_events(hops.assess(_hop(spark, sf_dir, open_keys=flagged, hashed=lambda k: F.concat(F.lit("h"), k)))).drop("key_hash")
+    flagged = spark.range(0, 1001, 97).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("key_hash"), F.col("id").cast("string").alias("key_value"))
+    hop = _hop(spark, sf_dir, open_keys=flagged, hashed=lambda k: F.concat(F.lit("h"), k))
+    return hops.key_events(hops.assess(hop), hop.hashed).drop("key_hash")
 
 
 def _totals(spark, sf_dir) -> DataFrame:
@@ -287,10 +288,14 @@ def derived_inner(spark, sf_dir):
     return derive(spec).select("year", "orders")
 
 
-@query()
+_SECRET = b"test secret"
+_INNER, _OUTER = (bytes(b ^ pad for b in _SECRET.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))  # as HMAC pads its key
+
+
+@query(f"""SELECT c_custkey, sha256(from_hex('{_OUTER}') || from_hex(sha256(from_hex('{_INNER}') || encode(CAST(c_custkey AS VARCHAR) || '|' || regexp_replace(c_name, '^0+', ''))))) AS key_hash FROM customer""")
 def key_hash(spark, sf_dir):
     customer = read(spark, sf_dir, "customer")
-    return customer.select("c_custkey", keyed_hash(b"test secret")(canonical([KeyPart("c_custkey"), KeyPart("c_name", strip_leading_zeros=True)])).alias("key_hash"))
+    return customer.select("c_custkey", keyed_hash(_SECRET)(canonical([KeyPart("c_custkey"), KeyPart("c_name", strip_leading_zeros=True)])).alias("key_hash"))
 
 
 @query("""SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || '|' || coalesce(regexp_replace(nullif(o_orderstatus, 'P'), '^0+', ''), '<null>') || '|' || strftime(o_orderdate, '%Y-%m-%d') AS k FROM orders""")

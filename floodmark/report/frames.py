@@ -31,3 +31,17 @@ def trace_layer(rows: DataFrame, match: list[tuple[Column, str]], record: Column
         found = found.where(column.cast("string") == F.lit(value))
     cells = found.select(record.alias("r"), (load if load is not None else F.lit(None).cast("timestamp")).alias("l"), (base_name(file) if file else F.lit(None).cast("string")).alias("f"))
     return cells.agg(F.count(F.lit(1)).alias("row_count"), F.max_by("r", "r").alias("record_ts"), F.max_by("l", "r").alias("load_ts"), F.max_by("f", "r").alias("file_name"))
+
+
+def gone_groups(history: DataFrame, current: DataFrame) -> DataFrame:
+    """Of a digest's history, the groups that failed when last seen and have no row in the current run (dataset, check_id, groups,
+    state) although their check ran. A volume's groups are new each time."""
+    ran = current.where("state <> 'DID_NOT_RUN'").select("dataset", "check_id").distinct()
+    failed = history.where("state = 'FAILED' AND groups <> '' AND check_id <> 'T1_VOLUME'")
+    return failed.join(ran, ["dataset", "check_id"], "left_semi").join(current.select("dataset", "check_id", "groups"), ["dataset", "check_id", "groups"], "left_anti")
+
+
+def confirmed_causes(causes: DataFrame, results: DataFrame, ref: str, hop: str) -> DataFrame:
+    """What causes are confirmed for a failing item at a hop, latest window first."""
+    found = causes.where((F.col("failure_ref") == ref) & (F.col("hop") == hop) & (F.col("state") == "CONFIRMED")).select("evaluation_id", "run_id", "cause_code", "order_no", "evidence")
+    return found.join(results.select("evaluation_id", "run_id", "window_end"), ["evaluation_id", "run_id"]).orderBy(F.desc("window_end"), "order_no")

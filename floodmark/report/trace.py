@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from floodmark.config.loader import Config
 from floodmark.functions.keys import BETWEEN, KeyPart, hash_of
 from floodmark.functions.times import as_utc
-from floodmark.report.frames import trace_layer
+from floodmark.report.frames import confirmed_causes, trace_layer
 
 
 @dataclass(frozen=True)
@@ -83,7 +83,5 @@ def stored_causes(engine, values: list[str], dataset: str, upstream: str) -> lis
     if engine.secret is None:
         return []
     ref = hash_of(engine.secret, BETWEEN.join(normalised(engine.spark, layers(engine.config, dataset)[-1].parts, values)))
-    found = engine.stored("dq_cause_result").where((F.col("failure_ref") == ref) & (F.col("hop") == f"{upstream}->{dataset}") & (F.col("state") == "CONFIRMED"))
-    results = engine.stored("dq_check_result").select("evaluation_id", "run_id", "window_end")
-    rows = found.join(results, ["evaluation_id", "run_id"]).orderBy(F.desc("window_end"), "order_no").collect()
+    rows = confirmed_causes(engine.stored("dq_cause_result"), engine.stored("dq_check_result"), ref, f"{upstream}->{dataset}").collect()
     return [f"{r.cause_code} in the window to {r.window_end:%Y-%m-%d %H:%M} UTC: {r.evidence}" for r in rows]

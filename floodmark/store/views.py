@@ -53,3 +53,10 @@ def window_history(results: DataFrame, runs: DataFrame) -> DataFrame:
     held = events.where("held").join(good, "dataset").where(F.col("previous_end").isNull() | (F.col("b") > F.col("previous_end")))
     spans = held.groupBy("dataset").agg(F.min("a").alias("held_start"), F.min("b").alias("first_held_end"), F.max("b").alias("last_held_end"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("why")))).alias("held_by"))
     return good.join(spans, "dataset", "left")
+
+
+def unexplained(results: DataFrame, causes: DataFrame, checks: list[str]) -> DataFrame:
+    """The latest row of each evaluation of these checks that FAILED and has no cause rows."""
+    order = Window.partitionBy("evaluation_id").orderBy(F.desc("evaluated_at"), F.desc("run_id"))
+    latest = results.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return latest.where((F.col("state") == "FAILED") & F.col("check_id").isin(checks)).join(causes.select("evaluation_id"), "evaluation_id", "left_anti")

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from floodmark.cli import digests, main
 from floodmark.config.fragments import analyse, problems
 from floodmark.config.loader import load
-from floodmark.engine import Engine
+from floodmark.engine import Engine, Job
+from floodmark.plans.identity import Event
+from floodmark.plans.outcome import run_check
 from floodmark.report import trace, watchdog
 from floodmark.report.digest import Digest, Item, build, due, merged, send
 from floodmark.sources import landing
@@ -154,6 +156,43 @@ def test_a_whole_run(lake, conf):
         assert sorted(map(tuple, seen.select(*key).collect()), key=str) == sorted(map(tuple, same.select(*key).collect()), key=str), view
 
 
+def test_preconditions(lake, conf, monkeypatch):
+    """A check whose table, column or catalog isn't there says so, before it reads anything."""
+    config = load(conf)
+    engine = Engine(lake, config, NOW)
+    gold, feed = config.datasets["gold"], config.feed_of("gold")
+    event = Event("gold", NOW - timedelta(hours=4), NOW)
+
+    def reason(check, ds=gold):
+        found, _ = run_check(lake, lambda: engine.evaluate(Job(ds, feed, check, event)), 5)
+        return [(r.state, r.reason) for r in found]
+
+    off = gold.model_copy(update={"key": ["nope"]})
+    monkeypatch.setitem(config.datasets, "gold", off)
+    assert reason("T1_KEY_DUPLICATES", off) == [("DID_NOT_RUN", "column_missing")]
+    away = gold.model_copy(update={"table": "lake.nowhere"})
+    monkeypatch.setitem(config.datasets, "gold", away)
+    assert reason("T1_KEY_NULLS", away) == [("DID_NOT_RUN", "table_missing")]
+    monkeypatch.setitem(config.datasets, "gold", gold)
+    monkeypatch.setitem(config.datasets, "raw", config.datasets["raw"].model_copy(update={"key": ["id"], "record_time": config.datasets["raw"].record_time.model_copy(update={"column": "gone"})}))
+    found, _ = run_check(lake, lambda: engine.evaluate(Job(gold, feed, "HOP_KEY_CURRENCY", event)), 5)
+    assert [(r.reason, r.groups) for r in found] == [("column_missing", {"hop": "raw->gold"})]
+    assert run_check(lake, lambda: engine.evaluate(Job(gold, feed, "HOP_FILE_COMPLETENESS", event)), 5)[0] == []
+
+    def broken(*a, **k):
+        raise ConnectionError("no metastore")
+
+    monkeypatch.setattr(type(lake.catalog), "tableExists", broken)
+    assert reason("T1_KEY_NULLS") == [("DID_NOT_RUN", "metastore_unavailable")]
+
+
+def test_history_looks_back_as_far_as_it_must(lake, conf):
+    tables.install(lake, "dq")
+    engine = Engine(lake, load(conf), NOW + timedelta(days=200))
+    before = lake.table("dq.dq_check_result").where("dataset = 'raw' AND execution_type = 'NORMAL' AND severity IS NULL").agg(F.max("window_end")).first()[0]
+    assert before is None or engine.history(["raw"])["raw"].previous_end.replace(tzinfo=None) <= before
+
+
 def test_trace_finds_the_gap(lake, conf):
     engine = Engine(lake, load(conf), NOW)
     assert trace.gap(trace.follow(engine, "gold", ["3"])) == ("raw", "gold", "MISSING")

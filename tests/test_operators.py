@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from floodmark.functions.keys import KeyPart, canonical, keyed_hash
 from floodmark.functions.times import TimeColumn, loaded_within, truncate, utc
-from floodmark.operators import hops, rules, tier1
+from floodmark.operators import causes, hops, rules, tier1
+from floodmark.operators.common import with_first
 from floodmark.plans import schedule
 from floodmark.plans.cadence import Cadence, previous_slot, slot_label, slots
 from floodmark.plans.explain import Failure, Outcome, confirmed, explain, not_ready, ruled_out, settle
@@ -172,11 +173,46 @@ def test_reloaded_keys_are_judged_again(spark):
 
 def test_exclusions_and_events(spark):
     up = [("a", naive(0), naive(0), "skip", "f"), ("b", naive(0), naive(0), None, "f"), ("c", naive(0), naive(0), "", "f")]
-    flagged = spark.createDataFrame([("hc",), ("hgone",)], "key_hash string")
+    flagged = spark.createDataFrame([("hc", "c"), ("hgone", "gone"), ("old", "b")], "key_hash string, key_value string")
     h = hop(spark, up, [("c", naive(0), naive(0), "", "f")], excluded=F.expr("v = 'skip'"), open_keys=flagged, hashed=lambda k: F.concat(F.lit("h"), k), full_sweep=True)
     assert {(r.k, r.key_state) for r in hops.assess(h).collect()} == {("a", "EXCLUDED"), ("b", "MISSING"), ("c", "CURRENT"), (None, "GONE")}
-    got = {(r.key_hash, r.event, r.state_detail) for r in hops.key_events(hops.assess(h)).collect()}
-    assert got == {("hb", "FLAGGED", "MISSING"), ("hc", "CLEARED", "CURRENT"), ("hgone", "CLEARED", "no longer upstream")}
+    got = {(r.key_hash, r.event, r.state_detail) for r in hops.key_events(hops.assess(h), h.hashed).collect()}
+    # the hash "old" isn't that of its value any more, as after a change of the secret
+    assert got == {("hb", "FLAGGED", "MISSING"), ("hc", "CLEARED", "CURRENT"), ("hgone", "CLEARED", "no longer upstream"), ("old", "CLEARED", "no longer upstream")}
+
+
+def test_open_keys_are_judged_outside_the_window(spark):
+    old = [("o", naive(-30), naive(-30), "x", "f"), ("p", naive(-30), naive(-30), "x", "f")]
+    flagged = spark.createDataFrame([("ho", "o")], "key_hash string, key_value string")
+    h = hop(spark, old, old, open_keys=flagged, hashed=lambda k: F.concat(F.lit("h"), k))
+    r = hops.assess(h).collect()
+    assert [(x.k, x.key_state, x.was_open, x.in_window, x.key_hash) for x in r] == [("o", "CURRENT", True, False, "ho")]
+    assert hops.mismatches(h).count() == 0  # agreement is judged for the window's keys
+
+
+def test_only_candidates_are_grouped_and_only_events_hashed(spark):
+    """On an ordinary run both sides meet a semi join before they are grouped; no Python runs before the events."""
+    row = [("k", naive(1), naive(1), "x", "f")]
+    h = hop(spark, row, row, hashed=keyed_hash(b"s"))
+    plan = hops.currency(hops.assess(h))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2 and "ArrowEvalPython" not in plan
+    assert "LeftSemi" not in hops.assess(hop(spark, row, row, full_sweep=True))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in hops.key_events(hops.assess(h), h.hashed)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_first_values_are_bounded(spark):
+    rows = spark.range(1000).withColumn("bad", F.col("id") % 2 == 0)
+    r = with_first(rows, [F.count(F.lit(1)).alias("n")], F.col("bad"), F.col("id"), 3, "first")
+    assert tuple(r.first()) == (1000, [0, 2, 4]) and "TakeOrderedAndProject" in r._jdf.queryExecution().executedPlan().toString()
+    assert tuple(with_first(rows.limit(0), [F.count(F.lit(1)).alias("n")], F.col("bad"), F.col("id"), 3, "first").first()) == (0, [])
+
+
+def test_files_after_a_time(spark):
+    files = spark.createDataFrame([("a", naive(0), 0), ("b", naive(1), 5), ("c", naive(50), 0)], "path string, first_seen_at timestamp, raw_rows long")
+    got = {(r.n, r.later_files, r.loaded) for r in causes.later_files(files, [at(0), at(1), at(60)]).collect()}
+    assert got == {(0, 3, 1), (1, 2, 1)}
+    facts = spark.createDataFrame([("a", naive(0), 0), ("b", naive(1), 5), ("c", naive(50), 0), ("d", naive(50), 2), ("e", naive(75), 1), ("n", None, 0)], "f string, first_load timestamp, rows_here long")
+    assert {(r.f, r.later_files) for r in causes.skipped_files(facts).collect()} == {("a", 3), ("c", 1)}
 
 
 def test_agreement_is_set_equality(spark):

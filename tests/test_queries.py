@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from floodmark.queries import ORACLES, QUERIES
+from floodmark.run_queries import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
