@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,10 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine's only where the session names none."""
+    """The folder that driver and executors share: the one that the session names for checkpoints, else one in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="floodmark-")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
@@ -27,15 +28,39 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+#: Paths of the staged tables of each `scratch` that is open.
+_OPEN: list[list[str]] = []
+
+
+def staged(df: DataFrame, name: str, files: int | None = None, lasting: bool = False) -> DataFrame:
     """df written to the shared folder and read again: later steps restart from files, not from lost executors. `files` bounds the
-    number of files of a table that is known to be slim."""
+    number of files of a table that is known to be slim. Within a `scratch` it goes at the end, unless it is `lasting`."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if _OPEN and not lasting:
+        _OPEN[-1].append(path)
     (df if files is None else df.coalesce(files)).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables staged within it when it ends. What is lazy and leaves it must read lasting tables alone."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            drop_stage(spark, path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with underscores added until df has no such column."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,10 +1,11 @@
 """Licence scan: a trained paragraph classifier over sparse word n-grams, with an unknown class and a second look.
 
 A multinomial logistic regression on word 1- to 3-grams names the licence family of a paragraph. It learns from variants of
-the template notices below and, as the unknown class, from paragraphs of a bounded sample of documents and from sentences
+template notices and, as the unknown class, from windows of a bounded sample of the documents' lines and from sentences
 that speak of licences without giving one. Held-out variants set a temperature for its probabilities and the least
 probability that counts as known. A named family is confirmed only if a template of it holds enough of the paragraph's
-word pairs, or the other way round. Long paragraphs are read in overlapping windows, so no text is left out.
+word pairs, or the other way round. A line is judged by overlapping windows, by its sentences and by runs of known words, so
+no text is left out and a line may hold several licences.
 """
 
 from __future__ import annotations
@@ -15,69 +16,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[a-z0-9]+(?:[.\-+][a-z0-9]+)*")
+SENTENCE = re.compile(r"(?<=[.;!?])\s+")
 WINDOW, STEP = 60, 30
 UNKNOWN = "unknown"
 
-# Customary notices of public licences, by family.
-TEMPLATES: dict[str, list[str]] = {
-    "apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-        "This project is released under the Apache License 2.0.",
-        "SPDX-License-Identifier: Apache-2.0",
-    ],
-    "mit": [
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "This software is distributed under the terms of the MIT license.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-        "SPDX-License-Identifier: MIT",
-    ],
-    "bsd": [
-        "Licensed under the BSD 3-Clause License.",
-        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "SPDX-License-Identifier: BSD-3-Clause",
-    ],
-    "gpl": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-        "Released under the GNU General Public License version 2 or later.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
-    ],
-    "lgpl": [
-        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
-        "Distributed under the terms of the GNU Lesser General Public License.",
-        "SPDX-License-Identifier: LGPL-2.1-or-later",
-    ],
-    "mpl": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "Licensed under the Mozilla Public License, version 2.0.",
-        "SPDX-License-Identifier: MPL-2.0",
-    ],
-    "cc-by": [
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-        "SPDX-License-Identifier: CC-BY-4.0",
-    ],
-    "cc-by-sa": [
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    ],
-    "cc-by-nc": [
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    ],
-    "public-domain": [
-        "This work has been dedicated to the public domain under CC0 1.0 Universal.",
-        "This is free and unencumbered software released into the public domain.",
-        "SPDX-License-Identifier: CC0-1.0",
-    ],
+# What families are called, and customary notices of their own.
+NAMES: dict[str, list[str]] = {
+    "apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
+    "mit": ["MIT License", "MIT license"],
+    "bsd": ["BSD 3-Clause License", "BSD 2-Clause License", "BSD license"],
+    "gpl": ["GNU General Public License, version 3", "GNU General Public License version 2 or later", "GNU GPL v3"],
+    "lgpl": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License", "GNU LGPL"],
+    "agpl": ["GNU Affero General Public License, version 3", "GNU Affero General Public License", "GNU AGPL v3"],
+    "mpl": ["Mozilla Public License, v. 2.0", "Mozilla Public License, version 2.0"],
+    "epl": ["Eclipse Public License 2.0", "Eclipse Public License, Version 1.0"],
+    "isc": ["ISC License", "ISC license"],
+    "boost": ["Boost Software License, Version 1.0", "Boost Software License 1.0"],
+    "cc-by": ["Creative Commons Attribution 4.0 International License", "CC BY 4.0"],
+    "cc-by-sa": ["Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0"],
+    "cc-by-nc": ["Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0"],
 }
+SPDX: dict[str, list[str]] = {
+    "apache-2.0": ["Apache-2.0"], "mit": ["MIT"], "bsd": ["BSD-3-Clause", "BSD-2-Clause"], "gpl": ["GPL-3.0-or-later", "GPL-2.0-only"], "lgpl": ["LGPL-2.1-or-later"], "agpl": ["AGPL-3.0-or-later"], "mpl": ["MPL-2.0"],
+    "epl": ["EPL-2.0"], "isc": ["ISC"], "boost": ["BSL-1.0"], "cc-by": ["CC-BY-4.0"], "cc-by-sa": ["CC-BY-SA-4.0"], "cc-by-nc": ["CC-BY-NC-4.0"], "public-domain": ["CC0-1.0", "Unlicense"],
+}
+OWN: dict[str, list[str]] = {
+    "apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'],
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
+    "bsd": ["Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "gpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
+    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "agpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "boost": ["Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)"],
+    "public-domain": ["This work has been dedicated to the public domain under CC0 1.0 Universal.", "This is free and unencumbered software released into the public domain.", "The author has placed this work in the public domain."],
+}
+FRAMES = ["Licensed under the {}.", "Released under the {}.", "This work is licensed under a {}.", "This software is distributed under the terms of the {}.", "This project is released under the {}."]
+#: By family: its names in every frame, its identifiers, and its own notices.
+TEMPLATES: dict[str, list[str]] = {f: [frame.format(n) for n in NAMES.get(f, ()) for frame in FRAMES] + [f"SPDX-License-Identifier: {x}" for x in SPDX[f]] + OWN.get(f, []) for f in SPDX}
 # Sentences about licences that give none.
 ASIDES = [
     "You need a driving license to rent a car in most countries.",
@@ -134,21 +117,31 @@ class Classifier:
         return (self.families[k], float(p[k]), like) if like >= self.similar else (UNKNOWN, float(p[k]), like)
 
     def paragraphs(self, text: str | None) -> Iterator[tuple[int, str, float, float]]:
-        """(paragraph number, family, probability, likeness) of each paragraph with a confirmed licence."""
+        """(paragraph number, family, probability, likeness) of each paragraph's confirmed licences, by family; of a family's places in
+        a paragraph the one of the greatest probability, then likeness, counts."""
         for n, line in enumerate((text or "").split("\n")):
             ws = WORD.findall(line.lower())
             if sum(w in self.words for w in ws) < 2:
                 continue  # at most one known word leaves every class but unknown below its threshold
             best: dict[str, tuple[float, float]] = {}
-            for at in range(0, max(1, len(ws) - WINDOW + STEP), STEP):
-                family, p, like = self.judge(ws[at : at + WINDOW])
-                if family == UNKNOWN and len(ws) > 12:
-                    family, p, like = max((self.judge(ws[s : s + n_]) for s, n_ in self._near(ws, at)), key=lambda j: (j[0] != UNKNOWN, j[1]), default=(UNKNOWN, 0.0, 0.0))
+            for part in self._parts(line, ws):
+                family, p, like = self.judge(part)
                 if family != UNKNOWN and (p, like) > best.get(family, (0.0, 0.0)):
                     best[family] = (p, like)
             for family in sorted(best):
                 yield n, family, *best[family]
 
+    def _parts(self, line: str, ws: list[str]) -> Iterator[list[str]]:
+        """What is judged of a line: windows over all of it, and within longer ones runs and sentences of mostly known words."""
+        for at in range(0, max(1, len(ws) - WINDOW + STEP), STEP):
+            yield ws[at : at + WINDOW]
+            if len(ws) > 12:
+                yield from (ws[s : s + n] for s, n in self._near(ws, at) if n < len(ws))
+        said = SENTENCE.split(line.lower())
+        for sentence in map(WORD.findall, said if len(said) > 1 else ()):
+            if 3 <= len(sentence) <= WINDOW and 2 * sum(w in self.words for w in sentence) >= len(sentence):
+                yield sentence
+
     def _near(self, ws: list[str], at: int) -> Iterator[tuple[int, int]]:
         """Runs of a window in which most words are known, as notices within prose are."""
         stop, start, gap = min(len(ws), at + WINDOW), None, 0
@@ -181,7 +174,22 @@ def variants(ws: list[str], rng: np.random.Generator, n: int) -> list[list[str]]
     return out
 
 
-def fit(negatives: list[str], per_template: int = 20, rounds: int = 300, rate: float = 2.0, decay: float = 1e-4, similar: float = 0.6, seed: int = 5) -> Classifier:
+class _Sums:
+    """Sums of the rows of an array that have the same number, by one sort made beforehand."""
+
+    def __init__(self, numbers: np.ndarray, n: int):
+        self.order, self.shape = np.argsort(numbers, kind="stable"), n
+        self.at = np.searchsorted(numbers[self.order], np.arange(n))
+        self.some = np.bincount(numbers, minlength=n) > 0
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.shape, values.shape[1]))
+        if self.some.any():
+            out[self.some] = np.add.reduceat(values[self.order], self.at[self.some])
+        return out
+
+
+def fit(negatives: list[str], per_template: int = 6, rounds: int = 300, rate: float = 2.0, decay: float = 1e-4, similar: float = 0.6, seed: int = 5) -> Classifier:
     """Trains on three quarters of the variants and negatives; the rest sets the temperature and the least probability, under
     which no held-out negative lies, and which is a half at least."""
     rng = np.random.default_rng(seed)
@@ -192,7 +200,7 @@ def fit(negatives: list[str], per_template: int = 20, rounds: int = 300, rate: f
         for t in TEMPLATES[f]:
             rows += [(v, k) for v in variants(WORD.findall(t.lower()), rng, per_template)]
     for t in [*ASIDES, *negatives]:
-        ws = WORD.findall(t.lower())[:WINDOW]
+        ws = WORD.findall(t.lower())
         if ws and len(pairs(ws) & known) < max(3, 0.3 * len(pairs(ws))):
             rows += [(v, len(families) - 1) for v in variants(ws, rng, 8 if t in ASIDES else 0)]
     held = rng.random(len(rows)) < 0.25
@@ -208,16 +216,15 @@ def fit(negatives: list[str], per_template: int = 20, rounds: int = 300, rate: f
         lines += [r] * len(found)
         cols += found
         vals += [1 / math.sqrt(max(1, 3 * len(ws) - 3))] * len(found)
-    lines, cols, vals = np.array(lines, dtype=int), np.array(cols, dtype=int), np.array(vals)
+    lines, cols, vals = np.array(lines, dtype=int), np.array(cols, dtype=int), np.array(vals)[:, None]
+    by_row, by_gram = _Sums(lines, len(rows)), _Sums(cols, len(seen))
     y = np.array([k for _, k in rows])
     weight = np.where(held, 0.0, 1.0 / np.bincount(y[~held], minlength=classes).clip(1)[y])
     weight /= weight.sum()
     w, b = np.zeros((len(seen), classes)), np.zeros(classes)
 
     def logits() -> np.ndarray:
-        z = np.tile(b, (len(rows), 1))
-        np.add.at(z, lines, w[cols] * vals[:, None])
-        return z
+        return b + by_row(w[cols] * vals)
 
     step = np.full_like(w, 1e-8)
     for _ in range(rounds):
@@ -226,9 +233,7 @@ def fit(negatives: list[str], per_template: int = 20, rounds: int = 300, rate: f
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(rows)), y] -= 1
         p *= weight[:, None]
-        g = np.zeros_like(w)
-        np.add.at(g, cols, p[lines] * vals[:, None])
-        g += decay * w / len(rows)
+        g = by_gram(p[lines] * vals) + decay * w / len(rows)
         step += g * g
         w -= rate * g / np.sqrt(step) * 0.1
         b -= rate * p.sum(axis=0)
@@ -248,17 +253,34 @@ def fit(negatives: list[str], per_template: int = 20, rounds: int = 300, rate: f
     return Classifier(families, seen, w, b, temperature, least, similar)
 
 
-def train(docs: DataFrame, negative_rows: int = 400, negative_chars: int = 20_000) -> Classifier:
-    """A classifier whose unknown class has seen paragraphs of at most `negative_rows` documents of least hash, of which each
-    gives no more than `negative_chars` characters: bounds on what the driver holds."""
-    some = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").select(F.substring("text", 1, negative_chars).alias("text")).orderBy(F.xxhash64("text"), "text").limit(negative_rows).collect()
-    return fit(sorted({line for r in some for line in r.text.split("\n") if line.strip()}))
+def _one_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each line the window of least hash."""
+    for b in batches:
+        out = []
+        for line in b.column("line").to_pylist():
+            ws = WORD.findall(line.lower())
+            windows = [" ".join(ws[at : at + WINDOW]) for at in range(0, max(1, len(ws) - WINDOW + STEP), STEP)]
+            out.append(min((xxhash.xxh64_intdigest(w, 11) >> 1, w) for w in windows))
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.int64()), pa.array([w for _, w in out], pa.string())], ["h", "words"])
+
+
+def train(docs: DataFrame, negative_lines: int = 2000) -> Classifier:
+    """A classifier whose unknown class has seen one window of each of at most `negative_lines` different lines, drawn by their
+    hash from the whole texts of all documents: what bounds the sample, and what the driver holds."""
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
+    total = texts.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
+    share = min(1.0, 3.0 * negative_lines / max(1, total))  # more than are needed, as lines repeat
+    lines = texts.select(F.explode(F.split("text", "\n")).alias("line"))
+    drawn = lines.where((F.xxhash64("line").bitwiseAND(F.lit((1 << 53) - 1)) < F.lit(int(share * (1 << 53)))) & (F.trim("line") != "")).distinct()
+    some = drawn.mapInArrow(_one_window, "h long, words string").where("words <> ''").orderBy("h", "words").limit(negative_lines).collect()
+    return fit(sorted({r.words for r in some}))
 
 
 def scan(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """doc_id, n_paragraphs and licences (paragraph, family, probability, likeness) of each row of docs (doc_id, text).
 
-    Null and empty texts have one empty paragraph and no licence. Repeated rows are each scanned; other columns are ignored.
+    Null and empty texts have one empty paragraph and no licence. Rows without doc_id and repeated rows are each scanned; other
+    columns are ignored; an empty table gives no rows. Of families equally likely the first by name counts.
     """
     sent = docs.sparkSession.sparkContext.broadcast(classifier)  # grows with the templates alone
     kind = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("likeness", pa.float64())]))

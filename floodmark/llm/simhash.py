@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floodmark.llm.common import n_partitions, staged
+from floodmark.llm.common import free_name, n_partitions, scratch, staged
 
 BITS, LIST_ROWS = 4, 2048
 LEAST_SHARED = 8 - BITS
@@ -226,7 +226,8 @@ def components(links: DataFrame) -> DataFrame:
             break
         state = now
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        # written, so that the join has no aggregate below it and a hub with many links is split as any skewed key
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m")), "least")
         large = edges.join(least, "v").select("u", F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(least, "u")
@@ -243,13 +244,14 @@ def near_duplicates(docs: DataFrame, size: int = 4, list_rows: int = LIST_ROWS)
     doc_id get their component's smallest doc_id, or null where it has none. Repeated rows are each kept; other columns are
     ignored; an empty table gives no rows.
     """
-    fps = staged(fingerprints(docs, size), "fingerprints")
-    reps = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    roots = components(near_links(reps.select("fp"), ["fp"], list_rows=list_rows))
-    placed = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = staged(placed, "placed")
-    smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = placed.join(smallest, "root").select("fp", "component_id")
+    fps = staged(fingerprints(docs, size), "fingerprints", lasting=True)
+    with scratch(docs.sparkSession):
+        reps = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+        roots = components(near_links(reps.select("fp"), ["fp"], list_rows=list_rows))
+        placed = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        placed = staged(placed, "placed")
+        smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+        named = staged(placed.join(smallest, "root").select("fp", "component_id"), "named", lasting=True)
     return fps.join(named, "fp")
 
 
@@ -481,14 +483,17 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     Rows link if the sets of their shingles of `size` words have at least that Jaccard similarity, and groups are the
     components of all such links: no pair is missed and none below links. Candidates meet by a prefix filter and are verified on
     all their shingles. Null, empty and blank texts are one group; null doc_ids come first; repeated rows
-    are near duplicates. docs must come the same each time it is read, as tables do.
+    are near duplicates. Rows are numbered once, in a copy of docs.
     """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    named = rows.select(F.col("_row").alias("row"), "doc_id", "text")
-    nodes = shingle_sets(named, size, []).groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("least"))
-    nodes = staged(nodes, "nodes")
-    first = named.join(nodes.select(F.col("least.row").alias("row")), "row", "left_semi")
-    sets = staged(shingle_sets(first, size, ["n", "shingles"]).select("node", "n", "shingles"), "shingle-sets")
-    roots = components(similar_links(sets, similarity, list_rows))
-    grouped = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
-    return rows.join(grouped.select(F.col("least.row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    row = free_name(docs, "_row")
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows", lasting=True)
+    named = rows.select(F.col(row).alias("row"), "doc_id", "text")
+    with scratch(docs.sparkSession):
+        nodes = shingle_sets(named, size, []).groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("least"))
+        nodes = staged(nodes, "nodes")
+        first = named.join(nodes.select(F.col("least.row").alias("row")), "row", "left_semi")
+        sets = staged(shingle_sets(first, size, ["n", "shingles"]).select("node", "n", "shingles"), "shingle-sets")
+        roots = components(similar_links(sets, similarity, list_rows))
+        grouped = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
+        kept = staged(grouped.select(F.col("least.row").alias(row)), "kept", lasting=True)
+    return rows.join(kept, row, "left_semi").select(*docs.columns)

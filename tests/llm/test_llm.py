@@ -459,7 +459,46 @@ def test_licences(spark, docs, empty):
     assert not any(list(c.paragraphs(t)) for t in licenses.ASIDES)
     long = " ".join(f"word{k}" for k in range(150)) + " Released under the MIT License. " + " ".join(f"word{k}" for k in range(150))
     assert [x[1] for x in c.paragraphs(long)] == ["mit"]
-    assert licenses.scan(docs, c).where(F.size("licences") > 0).count() == 0 and licenses.scan(empty, licenses.train(empty)).count() == 0
+    two = "Released under the MIT License. Licensed under the Apache License, Version 2.0."
+    assert [x[1] for x in c.paragraphs(two)] == ["apache-2.0", "mit"]
+    assert [x[1] for x in c.paragraphs(f"Some more words first, then this. {two} And then some others, none of which says anything of note.")] == ["apache-2.0", "mit"]
+
+
+#: Wordings that no template has.
+HELD_OUT = {
+    "This module is made available under the Apache License, Version 2.0, a copy of which comes with it.": "apache-2.0",
+    "Copyright the authors; use is subject to the MIT License.": "mit",
+    "The sources are covered by the BSD 3-Clause License.": "bsd",
+    "You may copy it under the GNU General Public License, version 3.": "gpl",
+    "It is provided under the GNU Lesser General Public License, version 2.1.": "lgpl",
+    "The server is offered under the GNU Affero General Public License, version 3.": "agpl",
+    "The files here fall under the Mozilla Public License, version 2.0.": "mpl",
+    "All plug-ins come under the Eclipse Public License 2.0.": "epl",
+    "Headers are covered by the Boost Software License, Version 1.0.": "boost",
+    "The text is shared under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+    "Images may be used under the Creative Commons Attribution-NonCommercial 4.0 International License.": "cc-by-nc",
+    "Our drawings are in the public domain under CC0 1.0 Universal.": "public-domain",
+}
+STRANGERS = ["The Apache web server was installed on the new machine in the office.", "She studied at MIT and then moved to the general staff.", "The public domain of the web is large.", "Version 2.0 of the software will be released in May.", "A license to fish is needed at the lake.", "Common creative work with attribution of ideas.", "The terms of the contract were distributed to the members."]
+
+
+def test_licences_in_other_words():
+    c = licenses.fit(["the quick brown fox jumps over the dog", "we released a new record in the spring"])
+    got = {t: [x[1] for x in c.paragraphs(t)] for t in HELD_OUT}
+    assert not any(f for t, f in got.items() if set(f) - {HELD_OUT[t]})
+    assert sum(f == [HELD_OUT[t]] for t, f in got.items()) >= 0.75 * len(HELD_OUT)
+    assert not any(list(c.paragraphs(t)) for t in STRANGERS)
+
+
+def test_scan_is_what_the_classifier_says(spark, docs, empty):
+    c = licenses.train(docs)
+    rows = [(1, "Licensed under the MIT License.\n\nwords\nSPDX-License-Identifier: MPL-2.0"), (1, "Licensed under the MIT License."), (None, "Licensed under CC BY 4.0."), (3, None), (4, ""), (5, "words " * 50_000 + "Released under the ISC License. " + "words " * 50_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("licences", F.lit("clash"))
+    got = sorted(((r.doc_id, r.n_paragraphs, [tuple(x) for x in r.licences]) for r in licenses.scan(df, c).collect()), key=str)
+    assert got == sorted(((i, (t or "").count("\n") + 1, list(c.paragraphs(t))) for i, t in rows), key=str)
+    assert [x[1] for r in got if r[0] == 5 for x in r[2]] == ["isc"] and [x[:2] for r in got if r[0] == 1 and r[1] > 1 for x in r[2]] == [(0, "mit"), (3, "mpl")]
+    assert licenses.scan(docs, c).where(F.size("licences") > 0).count() == 0
+    assert licenses.scan(empty, licenses.train(empty)).count() == 0
 
 
 # -- token store
