@@ -22,6 +22,7 @@ is kept. Nothing else of the tree or the vocabulary passes the driver but N and
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,7 @@ REPLAYED = 2
 FREQUENT = 2.0**-18
 END, START = 1, 2
 BLOCKS = "block long, doc_ids array<long>, lengths binary, train binary, words binary, stream binary, counts binary"
+BASE = "block long, doc_ids array<long>, lengths binary, train binary, words binary, stream binary"
 SCORES = "doc_id long, learnt boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 SENT = "part int, block long, data binary"
 TOLD = "block long, part int, data binary, n_tokens long, n_words long"
@@ -232,10 +234,9 @@ class _Growing:
             self.level, self.gain = int(level[0]), gain.copy()
             self._places(lengths)
             return
-        (lengths,), (self.train,), (stream,), (hashes,) = (unpack(row[c]) for c in ("lengths", "train", "stream", "words"))
+        (lengths,), (self.train,), (stream,), (self.counts, self.code) = (unpack(row[c]) for c in ("lengths", "train", "stream", "words"))
         self._places(lengths)
-        self.counts, self.code = _told(hashes, row["told"])
-        self.wide = np.append(hashes, np.uint64(START))
+        self.wide = np.append(_mixed(self.code.astype(np.uint64) + np.uint64(START + 1)), np.uint64(START))
         self.doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         self.level, self.gain = 0, np.zeros(len(lengths))
         self.at = np.arange(len(stream), dtype=np.int32)
@@ -244,8 +245,8 @@ class _Growing:
         self.root, self.known = (np.add.reduceat(x, self.start) for x in (np.log10(self.up), (self.counts[stream] > 0).astype(np.int64)))
         self.hash, self.state = np.zeros(1, dtype=np.uint64), np.zeros(len(stream), dtype=np.int32)
         far = np.roll(self.word, 1)
-        far[self.start] = len(hashes)
-        met = np.append(self.counts, self.counts[hashes == END].sum())[far]
+        far[self.start] = len(self.code)
+        met = np.append(self.counts, self.counts[stream[-1]])[far]  # a start for each end
         self._grow(far, met, met >= 2)
 
     def _places(self, lengths: np.ndarray) -> None:
@@ -354,14 +355,17 @@ class _Growing:
             self.parent_n, self.parent_u = sums[1][first], sums[2][first]
 
 
-def _told(hashes: np.ndarray, told: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Training counts and numbers of a block's words, as the words' partitions told it."""
-    told = sorted(told, key=lambda a: a["part"])
-    order = np.lexsort((hashes, hashes % np.uint64(told[0]["parts"])))
-    got = [unpack(a["data"]) for a in told]
-    counts, numbers = np.empty(len(hashes), dtype=np.int64), np.empty(len(hashes), dtype=np.int64)
-    counts[order], numbers[order] = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in range(2))
-    return counts, numbers
+def _numbered(batches):
+    """Blocks with the training counts and numbers of their words, as the words' partitions told them, in place of hashes."""
+    for b in batches:
+        for r in b.to_pylist():
+            (hashes,), told = unpack(r["words"]), sorted(r["told"], key=lambda a: a["part"])
+            order = np.lexsort((hashes, hashes % np.uint64(told[0]["parts"])))
+            got = [unpack(a["data"]) for a in told]
+            both = np.empty((2, len(hashes)), dtype=np.int64)
+            for k in range(2):
+                both[k, order] = np.concatenate([g[k] for g in got]).astype(np.int64)
+            yield _rows([(r["block"], r["doc_ids"], r["lengths"], r["train"], pack(*both), r["stream"])], BASE)
 
 
 def _learnt(row: dict, totals: tuple[int, int], parts: int, frequent, hots) -> _Growing:
@@ -458,16 +462,23 @@ def _hot_states(answers: DataFrame, least_gain: float) -> tuple[np.ndarray, ...]
 
 
 class _Held:
-    """Tables that later levels read. Large ones of which the way there is short stay on the executors' disks, and are made again
-    if one is lost; answers are written to the shared folder, so that the messages they came from can go."""
+    """Tables that later levels read. They are written to the shared folder, so that the messages they came from can go; only a
+    level's positions, of which the way there is short, stay on the executors' disks, and are made again if one is lost."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths, self.frames = spark, {}, {}
+        self.spark, self.paths, self.frames, self.tables = spark, {}, {}, {}
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         self.frames[name] = df.persist(StorageLevel.DISK_ONLY)
         return df
 
+    def bucketed(self, name: str, df: DataFrame, buckets: int) -> DataFrame:
+        """Written in buckets of `block`, so that joins with it leave it where it is."""
+        path, table = fresh_path(self.spark, name), f"floodmark_{uuid.uuid4().hex}"
+        self.paths[name], self.tables[name] = path, table
+        df.repartition(buckets, "block").write.bucketBy(buckets, "block").option("path", path).option("compression", "uncompressed").saveAsTable(table)
+        return self.spark.table(table)
+
     def write(self, name: str, df: DataFrame) -> DataFrame:
         path = self.paths[name] = fresh_path(self.spark, name)
         df.write.option("compression", "uncompressed").parquet(path)  # packed arrays are compressed by themselves
@@ -477,6 +488,8 @@ class _Held:
         for name in names:
             if name in self.frames:
                 self.frames.pop(name).unpersist()
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
             if name in self.paths:
                 drop_stage(self.spark, self.paths.pop(name))
         gc.collect()
@@ -494,14 +507,15 @@ def score_documents(docs: DataFrame, learn: Column, least_gain: float = 4.0, par
     spark = docs.sparkSession
     n, held = n_partitions(spark), _Held(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    blocks = held.keep("blocks", rows.mapInArrow(_blocks, BLOCKS).repartition(n, "block"))
+    blocks = held.write("blocks", rows.mapInArrow(_blocks, BLOCKS))
     asked = blocks.select("block", "words", "counts").mapInArrow(_ask(n), SENT)
     answers = held.write("word-answers", asked.repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(_answer(n), TOLD))
     sums = answers.agg(F.sum("n_tokens"), F.sum("n_words")).first()
     totals = sums[0] or 0, sums[1] or 0
     frequent = spark.sparkContext.broadcast(_frequent(answers, totals[0]))  # at most 1 / FREQUENT words
     told = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "data", F.lit(n).alias("parts"))).alias("told"))
-    base = blocks.drop("counts").join(told, "block")
+    base = held.bucketed("base", blocks.drop("counts").join(told, "block").mapInArrow(_numbered, BASE), n)
+    held.drop("blocks", "word-answers")
 
     parts = parts_for(totals[0], part_tokens)
     level, hots, source, known = 1, {}, base.drop("doc_ids"), None
@@ -526,7 +540,7 @@ def score_documents(docs: DataFrame, learn: Column, least_gain: float = 4.0, par
             break
         level += 1
     scores = held.write("scores", base.join(source.select("block", *[c for c in ("carry", "answers") if c in source.columns]), "block").mapInArrow(_scores(totals, parts, frequent, hots), SCORES))
-    held.drop("blocks", "word-answers", *[f"{what}-{k}" for k in range(1, level + 1) for what in ("answers", "level")])
+    held.drop("base", *[f"{what}-{k}" for k in range(1, level + 1) for what in ("answers", "level")])
     return scores
 
 
