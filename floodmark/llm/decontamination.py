@@ -204,7 +204,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, most_c
     are. Rows are told apart by place, so repeated doc_ids are each treated on their own text.
     """
     rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminated")
-    hits = scan_documents(rows.select(F.col("_row").alias("row"), "doc_id", "text"), benchmark, window).where(F.size("spans") > 0).select(F.col("row").alias("_row"), F.col("n_words").alias("_words"), F.col("spans").alias("_spans"))
+    found = scan_documents(rows.select(F.col("_row").alias("row"), "doc_id", "text"), benchmark, window).where(F.size("spans") > 0)
+    hits = staged(found.select(F.col("row").alias("_row"), F.col("n_words").alias("_words"), F.col("spans").alias("_spans")), "hits")  # read twice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
