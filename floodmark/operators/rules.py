@@ -60,13 +60,21 @@ def superseded_by_window(rows: DataFrame, group_key: Sequence[str], order: str,
 def child_within_parent(children: DataFrame, parents: DataFrame, join: Sequence[tuple[str, str]], child_start: Column, parent_start: Column, parent_end: Column, groups: Sequence[str] = ()) -> DataFrame:
     """Child rows with a parent, and those whose start no parent's [start, end] holds; a null end is open.
 
-    Parents of a key are gathered once into a list of intervals, so a child meets its key's parents in one row.
+    Parents' intervals that meet are merged first, in order of their starts, so a key's list holds disjoint stretches only; a
+    child meets them in one row, and a key with many children can be split by the join.
     """
+    keys = [f"_p{n}" for n in range(len(join))]
     kids = children.select(*group_columns(groups), child_start.alias("_s"), *[F.col(c).alias(f"_c{n}") for n, (c, _) in enumerate(join)])
-    spans = parents.select(F.struct(parent_start.alias("a"), parent_end.alias("b")).alias("_span"), *[F.col(p).alias(f"_p{n}") for n, (_, p) in enumerate(join)])
-    spans = spans.groupBy(*[f"_p{n}" for n in range(len(join))]).agg(F.collect_set("_span").alias("_spans"))
+    spans = parents.select(parent_start.alias("_a"), parent_end.alias("_b"), *[F.col(p).alias(k) for k, (_, p) in zip(keys, join)])
+    before = Window.partitionBy(*keys).orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)
+    holds = F.col("_a").isNotNull() & (F.col("_b").isNull() | (F.col("_b") >= F.col("_a")))
+    apart = ~F.coalesce(F.max(holds & F.col("_b").isNull()).over(before), F.lit(False)) & ~F.coalesce(F.max(F.when(holds, F.col("_b"))).over(before) >= F.col("_a"), F.lit(False))
+    numbered = spans.withColumns({"_holds": holds, "_new": (holds & apart).cast("int")})
+    numbered = numbered.withColumn("_n", F.sum("_new").over(Window.partitionBy(*keys).orderBy("_a").rowsBetween(Window.unboundedPreceding, 0)))
+    stretch = F.struct(F.min(F.when(F.col("_holds"), F.col("_a"))).alias("a"), F.when(F.max(F.col("_holds") & F.col("_b").isNull()), F.lit(None)).otherwise(F.max(F.when(F.col("_holds"), F.col("_b")))).alias("b"))
+    merged = numbered.groupBy(*keys, "_n").agg(stretch.alias("_span")).groupBy(*keys).agg(F.collect_list("_span").alias("_spans"))
     held = F.exists("_spans", lambda s: F.coalesce((F.col("_s") >= s["a"]) & (s["b"].isNull() | (F.col("_s") <= s["b"])), F.lit(False)))
-    met = kids.join(spans, [F.col(f"_c{n}") == F.col(f"_p{n}") for n in range(len(join))])
+    met = kids.join(merged, [F.col(f"_c{n}") == F.col(k) for n, k in enumerate(keys)])
     return judged(met, groups, ~held)
 
 

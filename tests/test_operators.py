@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -133,6 +134,17 @@ def test_child_within_parent_edges(spark):
     assert (r.population, r.violations) == (3, 1)  # the null start; q and null have no parent
 
 
+def test_merged_parents_hold_what_each_held(spark):
+    rng = random.Random(4)
+    parents = [(rng.randrange(6), a, None if rng.random() < 0.05 else a + rng.randrange(-2, 6)) for a in (rng.randrange(60) for _ in range(60))] + [(0, None, 5), (0, None, None)]
+    kids = [(rng.randrange(8), rng.choice([None, *range(-2, 70)])) for _ in range(500)]
+    of = {k: [(a, b) for p, a, b in parents if p == k] for k in range(8)}
+    met = [(k, s) for k, s in kids if of[k]]
+    bad = [s for k, s in met if not any(s is not None and a is not None and a <= s and (b is None or s <= b) for a, b in of[k])]
+    r = rules.child_within_parent(spark.createDataFrame(kids, "k int, s int"), spark.createDataFrame(parents, "k int, a int, b int"), [("k", "k")], F.col("s"), F.col("a"), F.col("b")).first()
+    assert (r.population, r.violations) == (len(met), len(bad)) and 0 < len(bad) < len(met)
+
+
 def test_null_rate_is_strict(spark):
     df = spark.createDataFrame([(None,), (1,)], "v int")
     assert rules.null_rate_max(df, "v", 0.5).first().violations == 0
