@@ -54,6 +54,22 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             drop_stage(spark, path)
 
 
+@contextmanager
+def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """Within it Spark deletes an execution's shuffle files when it ends, not when the driver's garbage is collected; if a lost
+    executor makes them needed again, their stages are run again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or with underscores added until df has no such column."""
     while name.lower() in (c.lower() for c in df.columns):

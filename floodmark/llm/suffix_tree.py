@@ -21,7 +21,6 @@ is kept. Nothing else of the tree or the vocabulary passes the driver but N and
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -34,11 +33,11 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floodmark.llm.common import drop_stage, fresh_path, n_partitions, parts_for
+from floodmark.llm.common import drop_stage, fresh_path, n_partitions, parts_for, shuffles_cleaned
 from floodmark.llm.tokens import groups, strings
 
 #: Bytes of text in a block, and tokens whose states go to one partition: what bounds a task's arrays.
-BLOCK_BYTES, PART_TOKENS = 6_000_000, 3_000_000
+BLOCK_BYTES, PART_TOKENS = 4_000_000, 3_000_000
 #: A state is hot from this share of a partition's tokens.
 HOT_SHARE = 1 / 16
 #: Levels up to this one are worked out again from the block's words; at deeper ones the positions left, a fraction, are kept.
@@ -380,14 +379,17 @@ def _learnt(row: dict, totals: tuple[int, int], parts: int, frequent, hots) -> _
 def _send(totals: tuple[int, int], parts: int, frequent, hots, carry: bool):
     """From a block: its messages for the next level and, with `carry`, the positions left."""
 
+    def sent(r: dict) -> Iterator[pa.RecordBatch]:
+        g = _learnt(r, totals, parts, frequent, hots)
+        if carry:
+            yield _rows([(-1, g.block, g.carry())], SENT)
+        for row in g.messages() if len(g.at) else ():
+            yield _rows([row], SENT)
+
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                g = _learnt(r, totals, parts, frequent, hots)
-                if carry:
-                    yield _rows([(-1, g.block, g.carry())], SENT)
-                for row in g.messages() if len(g.at) else ():
-                    yield _rows([row], SENT)
+                yield from sent(r)  # nothing of a block is held over the next
 
     return run
 
@@ -395,44 +397,47 @@ def _send(totals: tuple[int, int], parts: int, frequent, hots, carry: bool):
 def _count(totals: tuple[int, int], frequent, level: int, least_gain: float):
     """At a partition: adds its blocks' entries up, tests its states, and tells each block the sums of its own entries."""
 
+    def counted(part: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        got = [unpack(r.pop("data")) for r in rows]
+        runs = [len(g[0]) for g in got]
+        state, of_run = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+        of = np.repeat(of_run.astype(np.int64), np.concatenate([g[1] for g in got]).astype(np.int64))
+        hot = np.zeros(len(state), dtype=bool)
+        hot[of_run] = np.concatenate([g[2] for g in got]).astype(bool)
+        code = np.concatenate([g[3] for g in got])
+        first, entry = _distinct(of * (int(code.max()) + 1) + code)
+        c = np.bincount(entry, np.concatenate([g[4] for g in got]), len(first))
+        given = np.concatenate([g[5] for g in got])
+        if level <= 2:
+            known, place = _among(code, frequent.value)
+            counts = np.empty(len(code), dtype=np.int64)
+            counts[~known], counts[known] = given, frequent.value[1][place[known]]
+            up = (counts[first] + 1) / (totals[0] + totals[1] + 1)
+            del counts, known, place
+        else:
+            up = given[first]
+        if level == 2:
+            c1, n1, u1 = (np.concatenate([g[k] for g in got]).astype(float) for k in (6, 7, 8))
+            run = np.repeat(np.arange(len(of_run), dtype=np.int32), np.concatenate([g[1] for g in got]).astype(np.int64))[first]
+            up = (c1[first] + u1[run] * up) / (n1[run] + u1[run])
+            del c1, n1, u1, run
+        sizes = [len(g[3]) for g in got]
+        del got, given, code
+        owner, m = of[first], len(state)
+        n, u, once = np.bincount(owner, c, m), np.bincount(owner, c > 0, m), np.bincount(owner, c == 1, m)
+        more = c >= 2
+        twice = np.bincount(owner[more], c[more], m)
+        a = np.bincount(owner[more], c[more] * np.log((c[more] - 1) / up[more]), m)
+        kept = _kept(a, twice, once, n, u, least_gain) & ~hot
+        yield _rows([(None, part, None, int(kept.sum()), int(s), int(n[k]), int(u[k]), int(twice[k]), int(once[k]), float(a[k])) for k, s in zip(np.flatnonzero(hot).tolist(), state[hot].view(np.int64).tolist())] + [(None, part, None, int(kept.sum()), *[None] * 6)], ANSWERED)
+        for r, i, x, j, y in zip(rows, np.cumsum(runs), runs, np.cumsum(sizes), sizes):
+            mine = of_run[i - x : i]
+            on = kept[mine]
+            yield _rows([(r["block"], part, pack(on.astype(np.uint8), n[mine[on]], u[mine[on]], c[entry[j - y : j]].astype("<u8")), *[None] * 7)], ANSWERED)
+
     def run(batches):
         for part, rows in _grouped(batches, "part"):
-            got = [unpack(r.pop("data")) for r in rows]
-            runs = [len(g[0]) for g in got]
-            state, of_run = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-            of = np.repeat(of_run.astype(np.int64), np.concatenate([g[1] for g in got]).astype(np.int64))
-            hot = np.zeros(len(state), dtype=bool)
-            hot[of_run] = np.concatenate([g[2] for g in got]).astype(bool)
-            code = np.concatenate([g[3] for g in got])
-            first, entry = _distinct(of * (int(code.max()) + 1) + code)
-            c = np.bincount(entry, np.concatenate([g[4] for g in got]), len(first))
-            given = np.concatenate([g[5] for g in got])
-            if level <= 2:
-                known, place = _among(code, frequent.value)
-                counts = np.empty(len(code), dtype=np.int64)
-                counts[~known], counts[known] = given, frequent.value[1][place[known]]
-                up = (counts[first] + 1) / (totals[0] + totals[1] + 1)
-                del counts, known, place
-            else:
-                up = given[first]
-            if level == 2:
-                c1, n1, u1 = (np.concatenate([g[k] for g in got]).astype(float) for k in (6, 7, 8))
-                run = np.repeat(np.arange(len(of_run), dtype=np.int32), np.concatenate([g[1] for g in got]).astype(np.int64))[first]
-                up = (c1[first] + u1[run] * up) / (n1[run] + u1[run])
-                del c1, n1, u1, run
-            sizes = [len(g[3]) for g in got]
-            del got, given, code
-            owner, m = of[first], len(state)
-            n, u, once = np.bincount(owner, c, m), np.bincount(owner, c > 0, m), np.bincount(owner, c == 1, m)
-            more = c >= 2
-            twice = np.bincount(owner[more], c[more], m)
-            a = np.bincount(owner[more], c[more] * np.log((c[more] - 1) / up[more]), m)
-            kept = _kept(a, twice, once, n, u, least_gain) & ~hot
-            yield _rows([(None, part, None, int(kept.sum()), int(s), int(n[k]), int(u[k]), int(twice[k]), int(once[k]), float(a[k])) for k, s in zip(np.flatnonzero(hot).tolist(), state[hot].view(np.int64).tolist())] + [(None, part, None, int(kept.sum()), *[None] * 6)], ANSWERED)
-            for r, i, x, j, y in zip(rows, np.cumsum(runs), runs, np.cumsum(sizes), sizes):
-                mine = of_run[i - x : i]
-                on = kept[mine]
-                yield _rows([(r["block"], part, pack(on.astype(np.uint8), n[mine[on]], u[mine[on]], c[entry[j - y : j]].astype("<u8")), *[None] * 7)], ANSWERED)
+            yield from counted(part, rows)
 
     return run
 
@@ -440,14 +445,17 @@ def _count(totals: tuple[int, int], frequent, level: int, least_gain: float):
 def _scores(totals: tuple[int, int], parts: int, frequent, hots):
     """From a block: its documents' scores, after the last level."""
 
+    def scored(r: dict) -> pa.RecordBatch:
+        carry = r.pop("carry", None)
+        g = _learnt(r | {"answers": None}, totals, parts, frequent, hots) if carry is not None else _learnt(r, totals, parts, frequent, hots)
+        gain = g.gain if carry is None else _learnt(r | {"carry": carry}, totals, parts, frequent, hots).gain
+        m = len(g.lengths)
+        cells = [pa.array(r["doc_ids"], pa.int64()), pa.array(g.train == 1), pa.array(g.lengths.astype(np.int64)), pa.array(g.known), pa.array(np.full(m, totals[0], dtype=np.int64)), pa.array(g.root), pa.array(g.root + gain)]
+        return pa.RecordBatch.from_arrays(cells, [c.split()[0] for c in SCORES.split(", ")])
+
     def run(batches):
         for b in batches:
-            for r in b.to_pylist():
-                left, carry = r.get("carry"), r.pop("carry", None)
-                g = _Growing(r, totals, parts, frequent.value) if left is not None else _learnt(r, totals, parts, frequent, hots)
-                gain = _learnt(r | {"carry": carry}, totals, parts, frequent, hots).gain if left is not None else g.gain
-                m = len(g.lengths)
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(g.train == 1), pa.array(g.lengths.astype(np.int64)), pa.array(g.known), pa.array(np.full(m, totals[0], dtype=np.int64)), pa.array(g.root), pa.array(g.root + gain)], [c.split()[0] for c in SCORES.split(", ")])
+            yield from map(scored, b.to_pylist())
 
     return run
 
@@ -492,8 +500,6 @@ class _Held:
                 self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
             if name in self.paths:
                 drop_stage(self.spark, self.paths.pop(name))
-        gc.collect()
-        self.spark._jvm.System.gc()  # so that Spark deletes shuffles that nothing reads any more
 
 
 def score_documents(docs: DataFrame, learn: Column, least_gain: float = 4.0, part_tokens: int = PART_TOKENS) -> DataFrame:
@@ -504,6 +510,11 @@ def score_documents(docs: DataFrame, learn: Column, least_gain: float = 4.0, par
     columns are ignored; an empty table gives no rows. With nothing to learn from, scores are those of the root. The work is
     done when this returns; what it returns is read from the shared folder.
     """
+    with shuffles_cleaned(docs.sparkSession):
+        return _scored(docs, learn, least_gain, part_tokens)
+
+
+def _scored(docs: DataFrame, learn: Column, least_gain: float, part_tokens: int) -> DataFrame:
     spark = docs.sparkSession
     n, held = n_partitions(spark), _Held(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(learn, F.lit(False)).alias("learn"))
