@@ -94,10 +94,36 @@ class Classifier:
         self.temperature, self.least, self.similar = temperature, least, similar
         self.words = {g for g in index if " " not in g}
         self.templates = {f: [pairs(WORD.findall(t.lower())) for t in TEMPLATES[f]] for f in families[:-1]}
+        #: For each word pair of the templates the size of the smallest one that has it.
+        self.smallest: dict[tuple[str, ...], int] = {}
+        for t in sorted((t for ts in self.templates.values() for t in ts), key=len):
+            for p in t:
+                self.smallest.setdefault(p, len(t))
+
+    def _found(self, ws: list[str]) -> list[int]:
+        """The known n-grams of ws, each once; one of several words is made only where all of them are known."""
+        out, index, words, two, one = set(), self.index, self.words, None, None
+        for w in ws:
+            if w not in words:
+                two = one = None
+                continue
+            out.add(index[w])
+            if one is not None:
+                out.add(index.get(f"{one} {w}"))
+                if two is not None:
+                    out.add(index.get(f"{two} {one} {w}"))
+            two, one = one, w
+        out.discard(None)
+        return list(out)
+
+    def _hopeless(self, mine: set[tuple[str, ...]]) -> bool:
+        """Whether too few word pairs are any template's for one to confirm a family."""
+        sizes = [self.smallest[p] for p in mine if p in self.smallest]
+        return not sizes or len(sizes) < self.similar * min(len(mine), min(sizes))
 
     def logits(self, ws: list[str]) -> np.ndarray:
         """Each known n-gram counts 1 over the root of all n-grams, so words that no notice has pull towards the unknown."""
-        found = [self.index[g] for g in grams(ws) if g in self.index]
+        found = self._found(ws)
         scale = 1 / math.sqrt(max(1, 3 * len(ws) - 3))
         return self.bias + self.weights[found].sum(axis=0) * scale
 
@@ -107,12 +133,15 @@ class Classifier:
         return e / e.sum()
 
     def judge(self, ws: list[str]) -> tuple[str, float, float]:
-        """(family or unknown, its calibrated probability, likeness to its best template)."""
+        """(family or unknown, its calibrated probability, likeness to its best template); the probability isn't worked out, but
+        given as 0, where no template could confirm a family."""
+        mine = pairs(ws)
+        if self._hopeless(mine):
+            return UNKNOWN, 0.0, 0.0
         p = self.probabilities(ws)
         k = int(p.argmax())
         if k == len(self.families) - 1 or p[k] < self.least:
             return UNKNOWN, float(p[-1]), 0.0
-        mine = pairs(ws)
         like = max(len(mine & t) / max(1, min(len(mine), len(t))) for t in self.templates[self.families[k]])
         return (self.families[k], float(p[k]), like) if like >= self.similar else (UNKNOWN, float(p[k]), like)
 
@@ -123,6 +152,8 @@ class Classifier:
             ws = WORD.findall(line.lower())
             if sum(w in self.words for w in ws) < 2:
                 continue  # at most one known word leaves every class but unknown below its threshold
+            if len(ws) > 1 and not any(map(self.smallest.__contains__, zip(ws, ws[1:]))):
+                continue  # no part of it can be confirmed
             best: dict[str, tuple[float, float]] = {}
             for part in self._parts(line, ws):
                 family, p, like = self.judge(part)
