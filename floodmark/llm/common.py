@@ -70,6 +70,17 @@ def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+#: Rows of a key column that may be broadcast: about 8 MB.
+FEW_KEYS = 500_000
+
+
+def among(rows: DataFrame, keys: DataFrame, on: str, most: int = FEW_KEYS) -> DataFrame:
+    """The rows whose `on` is in keys, a table of that one column that is cheap to count. A few keys are broadcast, so that the rows
+    stay where they are; more are joined as Catalyst sees fit."""
+    few = keys.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(keys) if few else keys, on, "left_semi")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or with underscores added until df has no such column."""
     while name.lower() in (c.lower() for c in df.columns):

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floodmark.llm.common import free_name, n_partitions, scratch, staged
+from floodmark.llm.common import among, free_name, n_partitions, scratch, shuffles_cleaned, staged
 
 BITS, LIST_ROWS = 4, 2048
 LEAST_SHARED = 8 - BITS
@@ -448,7 +448,8 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
-    both = ends.join(sets.select("node", "shingles"), "node").groupBy("a", "b")
+    asked = among(sets.select("node", "shingles"), staged(ends.select("node").distinct(), "asked"), "node")
+    both = ends.join(asked, "node").groupBy("a", "b")
     both = both.agg(F.max(F.when(F.col("node") == F.col("a"), F.col("shingles"))).alias("x"), F.max(F.when(F.col("node") == F.col("b"), F.col("shingles"))).alias("y"))
     return staged(both.mapInArrow(run, "a long, b long"), "similar")
 
@@ -477,23 +478,25 @@ def similar_links(sets: DataFrame, similarity: float, list_rows: int = LIST_ROWS
     return links
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, list_rows: int = LIST_ROWS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, list_rows: int = LIST_ROWS, copy: bool = True) -> DataFrame:
     """docs (doc_id, text and others) with one row, that of least doc_id, for each group of near duplicates.
 
     Rows link if the sets of their shingles of `size` words have at least that Jaccard similarity, and groups are the
     components of all such links: no pair is missed and none below links. Candidates meet by a prefix filter and are verified on
     all their shingles. Null, empty and blank texts are one group; null doc_ids come first; repeated rows
-    are near duplicates. Rows are numbered once, in a copy of docs.
+    are near duplicates. Rows are numbered once, in a copy of docs; copy=False saves it where docs is a table as it is read, which
+    comes in the same order each time.
     """
     row = free_name(docs, "_row")
-    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows", lasting=True)
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = staged(rows, "rows", lasting=True) if copy else rows
     named = rows.select(F.col(row).alias("row"), "doc_id", "text")
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession), shuffles_cleaned(docs.sparkSession):
         nodes = shingle_sets(named, size, []).groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("least"))
         nodes = staged(nodes, "nodes")
-        first = named.join(nodes.select(F.col("least.row").alias("row")), "row", "left_semi")
+        first = among(named, nodes.select(F.col("least.row").alias("row")), "row")
         sets = staged(shingle_sets(first, size, ["n", "shingles"]).select("node", "n", "shingles"), "shingle-sets")
         roots = components(similar_links(sets, similarity, list_rows))
         grouped = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
         kept = staged(grouped.select(F.col("least.row").alias(row)), "kept", lasting=True)
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    return among(rows, kept, row).select(*docs.columns)
