@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +47,7 @@ FREQUENT = 2.0**-18
 END, START = 1, 2
 BLOCKS = "block long, doc_ids array<long>, lengths binary, train binary, words binary, stream binary, counts binary"
 BASE = "block long, doc_ids array<long>, lengths binary, train binary, words binary, stream binary"
+DOCS = "block long, doc_ids array<long>, lengths binary, train binary, root binary"
 SCORES = "doc_id long, learnt boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 SENT = "part int, block long, data binary"
 TOLD = "block long, part int, data binary, n_tokens long, n_words long"
@@ -367,6 +368,29 @@ def _numbered(batches):
             yield _rows([(r["block"], r["doc_ids"], r["lengths"], r["train"], pack(*both), r["stream"])], BASE)
 
 
+def _left(totals: tuple[int, int], parts: int, frequent, hots):
+    """From a block: its positions left at the next level, and the gains so far."""
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                yield _rows([(r["block"], _learnt(r, totals, parts, frequent, hots).carry())], "block long, carry binary")
+
+    return run
+
+
+def _roots(totals: tuple[int, int], frequent):
+    """From a block: what the root says of its documents."""
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                g = _Growing(r, totals, 1, frequent.value)
+                yield _rows([(r["block"], r["doc_ids"], r["lengths"], r["train"], pack(g.root, g.known))], DOCS)
+
+    return run
+
+
 def _learnt(row: dict, totals: tuple[int, int], parts: int, frequent, hots) -> _Growing:
     """A block's positions after all the answers that it has."""
     g = _Growing(row, totals, parts, frequent.value)
@@ -376,13 +400,11 @@ def _learnt(row: dict, totals: tuple[int, int], parts: int, frequent, hots) -> _
     return g
 
 
-def _send(totals: tuple[int, int], parts: int, frequent, hots, carry: bool):
-    """From a block: its messages for the next level and, with `carry`, the positions left."""
+def _send(totals: tuple[int, int], parts: int, frequent, hots):
+    """From a block: its messages for the next level."""
 
     def sent(r: dict) -> Iterator[pa.RecordBatch]:
         g = _learnt(r, totals, parts, frequent, hots)
-        if carry:
-            yield _rows([(-1, g.block, g.carry())], SENT)
         for row in g.messages() if len(g.at) else ():
             yield _rows([row], SENT)
 
@@ -443,14 +465,13 @@ def _count(totals: tuple[int, int], frequent, level: int, least_gain: float):
 
 
 def _scores(totals: tuple[int, int], parts: int, frequent, hots):
-    """From a block: its documents' scores, after the last level."""
+    """From a block's documents and positions: the scores, after the last level."""
 
     def scored(r: dict) -> pa.RecordBatch:
-        carry = r.pop("carry", None)
-        g = _learnt(r | {"answers": None}, totals, parts, frequent, hots) if carry is not None else _learnt(r, totals, parts, frequent, hots)
-        gain = g.gain if carry is None else _learnt(r | {"carry": carry}, totals, parts, frequent, hots).gain
-        m = len(g.lengths)
-        cells = [pa.array(r["doc_ids"], pa.int64()), pa.array(g.train == 1), pa.array(g.lengths.astype(np.int64)), pa.array(g.known), pa.array(np.full(m, totals[0], dtype=np.int64)), pa.array(g.root), pa.array(g.root + gain)]
+        (root, known), (train,), (lengths,) = (unpack(r[c]) for c in ("root", "train", "lengths"))
+        gain = _learnt({k: v for k, v in r.items() if k in ("block", "carry", "answers")}, totals, parts, frequent, hots).gain
+        m = len(lengths)
+        cells = [pa.array(r["doc_ids"], pa.int64()), pa.array(train == 1), pa.array(lengths.astype(np.int64)), pa.array(known), pa.array(np.full(m, totals[0], dtype=np.int64)), pa.array(root), pa.array(root + gain)]
         return pa.RecordBatch.from_arrays(cells, [c.split()[0] for c in SCORES.split(", ")])
 
     def run(batches):
@@ -470,15 +491,10 @@ def _hot_states(answers: DataFrame, least_gain: float) -> tuple[np.ndarray, ...]
 
 
 class _Held:
-    """Tables that later levels read. They are written to the shared folder, so that the messages they came from can go; only a
-    level's positions, of which the way there is short, stay on the executors' disks, and are made again if one is lost."""
+    """Tables that later levels read, written to the shared folder: what they came from can go, and nothing is lost with an executor."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths, self.frames, self.tables = spark, {}, {}, {}
-
-    def keep(self, name: str, df: DataFrame) -> DataFrame:
-        self.frames[name] = df.persist(StorageLevel.DISK_ONLY)
-        return df
+        self.spark, self.paths, self.tables = spark, {}, {}
 
     def bucketed(self, name: str, df: DataFrame, buckets: int) -> DataFrame:
         """Written in buckets of `block`, so that joins with it leave it where it is."""
@@ -494,8 +510,6 @@ class _Held:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            if name in self.frames:
-                self.frames.pop(name).unpersist()
             if name in self.tables:
                 self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
             if name in self.paths:
@@ -529,29 +543,26 @@ def _scored(docs: DataFrame, learn: Column, least_gain: float, part_tokens: int)
     held.drop("blocks", "word-answers")
 
     parts = parts_for(totals[0], part_tokens)
+    about = held.write("documents", base.mapInArrow(_roots(totals, frequent), DOCS))
     level, hots, source, known = 1, {}, base.drop("doc_ids"), None
     while True:
-        carry = level > REPLAYED
-        sent = source.mapInArrow(_send(totals, parts, frequent, hots, carry), SENT)
-        if carry:
-            sent = held.keep(f"level-{level}", sent)
-        dealt = sent.where("part >= 0").repartition(max(n, parts), "part").sortWithinPartitions("part", "block")
+        if level > REPLAYED:
+            source = held.write(f"level-{level}", source.mapInArrow(_left(totals, parts, frequent, hots), "block long, carry binary"))
+            held.drop("base", *[f"{what}-{k}" for k in range(1, level) for what in ("answers", "level")])
+        dealt = source.mapInArrow(_send(totals, parts, frequent, hots), SENT).repartition(max(n, parts), "part").sortWithinPartitions("part", "block")
         answers = held.write(f"answers-{level}", dealt.mapInArrow(_count(totals, frequent, level, least_gain), ANSWERED)).withColumn("level", F.lit(level))
         hot = _hot_states(answers, least_gain)
         hots = {**hots, level: spark.sparkContext.broadcast(hot)}
         found = answers.where("state is null").agg(F.sum("kept")).first()[0] or 0
-        known = answers if known is None or carry else known.unionByName(answers)
+        known = answers if known is None or level > REPLAYED else known.unionByName(answers)
         listed = known.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("level", "part", "data")).alias("answers"))
-        if carry:
-            source = sent.where("part < 0").select("block", F.col("data").alias("carry")).join(listed, "block", "left")
-        else:
-            source = base.drop("doc_ids").join(listed, "block", "left")
-        held.drop(f"level-{level - 1}")
-        if not found and not hot[1].any():
-            break
+        source = (source if level > REPLAYED else base.drop("doc_ids")).join(listed, "block", "left")
         level += 1
-    scores = held.write("scores", base.join(source.select("block", *[c for c in ("carry", "answers") if c in source.columns]), "block").mapInArrow(_scores(totals, parts, frequent, hots), SCORES))
-    held.drop("base", *[f"{what}-{k}" for k in range(1, level + 1) for what in ("answers", "level")])
+        if level > REPLAYED and not found and not hot[1].any():
+            break
+    left = source.select("block", "carry", "answers") if level > REPLAYED + 1 else source.mapInArrow(_left(totals, parts, frequent, hots), "block long, carry binary").withColumn("answers", F.lit(None).cast("array<struct<level:int,part:int,data:binary>>"))
+    scores = held.write("scores", about.join(left, "block").mapInArrow(_scores(totals, parts, frequent, hots), SCORES))
+    held.drop("base", "documents", *[f"{what}-{k}" for k in range(1, level) for what in ("answers", "level")])
     return scores
 
 
