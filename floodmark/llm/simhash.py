@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, list_rows: int = LIST_ROWS)
     return fps.join(named, "fp")
 
 
-SHORT_LIST, SAMPLED, HOT_SHINGLES, MAP = 64, 10_000, 100_000, 4
+SHORT_LIST, SAMPLED, HOT_SHINGLES, MAP = 2, 10_000, 100_000, 4
 
 
 def shingle_sets(docs: DataFrame, size: int, kept: list[str]) -> DataFrame:
@@ -369,7 +369,8 @@ class _Posted:
 
 
 def _star_pairs(x: _Posted, similarity: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each member of a list with the first that it may be similar to of a few hubs: never more pairs than members."""
+    """Each member of a list with the first that it may be similar to of a few hubs: never more pairs than members. Members come
+    by node, so lists of the same group have the same hubs and their pairs coincide."""
     out, todo = [], np.arange(len(x))
     while len(todo) > 1:
         hub, todo = todo[:1], todo[1:]
@@ -432,7 +433,7 @@ def _met(postings: DataFrame, similarity: float, how: str) -> DataFrame:
             yield pairs(held)
 
     columns = [*_Posted.COLUMNS, *[f"m{k}" for k in range(MAP)]]
-    dealt = postings.select(*columns).repartition(n_partitions(postings.sparkSession), "key").sortWithinPartitions("key")
+    dealt = postings.select(*columns).repartition(n_partitions(postings.sparkSession), "key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -447,10 +448,10 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= _least_overlap(np.int64(len(x) + len(y)), similarity))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
-    asked = among(sets.select("node", "shingles"), staged(ends.select("node").distinct(), "asked"), "node")
-    both = ends.join(asked, "node").groupBy("a", "b")
-    both = both.agg(F.max(F.when(F.col("node") == F.col("a"), F.col("shingles"))).alias("x"), F.max(F.when(F.col("node") == F.col("b"), F.col("shingles"))).alias("y"))
+    ends = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    asked = among(sets.select("node", "shingles"), ends, "node")
+    # a pair crosses the network with one of its sets; the other comes once for each node
+    both = pairs.join(asked.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(asked.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     return staged(both.mapInArrow(run, "a long, b long"), "similar")
 
 
