@@ -70,6 +70,18 @@ def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs within it passes so many rows at once to Python: for wide rows, which both sides hold a few batches of."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Rows of a key column that may be broadcast: about 8 MB.
 FEW_KEYS = 500_000
 

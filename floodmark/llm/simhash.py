@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floodmark.llm.common import among, free_name, n_partitions, scratch, shuffles_cleaned, staged
+from floodmark.llm.common import among, batches_of, free_name, n_partitions, scratch, shuffles_cleaned, staged
 
 BITS, LIST_ROWS = 4, 2048
 LEAST_SHARED = 8 - BITS
@@ -256,6 +256,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, list_rows: int = LIST_ROWS)
 
 
 SHORT_LIST, SAMPLED, HOT_SHINGLES, MAP = 2, 10_000, 100_000, 4
+#: Texts or sets that Python gets at once.
+WIDE_ROWS = 1000
 
 
 def shingle_sets(docs: DataFrame, size: int, kept: list[str]) -> DataFrame:
@@ -264,11 +266,15 @@ def shingle_sets(docs: DataFrame, size: int, kept: list[str]) -> DataFrame:
     schema = ["row long", "doc_id long", "node long", *[{"n": "n int", "shingles": "shingles binary"}[c] for c in kept]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(word_hashes(t.encode().lower().split() if t else [], size)) for t in b.column("text").to_pylist()]
-            node = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), 42) for s in sets], dtype=np.uint64).view(np.int64)
-            more = {"n": lambda: pa.array([len(s) for s in sets], pa.int32()), "shingles": lambda: pa.array([s.tobytes() for s in sets], pa.binary())}
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(node), *[more[c]() for c in kept]], ["row", "doc_id", "node", *kept])
+        for whole in batches:
+            for b in (whole.slice(k, WIDE_ROWS) for k in range(0, whole.num_rows, WIDE_ROWS)):
+                sets = [np.unique(word_hashes(t.as_py().encode().lower().split() if t.is_valid else [], size)) for t in b.column("text")]
+                node = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), 42) for s in sets], dtype=np.uint64).view(np.int64)
+                more = {
+                    "n": lambda: pa.array([len(s) for s in sets], pa.int32()),
+                    "shingles": lambda: pa.array([s.tobytes() for s in sets], pa.binary()),
+                }
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(node), *[more[c]() for c in kept]], ["row", "doc_id", "node", *kept])
 
     return docs.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(schema))
 
@@ -493,10 +499,11 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     rows = staged(rows, "rows", lasting=True) if copy else rows
     named = rows.select(F.col(row).alias("row"), "doc_id", "text")
     with scratch(docs.sparkSession), shuffles_cleaned(docs.sparkSession):
-        nodes = shingle_sets(named, size, []).groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("least"))
-        nodes = staged(nodes, "nodes")
-        first = among(named, nodes.select(F.col("least.row").alias("row")), "row")
-        sets = staged(shingle_sets(first, size, ["n", "shingles"]).select("node", "n", "shingles"), "shingle-sets")
+        with batches_of(docs.sparkSession, WIDE_ROWS):
+            nodes = shingle_sets(named, size, []).groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("least"))
+            nodes = staged(nodes, "nodes")
+            first = among(named, nodes.select(F.col("least.row").alias("row")), "row")
+            sets = staged(shingle_sets(first, size, ["n", "shingles"]).select("node", "n", "shingles"), "shingle-sets")
         roots = components(similar_links(sets, similarity, list_rows))
         grouped = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
         kept = staged(grouped.select(F.col("least.row").alias(row)), "kept", lasting=True)

@@ -651,3 +651,21 @@ def test_nothing_below_the_limit_goes(spark):
         ws = [f"b{k}w{i}" for i in range(104)]
         texts += [" ".join(ws), " ".join([*ws, *[f"c{k}w{i}" for i in range(more)]])]
     assert kept_ids(spark, texts) == list(range(len(texts) - 1))
+
+
+def test_texts_come_in_small_batches(spark):
+    """A worker holds the sets of a few texts at a time."""
+    rows = spark.range(3500).coalesce(1).selectExpr("id as row", "id as doc_id", "concat('a b c d e f ', id) as text")
+    sizes = []
+
+    def count(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with simhash.batches_of(spark, simhash.WIDE_ROWS):
+        sizes = [r.n for r in simhash.shingle_sets(rows, 5, ["shingles"]).mapInArrow(count, "n long").collect()]
+    assert sum(sizes) == 3500 and max(sizes) <= simhash.WIDE_ROWS
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
