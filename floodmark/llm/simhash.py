@@ -255,9 +255,9 @@ def near_duplicates(docs: DataFrame, size: int = 4, list_rows: int = LIST_ROWS)
     return fps.join(named, "fp")
 
 
-SHORT_LIST, SAMPLED, HOT_SHINGLES, MAP = 2, 10_000, 100_000, 4
-#: Texts or sets that Python gets at once.
-WIDE_ROWS = 1000
+SHORT_LIST, SAMPLED, SHARE, HOT_SHINGLES, MAP = 2, 10_000, 5, 400_000, 4
+#: Texts or sets, and pairs of sets, that Python gets at once.
+WIDE_ROWS, WIDE_PAIRS = 1000, 250
 
 
 def shingle_sets(docs: DataFrame, size: int, kept: list[str]) -> DataFrame:
@@ -286,17 +286,17 @@ def _least_overlap(sizes, similarity: float):
 
 def _hot(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles met often in a sample of sets, in order, and their places from rare to frequent. They only order the
-    prefixes: any order gives the same pairs, this one gives short lists."""
+    prefixes: any order gives the same pairs, this one gives short lists. The sample grows with the sets, one in SHARE where that is
+    more than SAMPLED, so lists of what isn't hot stay as short on larger tables."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in b.column("shingles").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s, "<i8"))], ["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column("shingles").to_pylist()), "<i8"))], ["h"])
 
-    share = max(1, sets.count() // SAMPLED)
+    share = min(SHARE, max(1, sets.count() // SAMPLED))
     some = sets.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select("shingles").mapInArrow(members, "h long")
-    met = some.groupBy("h").count().where("count >= 5").orderBy(F.desc("count"), "h").limit(HOT_SHINGLES).collect()
-    h = np.array([r.h for r in reversed(met)], dtype=np.int64).view(np.uint64)
+    met = some.groupBy("h").count().where("count >= 4").orderBy(F.desc("count"), "h").limit(HOT_SHINGLES).select("h").toArrow()
+    h = met.column("h").to_numpy()[::-1].astype(np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], order + 1
 
@@ -443,8 +443,48 @@ def _met(postings: DataFrame, similarity: float, how: str) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _parities(shingles: np.ndarray) -> bytes:
+    """A parity map of a set, of two to four bits for each member: each turns one bit, so two sets differ in no fewer members than
+    their maps in bits."""
+    bits = max(64, 1 << int(2 * len(shingles)).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def _bits_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """The bits that two parity maps differ in; the larger one is folded to the smaller one's length, which keeps it a parity map."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose parity maps don't rule out that similarity: a map is about a thirtieth of its set."""
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), pa.array([_parities(np.frombuffer(s.as_buffer(), "<u8")) for s in b.column("shingles")], pa.binary())], ["node", "n", "map"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64) + batch.column("m").to_numpy(zero_copy_only=False)
+            apart = [_bits_apart(*(np.frombuffer(m.as_buffer(), "<u8") for m in two)) for two in zip(batch.column("x"), batch.column("y"))]
+            keep = pa.array(np.array(apart, dtype=np.int64) <= sizes - 2 * _least_overlap(sizes, similarity))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
+
+    ends = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
+    asked = staged(among(sets.select("node", "n", "shingles"), ends, "node").mapInArrow(maps, "node long, n int, map binary"), "maps")
+    first = asked.select(F.col("node").alias("a"), "n", F.col("map").alias("x"))
+    second = asked.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("map").alias("y"))
+    return staged(pairs.join(first, "a").join(second, "b").mapInArrow(run, "a long, b long"), "plausible")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have at least that Jaccard similarity, from all their members."""
+    """The pairs (a, b), a staged table, whose sets have at least that Jaccard similarity: those that their parity maps leave,
+    from all their members."""
+    if pairs.isEmpty():
+        return pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -454,34 +494,56 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= _least_overlap(np.int64(len(x) + len(y)), similarity))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
-    ends = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
-    asked = among(sets.select("node", "shingles"), ends, "node")
-    # a pair crosses the network with one of its sets; the other comes once for each node
-    both = pairs.join(asked.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(asked.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return staged(both.mapInArrow(run, "a long, b long"), "similar")
+    with batches_of(sets.sparkSession, WIDE_PAIRS):
+        pairs = _plausible(pairs, sets, similarity)
+        if pairs.isEmpty():
+            return pairs
+        ends = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+        asked = among(sets.select("node", "shingles"), ends, "node")
+        # a pair crosses the network with one of its sets; the other comes once for each node
+        both = pairs.join(asked.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(asked.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        return staged(both.mapInArrow(run, "a long, b long"), "similar")
 
 
-def similar_links(sets: DataFrame, similarity: float, list_rows: int = LIST_ROWS, short_list: int = SHORT_LIST) -> DataFrame:
+def similar_links(sets: DataFrame, similarity: float, list_rows: int = LIST_ROWS, short_list: int = SHORT_LIST, links: DataFrame | None = None) -> DataFrame:
     """Links (a, b) of sets (node, n, shingles; nodes once each), each of at least that Jaccard similarity, with the connected
-    components of all such pairs.
+    components of all such pairs. `links` are such links as are known.
 
-    Lists of up to `short_list` give all their pairs. A longer one gives stars, then the closest of each two components
-    still apart, then all pairs still apart, so a large group's pairs aren't listed; blocks of `list_rows` are tasks of their own.
+    Lists of up to `short_list` give all their pairs that are still apart. A longer one gives stars, then the closest of each two
+    components still apart, then all pairs still apart, so a large group's pairs aren't listed; blocks of `list_rows` are tasks of
+    their own. Members met by no other set in a prefix are dropped first.
     """
     spark = sets.sparkSession
-    postings = _postings(sets, similarity, spark.sparkContext.broadcast(_hot(sets))).withColumn("component", F.lit(0).cast("long"))
-    lists = postings.groupBy("key").count().where(F.col("count") > short_list)
-    lists = staged(lists.select("key", F.ceil(F.col("count") / list_rows).cast("int").alias("blocks")), "long-lists")
-    if lists.isEmpty():
-        return _similar(staged(_met(postings.withColumn("side", F.lit(-1)), similarity, "all"), "candidates"), sets, similarity)
-    rest = postings.join(lists, "key", "left_anti").withColumn("side", F.lit(-1))
-    long = staged(postings.join(lists, "key").withColumn("side", F.pmod(F.xxhash64(F.lit("side"), "node"), F.col("blocks")).cast("int")), "long-postings")
-    stars = _met(long.withColumn("key", F.xxhash64("key", "side")), similarity, "star")
-    links = _similar(staged(_met(rest, similarity, "all").unionByName(stars).distinct(), "candidates"), sets, similarity)
-    pairs = long.drop("component").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("key", F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")))
-    for how in ("closest", "all"):
-        placed = pairs.join(components(links), "node", "left").withColumn("component", F.coalesce("root", "node"))
-        links = links.unionByName(_similar(staged(_met(placed, similarity, how), "candidates"), sets, similarity))
+    with batches_of(spark, WIDE_ROWS):
+        postings = _postings(sets, similarity, spark.sparkContext.broadcast(_hot(sets)))
+        lists = postings.groupBy("key").count().where("count > 1")
+        lists = staged(lists.select("key", (F.col("count") > short_list).alias("long"), F.ceil(F.col("count") / list_rows).cast("int").alias("blocks")), "lists")
+        shared = staged(postings.join(lists, "key"), "shared-postings")
+
+    long = shared.where("long").withColumn("side", F.pmod(F.xxhash64(F.lit("side"), "node"), F.col("blocks")).cast("int"))
+    roots = None if links is None or links.isEmpty() else staged(components(links), "components")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        if roots is None:
+            return rows.withColumn("component", F.col("node"))
+        return rows.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node"))
+
+    stars = _met(placed(long.withColumn("key", F.xxhash64("key", "side"))), similarity, "star")
+    short = _met(placed(shared.where("not long").withColumn("side", F.lit(-1))), similarity, "all")
+    steps = [short.unionByName(stars).distinct()]
+    if not lists.where("long").isEmpty():
+        pairs = long.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("key", F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")))
+        steps += ["closest", "all"]
+    for step in steps:
+        more = _similar(staged(_met(placed(pairs), similarity, step) if isinstance(step, str) else step, "candidates"), sets, similarity)
+        if links is None:
+            links = more
+        elif not more.isEmpty():
+            links = links.unionByName(more)
+        else:
+            continue
+        if step is not steps[-1]:
+            roots = staged(components(links), "components")
     return links
 
 

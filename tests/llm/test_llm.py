@@ -653,6 +653,36 @@ def test_nothing_below_the_limit_goes(spark):
     assert kept_ids(spark, texts) == list(range(len(texts) - 1))
 
 
+def test_a_shared_passage_ships_no_sets(spark, monkeypatch):
+    """Long texts with a passage in common are told apart by small maps; their sets once crossed the network for each such pair."""
+    rng = random.Random(12)
+    texts = [" ".join([*[f"p{k % 4}x{i}" for i in range(120)], *[f"d{k}w{rng.randrange(10**6)}" for _ in range(1100)]]) for k in range(12)]
+    asked = []
+    real = simhash.staged
+
+    def counted(df, name, *a, **k):
+        out = real(df, name, *a, **k)
+        if name == "asked":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "staged", counted)
+    assert kept_ids(spark, texts) == list(range(12))
+    assert sum(asked) == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 3000), st.integers(0, 700), st.integers(0, 700), st.integers(0, 2**32))
+def test_parity_maps_lose_no_pair(common, left, right, seed):
+    rng = np.random.default_rng(seed)
+    h = np.unique(rng.integers(0, 2**63, common + left + right, dtype=np.uint64))
+    x, y = h[: len(h) - right], np.concatenate([h[:common], h[len(h) - right :]])
+    apart = simhash._bits_apart(*(np.frombuffer(simhash._parities(s), "<u8") for s in (x, y)))
+    assert apart <= len(np.setxor1d(x, y))
+    if common < 0.3 * (len(h)) and len(h) > 100:
+        assert apart > len(x) + len(y) - 2 * simhash._least_overlap(np.int64(len(x) + len(y)), 0.8)
+
+
 def test_texts_come_in_small_batches(spark):
     """A worker holds the sets of a few texts at a time."""
     rows = spark.range(3500).coalesce(1).selectExpr("id as row", "id as doc_id", "concat('a b c d e f ', id) as text")
