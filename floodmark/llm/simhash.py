@@ -6,7 +6,8 @@ such pair meets in a list. There the shared positional bytes of a pair are talli
 and the rest are verified on all bits. A list gives a star for each of its connected groups, never its pairs; a
 list longer than `LIST_ROWS` is split in blocks, of which each two meet in a task of their own.
 
-`drop_near_duplicates` goes by exact Jaccard similarity instead: a prefix filter over shingle hashes and a check of all shingles.
+`drop_near_duplicates` links what this index finds and the exact Jaccard similarity of the shingle sets confirms, then looks for
+all other pairs of that similarity by a prefix filter over shingle hashes, each checked on all shingles.
 """
 
 from __future__ import annotations
@@ -261,9 +262,9 @@ WIDE_ROWS, WIDE_PAIRS = 1000, 250
 
 
 def shingle_sets(docs: DataFrame, size: int, kept: list[str]) -> DataFrame:
-    """row, doc_id, node (a hash of the set) and, as named in `kept`, n and shingles of each row of docs (row, doc_id, text):
-    the distinct hashes of its runs of `size` words in order, 8 bytes each."""
-    schema = ["row long", "doc_id long", "node long", *[{"n": "n int", "shingles": "shingles binary"}[c] for c in kept]]
+    """row, doc_id, node (a hash of the set) and, as named in `kept`, n, fp and shingles of each row of docs (row, doc_id, text):
+    the distinct hashes of its runs of `size` words in order, 8 bytes each, and their fingerprint."""
+    schema = ["row long", "doc_id long", "node long", *[{"n": "n int", "fp": "fp long", "shingles": "shingles binary"}[c] for c in kept]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -272,6 +273,7 @@ def shingle_sets(docs: DataFrame, size: int, kept: list[str]) -> DataFrame:
                 node = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), 42) for s in sets], dtype=np.uint64).view(np.int64)
                 more = {
                     "n": lambda: pa.array([len(s) for s in sets], pa.int32()),
+                    "fp": lambda: pa.array(np.array([majority(s) for s in sets], dtype=np.uint64).view(np.int64)),
                     "shingles": lambda: pa.array([s.tobytes() for s in sets], pa.binary()),
                 }
                 yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(node), *[more[c]() for c in kept]], ["row", "doc_id", "node", *kept])
@@ -505,6 +507,17 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         return staged(both.mapInArrow(run, "a long, b long"), "similar")
 
 
+def fingerprint_links(sets: DataFrame, similarity: float, list_rows: int = LIST_ROWS) -> DataFrame:
+    """Links (a, b) of sets (node, n, fp, shingles) that the index over byte positions of their fingerprints finds and that have at
+    least that Jaccard similarity. Sets of one fingerprint go to the smallest of them."""
+    fps = staged(sets.select("node", "fp"), "fingerprints")
+    reps = staged(fps.groupBy("fp").agg(F.min("node").alias("rep")), "distinct-fingerprints")
+    found = near_links(reps.select("fp"), ["fp"], list_rows=list_rows)
+    ends = found.join(reps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("fp").alias("b"), F.col("rep").alias("y")), "b")
+    pairs = ends.select("x", "y").unionByName(fps.join(reps, "fp").where("node <> rep").select(F.col("rep").alias("x"), F.col("node").alias("y")))
+    return _similar(staged(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates"), sets, similarity)
+
+
 def similar_links(sets: DataFrame, similarity: float, list_rows: int = LIST_ROWS, short_list: int = SHORT_LIST, links: DataFrame | None = None) -> DataFrame:
     """Links (a, b) of sets (node, n, shingles; nodes once each), each of at least that Jaccard similarity, with the connected
     components of all such pairs. `links` are such links as are known.
@@ -551,8 +564,8 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     """docs (doc_id, text and others) with one row, that of least doc_id, for each group of near duplicates.
 
     Rows link if the sets of their shingles of `size` words have at least that Jaccard similarity, and groups are the
-    components of all such links: no pair is missed and none below links. Candidates meet by a prefix filter and are verified on
-    all their shingles. Null, empty and blank texts are one group; null doc_ids come first; repeated rows
+    components of all such links: no pair is missed and none below links. Candidates meet in the index over their fingerprints, then
+    by a prefix filter, and are verified on all their shingles. Null, empty and blank texts are one group; null doc_ids come first; repeated rows
     are near duplicates. Rows are numbered once, in a copy of docs; copy=False saves it where docs is a table as it is read, which
     comes in the same order each time.
     """
@@ -565,8 +578,8 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
             nodes = shingle_sets(named, size, []).groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("least"))
             nodes = staged(nodes, "nodes")
             first = among(named, nodes.select(F.col("least.row").alias("row")), "row")
-            sets = staged(shingle_sets(first, size, ["n", "shingles"]).select("node", "n", "shingles"), "shingle-sets")
-        roots = components(similar_links(sets, similarity, list_rows))
+            sets = staged(shingle_sets(first, size, ["n", "fp", "shingles"]).select("node", "n", "fp", "shingles"), "shingle-sets")
+        roots = components(similar_links(sets, similarity, list_rows, links=fingerprint_links(sets, similarity, list_rows)))
         grouped = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
         kept = staged(grouped.select(F.col("least.row").alias(row)), "kept", lasting=True)
     return among(rows, kept, row).select(*docs.columns)

@@ -653,6 +653,24 @@ def test_nothing_below_the_limit_goes(spark):
     assert kept_ids(spark, texts) == list(range(len(texts) - 1))
 
 
+def test_the_byte_index_comes_first(spark, monkeypatch):
+    """Near duplicates go through the index over fingerprints; what it finds is confirmed by all shingles, the rest follows."""
+    base = [f"s{k}" for k in range(600)]
+    texts = [" ".join(base), " ".join([*base, "more"]), " ".join(f"o{k}" for k in range(50))]
+    found = []
+    real = simhash.near_links
+    monkeypatch.setattr(simhash, "near_links", lambda *a, **k: found.append(real(*a, **k)) or found[-1])
+    assert kept_ids(spark, texts) == [0, 2]
+    assert len(found) == 1
+    rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "row long, doc_id long, text string")
+    sets = simhash.shingle_sets(rows, 5, ["n", "fp", "shingles"]).cache()
+    ids = {r.node: r.doc_id for r in sets.collect()}
+    assert [{ids[r.a], ids[r.b]} for r in simhash.fingerprint_links(sets, 0.8).collect()] == [{0, 1}]
+    # no set of another similarity is confirmed, whatever its fingerprint
+    alike = sets.withColumn("fp", F.lit(7).cast("long"))
+    assert [{ids[r.a], ids[r.b]} for r in simhash.fingerprint_links(alike, 0.8).collect()] in ([{0, 1}], [])
+
+
 def test_a_shared_passage_ships_no_sets(spark, monkeypatch):
     """Long texts with a passage in common are told apart by small maps; their sets once crossed the network for each such pair."""
     rng = random.Random(12)
