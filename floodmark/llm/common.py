@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,18 +30,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Of a row group of a table of wide rows.
+GROUP_BYTES = 4 << 20
 #: Paths of the staged tables of each `scratch` that is open.
 _OPEN: list[list[str]] = []
 
 
-def staged(df: DataFrame, name: str, files: int | None = None, lasting: bool = False) -> DataFrame:
+def staged(df: DataFrame, name: str, files: int | None = None, lasting: bool = False, wide: bool = False) -> DataFrame:
     """df written to the shared folder and read again: later steps restart from files, not from lost executors. `files` bounds the
-    number of files of a table that is known to be slim. Within a `scratch` it goes at the end, unless it is `lasting`."""
+    number of files of a table that is known to be slim; a `wide` one is written in small row groups, as a task that writes or reads it
+    holds a whole one. Within a `scratch` it goes at the end, unless it is `lasting`."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     if _OPEN and not lasting:
         _OPEN[-1].append(path)
-    (df if files is None else df.coalesce(files)).write.option("compression", "zstd").parquet(path)
+    writer = (df if files is None else df.coalesce(files)).write.option("compression", "zstd")
+    (writer.option("parquet.block.size", str(GROUP_BYTES)) if wide else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -72,14 +78,39 @@ def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
 
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """What runs within it passes so many rows at once to Python: for wide rows, which both sides hold a few batches of."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    """What runs within it passes so many rows at once to Python, and reads as many at once from files: for wide rows, which both
+    sides hold a few batches of."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(key) for key in keys]
+    for key in keys:
+        spark.conf.set(key, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in zip(keys, before):
+            spark.conf.set(key, value)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives what is free back to the system before and after its task: Spark keeps workers, and allocators keep the most that
+    any task of theirs once had."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return wrapped
+
+
+def released() -> None:
+    """Gives the free memory of this process back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 #: Rows of a key column that may be broadcast: about 8 MB.

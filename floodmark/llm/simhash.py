@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floodmark.llm.common import among, batches_of, free_name, n_partitions, scratch, shuffles_cleaned, staged
+from floodmark.llm.common import among, batches_of, free_name, lean, n_partitions, scratch, shuffles_cleaned, staged
 
 BITS, LIST_ROWS = 4, 2048
 LEAST_SHARED = 8 - BITS
@@ -278,7 +278,7 @@ def shingle_sets(docs: DataFrame, size: int, kept: list[str]) -> DataFrame:
                 }
                 yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(node), *[more[c]() for c in kept]], ["row", "doc_id", "node", *kept])
 
-    return docs.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(schema))
+    return docs.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), ", ".join(schema))
 
 
 def _least_overlap(sizes, similarity: float):
@@ -296,7 +296,7 @@ def _hot(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column("shingles").to_pylist()), "<i8"))], ["h"])
 
     share = min(SHARE, max(1, sets.count() // SAMPLED))
-    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select("shingles").mapInArrow(members, "h long")
+    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select("shingles").mapInArrow(lean(members), "h long")
     met = some.groupBy("h").count().where("count >= 4").orderBy(F.desc("count"), "h").limit(HOT_SHINGLES).select("h").toArrow()
     h = met.column("h").to_numpy()[::-1].astype(np.int64).view(np.uint64)
     order = np.argsort(h)
@@ -332,7 +332,7 @@ def _postings(sets: DataFrame, similarity: float, hot) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
 
-    return sets.select("node", "shingles").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return sets.select("node", "shingles").mapInArrow(lean(run), ", ".join(f"{c} long" for c in names))
 
 
 class _Posted:
@@ -442,7 +442,7 @@ def _met(postings: DataFrame, similarity: float, how: str) -> DataFrame:
 
     columns = [*_Posted.COLUMNS, *[f"m{k}" for k in range(MAP)]]
     dealt = postings.select(*columns).repartition(n_partitions(postings.sparkSession), "key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _parities(shingles: np.ndarray) -> bytes:
@@ -476,10 +476,10 @@ def _plausible(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
     ends = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
-    asked = staged(among(sets.select("node", "n", "shingles"), ends, "node").mapInArrow(maps, "node long, n int, map binary"), "maps")
+    asked = staged(among(sets.select("node", "n", "shingles"), ends, "node").mapInArrow(lean(maps), "node long, n int, map binary"), "maps", wide=True)
     first = asked.select(F.col("node").alias("a"), "n", F.col("map").alias("x"))
     second = asked.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("map").alias("y"))
-    return staged(pairs.join(first, "a").join(second, "b").mapInArrow(run, "a long, b long"), "plausible")
+    return staged(pairs.join(first, "a").join(second, "b").mapInArrow(lean(run), "a long, b long"), "plausible")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -504,7 +504,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         asked = among(sets.select("node", "shingles"), ends, "node")
         # a pair crosses the network with one of its sets; the other comes once for each node
         both = pairs.join(asked.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(asked.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        return staged(both.mapInArrow(run, "a long, b long"), "similar")
+        return staged(both.mapInArrow(lean(run), "a long, b long"), "similar")
 
 
 def fingerprint_links(sets: DataFrame, similarity: float, list_rows: int = LIST_ROWS) -> DataFrame:
@@ -578,7 +578,7 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
             nodes = shingle_sets(named, size, []).groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("least"))
             nodes = staged(nodes, "nodes")
             first = among(named, nodes.select(F.col("least.row").alias("row")), "row")
-            sets = staged(shingle_sets(first, size, ["n", "fp", "shingles"]).select("node", "n", "fp", "shingles"), "shingle-sets")
+            sets = staged(shingle_sets(first, size, ["n", "fp", "shingles"]).select("node", "n", "fp", "shingles"), "shingle-sets", wide=True)
         roots = components(similar_links(sets, similarity, list_rows, links=fingerprint_links(sets, similarity, list_rows)))
         grouped = nodes.select("node", "least").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
         kept = staged(grouped.select(F.col("least.row").alias(row)), "kept", lasting=True)

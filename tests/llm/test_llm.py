@@ -717,3 +717,37 @@ def test_texts_come_in_small_batches(spark):
         sizes = [r.n for r in simhash.shingle_sets(rows, 5, ["shingles"]).mapInArrow(count, "n long").collect()]
     assert sum(sizes) == 3500 and max(sizes) <= simhash.WIDE_ROWS
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_workers_give_memory_back():
+    """What a worker held in an earlier task once stayed with it through all later ones."""
+    from pathlib import Path
+
+    from floodmark.llm import common
+
+    def held():
+        return int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+    blocks = [np.ones(60_000, np.uint8) for _ in range(4000)]
+    last = [bytes(1000) for _ in range(1000)]
+    del blocks
+    before = held()
+    assert list(common.lean(iter)([1, 2])) == [1, 2] and last
+    assert held() < before - 100
+
+
+def test_wide_rows_are_read_and_written_in_small_pieces(spark):
+    """A task holds one row group, and the JVM one batch, of the shingle sets; both once were whole files or 4096 rows."""
+    import pyarrow.parquet as pq
+
+    from floodmark.llm import common
+
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    with simhash.batches_of(spark, simhash.WIDE_ROWS):
+        assert int(spark.conf.get(key)) <= simhash.WIDE_ROWS
+    assert spark.conf.get(key) == before
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id", *[f"randstr(4000, {k}) as s{k}" for k in range(2)])
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in common.staged(rows, "wide", wide=True).inputFiles()]
+    sizes = [f.metadata.row_group(k).total_byte_size for f in files for k in range(f.metadata.num_row_groups)]
+    assert len(sizes) > 2 and max(sizes) <= 2 * common.GROUP_BYTES
