@@ -283,6 +283,7 @@ def test_tables_in_parts_are_listed_once(spark, tmp_path):
         assert found.columns == landing.listing(spark, [at]).columns and found.where("modified_at is null").isEmpty()
         assert sorted(r.file for r in QUERIES["landing_listing"](spark, at).collect()) == names
     assert landing.listing(spark, [root, root], "*.parquet", tables=True).agg({"size_bytes": "sum"}).first()[0] == 24
+    assert [r.size_bytes for r in landing.listing(spark, [root + "/orders.parquet"], "*.parquet", tables=True).collect()] == [4]
     assert sorted(r.path.rsplit("/", 1)[1] for r in landing.listing(spark, [root], "*.parquet").collect()) == ["items.parquet", "orders.parquet"] + ["part-0.parquet"] * 3
 
 
